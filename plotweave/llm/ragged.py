@@ -130,3 +130,11 @@ class HashTable:
             at[left] += 1
             left = left[at[left] < to[left]]
         return out
+
+
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The slices of UTF-8 bytes as an Arrow string column, without a Python object per slice."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.string())
