@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import chat_format, decontaminate, exact_dedup, language_id, lm_scoring, sharding, simhash_dedup, token_counts
-from plotweave.llm.common import crc_mod, read_table
+from plotweave.llm import chat_format, decontaminate, exact_dedup, language_id, lm_scoring, sharding, simhash_dedup, source_mixing, token_binary, token_counts
+from plotweave.llm.common import Scratch, crc_mod, read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -59,6 +59,18 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIG
 """
 
 
+#: Domain of a labelled document.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'plain' END"
+#: Wanted shares of the domains' tokens.
+WEIGHTS = {"good": 0.8, "plain": 0.15, "toxic": 0.05}
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted, mixed = source_mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), F.expr(DOMAIN), WEIGHTS, seed=6)
+    shares = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(fitted.classifier.domains)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
     model = lm_scoring.train(docs.where("NOT held_out"))
@@ -69,6 +81,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token-binary").path("shards")
+    token_binary.materialise(read_table(spark, sf_dir, "documents"), tokenizer_path(), path, length=512, shard_rows=4096, key=1)
+    return token_binary.sequences(token_binary.read_blocks(spark, path), length=512).withColumnRenamed("id", "doc_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), width=10)
     names = F.sort_array(F.transform("item_ids", lambda i: i.cast("string")))
@@ -88,8 +106,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OPERATORS = (
+    op1_token_binary, op2_decontaminate, op3_sharding, op4_exact_dedup, op5_chat_format,
+    op6_source_mixing, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_sharding, op4_exact_dedup, op5_chat_format, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
