@@ -27,6 +27,8 @@ def interleave(
 ) -> DataFrame:
     """``id, size, text_crc32, shard, slot`` and the columns of ``carry``, one row for each row of ``docs``.
 
+    A column of ``carry`` may not be named like one of these.
+
     ``size``: UTF-8 bytes of the text plus 16; ``text_crc32``: its unsigned CRC-32; a null text counts as empty. Shards
     0 to ``shards`` - 1 differ by at most one row; ``slot`` counts from 0 in each. Null sources are a source of their own.
     The order depends on the seed, the id, the source and the text; rows that repeat all of these take neighbouring

@@ -3,8 +3,9 @@
 A classifier fitted on a labelled table gives each document a posterior over domains. Documents get nonnegative rates
 whose expected domain token totals S_k = sum r_d n_d p_dk shall equal targets T_k. With M = sum n_d p_d p_d' the loss
 (S - T)' M^-1 (S - T) has, in the metric where document d weighs n_d, the gradient p_d' M^-1 (S - T) and the Lipschitz
-constant 1, so r <- max(0, r - p_d' M^-1 (S - T)) is projected gradient descent with the step 1 and never gets worse.
-A step needs one distributed sum of as many numbers as there are domains; the rates themselves are never stored: a
+constant 1, so r <- max(0, r - p_d' M^-1 (S - T)) is projected gradient descent with the step 1. Targets that a mix can meet are
+met in a step or two; for others each step starts from a point extrapolated beyond the last (and plainly again when the
+loss has risen). A step needs one distributed sum of a few numbers per domain; the rates themselves are never stored: a
 document's rate follows from its posterior and the list of steps.
 """
 
@@ -22,11 +23,13 @@ from plotweave.llm import ragged
 from plotweave.llm.common import Scratch
 
 #: Labelled rows per domain that the classifier is fitted on (about; chosen by a hash of the id).
-SAMPLE_ROWS = 1500
-#: Sampled documents that must hold a word for it to be a feature.
-LEAST_DOCUMENTS = 6
+SAMPLE_ROWS = 800
+#: Sampled documents that must hold a word or word beginning for it to be a feature, and the features kept.
+LEAST_DOCUMENTS, FEATURES = 6, 4096
+#: Lengths (bytes) of the word beginnings that count as features beside whole words.
+BEGINNINGS = (4, 5, 6, 7)
 #: Steps of the fit, at most, and the error of the totals (share of all tokens) that ends it.
-STEPS, TOLERANCE = 40, 1e-5
+STEPS, TOLERANCE = 60, 1e-5
 #: Shape features beside the words.
 SHAPES = 8
 
@@ -63,9 +66,25 @@ def shapes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.n
     )
 
 
+_PLAIN = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A for b in range(256)])
+
+
+def marks_of(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (without punctuation) and of the beginnings of longer ones, and their rows."""
+    starts, ends = ragged.runs(_PLAIN[low], offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), ragged.per_row(starts, offsets))
+    every, rows = [ragged.hashes(low, starts, ends)], [row]
+    for n in BEGINNINGS:
+        at = np.flatnonzero(ends - starts > n)
+        with np.errstate(over="ignore"):
+            every.append(ragged.hashes(low, starts[at], starts[at] + n) * np.uint64(2 * n + 1))
+        rows.append(row[at])
+    return np.concatenate(every), np.concatenate(rows)
+
+
 @dataclass
 class Classifier:
-    """Multinomial logistic regression on word presence and shapes."""
+    """Multinomial logistic regression on the presence of words and word beginnings, and on shapes."""
 
     domains: list[str]
     keys: np.ndarray
@@ -73,14 +92,17 @@ class Classifier:
     shape_mean: np.ndarray
     shape_scale: np.ndarray
 
+    def __post_init__(self):
+        self.table = ragged.HashTable(self.keys)
+
     def features(self, data: np.ndarray, offsets: np.ndarray):
         """Words per row, (row, word) pairs without repeats, and scaled shapes with a constant."""
         low, starts, ends, marks = ragged.words(data, offsets)
         words = ragged.per_row(starts, offsets)
-        row = np.repeat(np.arange(len(words)), words)
-        at = ragged.HashTable(self.keys).find(marks)
+        every, rows = marks_of(low, offsets)
+        at = self.table.find(every)
         hit = at >= 0
-        pairs = np.unique(row[hit] * max(len(self.keys), 1) + at[hit])
+        pairs = np.unique(rows[hit] * max(len(self.keys), 1) + at[hit])
         shape = (shapes(data, offsets, starts, ends, marks) - self.shape_mean) / self.shape_scale
         return words, pairs // max(len(self.keys), 1), pairs % max(len(self.keys), 1), np.column_stack([np.clip(shape, -5, 5), np.ones(len(words))])
 
@@ -111,15 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, domain, rows: int = SAMPLE_ROWS, i
     sample = docs.select(F.col(id_col).alias("__id"), text_col).join(F.broadcast(chosen), "__id").select(text_col, "__domain").toArrow()
     data, offsets = ragged.utf8(sample.column(0))
     label = np.array([domains.index(x) for x in sample.column(1).to_pylist()], np.int64)
-    # words of several sampled documents
-    _, starts, _, marks = ragged.words(data, offsets)
-    row = np.repeat(np.arange(len(label)), ragged.per_row(starts, offsets))
-    order = np.lexsort((row, marks))
-    marks, row = marks[order], row[order]
-    new = np.ones(len(marks), bool)
-    new[1:] = (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])
-    keys, often = np.unique(marks[new], return_counts=True)
-    keys = keys[often >= LEAST_DOCUMENTS]
+    keys = _informative(data, offsets, label, len(domains))
     model = Classifier(domains, keys, np.zeros((len(keys) + SHAPES + 1, len(domains))), np.zeros(SHAPES), np.ones(SHAPES))
     raw = model.features(data, offsets)[3][:, :SHAPES]
     model.shape_mean, model.shape_scale = raw.mean(axis=0) if len(raw) else raw.sum(axis=0), np.maximum(raw.std(axis=0), 1e-3) if len(raw) else np.ones(SHAPES)
@@ -128,6 +142,24 @@ def train(docs: DataFrame, labels: DataFrame, domain, rows: int = SAMPLE_ROWS, i
     return model
 
 
+def _informative(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, domains: int) -> np.ndarray:
+    """The features whose presence differs most between a domain and the rest, in standard errors."""
+    every, row = marks_of(ragged.LOWER[data], offsets)
+    order = np.lexsort((row, every))
+    every, row = every[order], row[order]
+    new = np.ones(len(every), bool)
+    new[1:] = (every[1:] != every[:-1]) | (row[1:] != row[:-1])
+    keys, at = np.unique(every[new], return_inverse=True)
+    held = np.bincount(at * domains + label[row[new]], minlength=len(keys) * domains).reshape(-1, domains)
+    often = held.sum(axis=1)
+    keys, held, often = keys[often >= LEAST_DOCUMENTS], held[often >= LEAST_DOCUMENTS], often[often >= LEAST_DOCUMENTS]
+    size = np.bincount(label, minlength=domains)
+    rest, others = np.maximum(len(label) - size, 1), often[:, None] - held
+    p, q, whole = held / np.maximum(size, 1), others / rest, (often / max(len(label), 1))[:, None]
+    error = np.sqrt(whole * (1 - whole) * (1 / np.maximum(size, 1) + 1 / rest) + 1e-12)
+    return keys[np.sort(np.argsort(-(np.abs(p - q) / error).max(axis=1, initial=0), kind="stable")[:FEATURES])]
+
+
 def _descend(model: Classifier, label: np.ndarray, row: np.ndarray, word: np.ndarray, dense: np.ndarray, prior: np.ndarray, steps: int = 400, penalty: float = 2e-4) -> None:
     """Full-batch Adam on the cross-entropy, with each domain weighted to its share among all labels."""
     n, k, m = len(label), len(model.domains), len(model.keys)
@@ -152,12 +184,13 @@ def _descend(model: Classifier, label: np.ndarray, row: np.ndarray, word: np.nda
         model.weights -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after these steps, from 1."""
-    r = np.ones(len(p))
-    for v in steps:
-        r = np.maximum(0.0, r - p @ v)
-    return r
+def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors ``p`` after these steps, from 1, and the points that the next starts from."""
+    r = y = np.ones(len(p))
+    for v, beyond in steps:
+        now = np.maximum(0.0, y - p @ v)
+        r, y = now, now + beyond * (now - r)
+    return r, y
 
 
 def copies(ids: list, rate: np.ndarray, seed: int) -> np.ndarray:
@@ -173,7 +206,7 @@ class Mix:
     """A fitted mix: what is needed to give any document its rate."""
 
     classifier: Classifier
-    steps: list[np.ndarray]
+    steps: list[tuple[np.ndarray, float]]
     targets: np.ndarray  # token totals
     reached: np.ndarray
 
@@ -194,21 +227,23 @@ def posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id",
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_tokens long, p array<double>")
 
 
-def _sums(table: DataFrame, k: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Token totals by domain at the rates of these steps, and the matrix M."""
+def _sums(table: DataFrame, k: int, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token totals by domain at the rates of these steps and at the next starting points, and the matrix M."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, square = np.zeros(k), np.zeros((k, k))
+        total, ahead, square = np.zeros(k), np.zeros(k), np.zeros((k, k))
         for batch in batches:
             n = batch.column(0).to_numpy().astype(float)
             p = batch.column(1).flatten().to_numpy().reshape(len(n), k)
-            total += (rates(p, steps) * n) @ p
+            r, y = rates(p, steps)
+            total += (r * n) @ p
+            ahead += (y * n) @ p
             square += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([[*total, *square.ravel()]], pa.list_(pa.float64()))], names=["s"])
+        yield pa.RecordBatch.from_arrays([pa.array([[*total, *ahead, *square.ravel()]], pa.list_(pa.float64()))], names=["s"])
 
     parts = table.select("n_tokens", "p").mapInArrow(run, "s array<double>").select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()
-    found = np.array([r.v for r in parts]) if parts else np.zeros(k + k * k)
-    return found[:k], found[k:].reshape(k, k)
+    found = np.array([r.v for r in parts]) if parts else np.zeros(2 * k + k * k)
+    return found[:k], found[k : 2 * k], found[2 * k :].reshape(k, k)
 
 
 def fit(posterior_table: DataFrame, classifier: Classifier, weights: dict[str, float], relative: bool = False) -> Mix:
@@ -217,23 +252,28 @@ def fit(posterior_table: DataFrame, classifier: Classifier, weights: dict[str, f
     Absolute weights are shares (scaled to sum to 1) of the largest total for which no domain must be repeated.
     """
     k = len(classifier.domains)
-    steps: list[np.ndarray] = []
+    steps: list[tuple[np.ndarray, float]] = []
     if not k:
         return Mix(classifier, steps, np.zeros(0), np.zeros(0))
     asked = np.array([weights.get(d, 0.0) for d in classifier.domains], float)
-    now, square = _sums(posterior_table, k, steps)
+    now, ahead, square = _sums(posterior_table, k, steps)
     if relative:
         targets = now * asked
     else:
         share = asked / asked.sum()
         targets = share * min((now[i] / share[i] for i in range(k) if share[i] > 0), default=0.0)
     inverse = np.linalg.pinv(square + 1e-9 * np.trace(square) * np.eye(k))
+    pace, loss = 1.0, np.inf
     for _ in range(STEPS):
         gap = now - targets
-        if np.abs(gap).sum() <= TOLERANCE * max(now.sum(), targets.sum(), 1.0):
+        before, loss = loss, float(gap @ inverse @ gap)
+        if np.abs(gap).sum() <= TOLERANCE * max(now.sum(), targets.sum(), 1.0) or abs(before - loss) <= 1e-9 * loss:
             break
-        steps.append(inverse @ gap)
-        now, _ = _sums(posterior_table, k, steps)
+        pace = 1.0 if loss > before else pace
+        later = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        steps.append((inverse @ (ahead - targets), (pace - 1) / later))
+        pace = later
+        now, ahead, _ = _sums(posterior_table, k, steps)
     return Mix(classifier, steps, targets, now)
 
 
@@ -251,7 +291,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain, weights: dict[str, float], r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, k)
-            r = rates(p, steps)
+            r, _ = rates(p, steps)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(r), pa.array(copies(batch.column(0).to_pylist(), r, seed))], names=[id_col, "n_tokens", "p", "rate", "copies"])
 
     return fitted, table.mapInArrow(run, f"`{id_col}` {table.schema[id_col].dataType.simpleString()}, n_tokens long, p array<double>, rate double, copies long")
@@ -268,7 +308,7 @@ def repeat_rows(docs: DataFrame, fitted: Mix, seed: int = 0, id_col: str = "doc_
             for a, b in ragged.blocks(offsets):
                 _, p = held.value.classifier.posteriors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
-                often = copies(part.column(id_at).to_pylist(), rates(p, held.value.steps), seed)
+                often = copies(part.column(id_at).to_pylist(), rates(p, held.value.steps)[0], seed)
                 yield part.take(pa.array(np.repeat(np.arange(b - a), often)))
 
     return docs.mapInArrow(run, docs.schema)
