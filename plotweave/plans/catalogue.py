@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.plans import checks
+from plotweave.plans import checks, lookups, matching, streams, texts, writes
 
-MODULES = (checks,)
+MODULES = (checks, lookups, writes, texts, matching, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
