@@ -8,6 +8,7 @@ In a vocabulary where every merge uses symbols made by earlier merges this gives
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sys
 import unicodedata
@@ -17,8 +18,8 @@ import numpy as np
 
 from plotweave.llm import ragged
 
-#: Distinct pre-tokens that a worker remembers; beyond it the memory is emptied.
-REMEMBER = 400_000
+#: Distinct pre-tokens that a worker remembers, over all its tasks; further ones are encoded each time.
+REMEMBER = 600_000
 
 #: Size of the table of pairs, as a power of two.
 SLOT_BITS = 19
@@ -43,6 +44,7 @@ class Vocabulary:
     merged: np.ndarray  # id of the symbol each rank makes
     size: int
     specials: dict[str, int]
+    name: str
 
     def slot(self, key: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -92,6 +94,7 @@ def load(path: str) -> Vocabulary:
         merged=np.array([vocab[a + b] for a, b in merges], np.int32),
         size=size,
         specials={t["content"]: t["id"] for t in spec["added_tokens"]},
+        name=hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest(),
     )
     for rank, (key, at) in enumerate(zip(keys.tolist(), out.slot(keys).tolist(), strict=True)):
         while out.keys[at] >= 0:
@@ -159,15 +162,24 @@ def pre_tokens(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(vocabulary: Vocabulary, keep_ids: bool) -> Encoder:
+    """A worker's encoder of that vocabulary; it outlives the task."""
+    key = vocabulary.name, keep_ids
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary, keep_ids)
+    return _encoders[key]
+
+
 class Encoder:
     """Encodes batches of texts; remembers a bounded number of distinct pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary, keep_ids: bool):
         self.v, self.keep_ids = vocabulary, keep_ids
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known = np.zeros(0, np.uint64)  # sorted
         self.count = np.zeros(0, np.int64)
         self.begin = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
@@ -211,15 +223,30 @@ class Encoder:
         order = np.argsort(rows, kind="stable")
         return symbols[order].astype(np.int32), np.bincount(rows, minlength=len(tokens)).astype(np.int64)
 
-    def _learn(self, text: str, new: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        ids, counts = self.merge([text[s:e].encode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-        keys = np.concatenate([self.known, new])
-        order = np.argsort(keys, kind="stable")
-        self.known, self.count = keys[order], np.concatenate([self.count, counts])[order]
+    def _look_up(self, distinct: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray):
+        """Token count of each distinct pre-token, and where its ids begin in which array."""
+        at = np.searchsorted(self.known, distinct)
+        held = np.zeros(len(distinct), bool)
+        if len(self.known):
+            held = self.known[np.minimum(at, len(self.known) - 1)] == distinct
+        counts, begin, ids = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.ids
+        counts[held] = self.count[at[held]]
         if self.keep_ids:
-            begin = len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-            self.begin = np.concatenate([self.begin, begin])[order]
-            self.ids = np.concatenate([self.ids, ids])
+            begin[held] = self.begin[at[held]]
+        new = np.flatnonzero(~held)
+        if len(new):
+            made, n = self.merge([text[s:e].encode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            counts[new] = n
+            if self.keep_ids:
+                begin[new] = len(ids) + np.cumsum(n) - n
+                ids = np.concatenate([ids, made])
+            keep = new[: max(0, REMEMBER - len(self.known))]
+            if len(keep):
+                self.known, self.count = np.insert(self.known, at[keep], distinct[keep]), np.insert(self.count, at[keep], counts[keep])
+                if self.keep_ids:
+                    self.begin = np.insert(self.begin, at[keep], begin[keep])
+                    self.ids = ids[: len(self.ids) + int(counts[keep].sum())]
+        return counts, begin, ids
 
     def split(self, data: np.ndarray, offsets: np.ndarray):
         """Code points of rows of UTF-8 bytes, cut into segments at special strings.
@@ -270,25 +297,16 @@ class Encoder:
         ends = np.append(starts[1:], len(points))
         marks = ragged.hashes(points, starts, ends) if len(starts) else np.zeros(0, np.uint64)
         distinct, first, back = np.unique(marks, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        at[at == len(self.known)] = 0
-        fresh = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        if fresh.any():
-            if len(self.known) + fresh.sum() > REMEMBER and len(self.known):
-                self._forget()
-                fresh = np.ones(len(distinct), bool)
-            self._learn(text, distinct[fresh], starts[first[fresh]], ends[first[fresh]])
-            at = np.searchsorted(self.known, distinct)
-        counts = self.count[at][back] if len(back) else np.zeros(0, np.int64)
+        token_counts, begins, pool = self._look_up(distinct, text, starts[first], ends[first])
+        counts = token_counts[back]
         where = np.searchsorted(starts, bounds)
         sums = np.concatenate([[0], np.cumsum(counts)])
         seg_tokens = sums[where[1:]] - sums[where[:-1]] + (seg_after >= 0)
         row_tokens = np.bincount(seg_row, weights=seg_tokens, minlength=n).astype(np.int64) if len(seg_row) else np.zeros(n, np.int64)
         if not self.keep_ids:
             return row_tokens, None
-        begin = self.begin[at][back] if len(back) else np.zeros(0, np.int64)
         total = int(sums[-1])
-        ids = self.ids[np.repeat(begin - sums[:-1], counts) + np.arange(total)] if total else np.zeros(0, np.int32)
+        ids = pool[np.repeat(begins[back] - sums[:-1], counts) + np.arange(total)] if total else np.zeros(0, np.int32)
         if (seg_after >= 0).any():
             use = np.flatnonzero(seg_after >= 0)
             ids = np.insert(ids, sums[where[1:]][use], seg_after[use].astype(np.int32))

@@ -81,7 +81,7 @@ def materialise(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, n = bpe.Encoder(held.value, keep_ids=False), 0
+        encoder, n = bpe.encoder(held.value, keep_ids=True), 0
         for batch in batches:
             data, offsets = ragged.utf8(batch.column(1))
             for a, b in ragged.blocks(offsets):
@@ -98,7 +98,7 @@ def materialise(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = bpe.Encoder(held.value, keep_ids=True)
+        encoder = bpe.encoder(held.value, keep_ids=True)
         begin, expected = places.value.get(TaskContext.get().partitionId(), (0, 0))
         at = begin
         for batch in batches:

@@ -23,7 +23,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     id_type = source.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.Encoder(vocabulary.value, keep_ids=False)
+        encoder = bpe.encoder(vocabulary.value, keep_ids=False)
         for batch in batches:
             data, offsets = ragged.utf8(batch.column(1))
             parts = [np.zeros(0, np.int64)]
