@@ -18,7 +18,7 @@ RULES = {
     "overwrite": lambda old, new: new,
     "patch": lambda old, new: F.coalesce(T.null_if_blank(new), old),
     "append": lambda old, new: F.coalesce(F.concat(old, F.lit(". "), T.null_if_blank(new)), T.null_if_blank(new), old),
-    "union": lambda old, new: F.array_union(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>"))),
+    "union": lambda old, new: F.when(new.isNull(), old).otherwise(F.array_union(F.coalesce(old, F.array().cast("array<string>")), new)),
 }
 
 

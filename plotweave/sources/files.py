@@ -23,7 +23,7 @@ def read_scene_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_scene_files(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a stream of files that arrive in the folder."""
-    return _named(spark.readStream.option("wholetext", True).text(folder).withColumn("path", F.url_decode(F.input_file_name())))
+    return _named(spark.readStream.text(folder, wholetext=True).withColumn("path", F.url_decode(F.input_file_name())))
 
 
 def append_history(runs: DataFrame, path: str) -> None:

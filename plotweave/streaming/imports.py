@@ -65,9 +65,10 @@ def import_batch(store: Store, files: DataFrame, extractor: extract.Extractor =
     """Load scene files (filename, stem, text) into the store; loading a file again replaces its scenes.
 
     Set-based: segmentation, extraction, resolution against the registry as it was, key upserts, and the check over the
-    dates that the batch touches. Units whose extraction fails are left out and counted.
+    dates that the batch touches. Units whose extraction fails are left out and counted; of files with one stem one counts.
     """
     spark = store.spark
+    files = files.dropDuplicates(["stem"])
     units = segment.segment_texts(files, "stem", "text", max_tokens)
     units = units.select(T.scene_id(F.col("id"), F.col("idx"), F.col("total")).alias("unit"), "id", "idx", "chunk").join(files.select(F.col("stem").alias("id"), "filename"), "id")
     analyzed = extract.analyze(units, "unit", "chunk", extractor).cache()
