@@ -20,6 +20,27 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+OP2_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+sized AS (SELECT item_id, words, least(10, len(words)) AS k FROM items WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(words[i : i + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - k + 2)) AS i FROM sized)),
+spots AS (
+  SELECT doc_id, k, i, array_to_string(words[i : i + k - 1], ' ') AS win
+  FROM (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM cut, (SELECT DISTINCT k FROM windows) WHERE len(words) >= k)),
+hits AS (SELECT doc_id, i, k, item_id FROM spots JOIN windows USING (k, win)),
+covered AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS w FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM cut LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave(read_table(spark, sf_dir, "documents"), shards=40, seed=1)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -117,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
