@@ -16,6 +16,8 @@ from plotweave.llm.common import Scratch, read_table
 LEAST_SHARE = 0.5
 #: Factors on the tokens of the labelled domains: toxic text goes, the rest keeps its proportions.
 MIX = {"good": 1.0, "plain": 1.0, "toxic": 0.0}
+#: Rates this near to a whole number are taken as it: text that is surely not toxic stays exactly once.
+SNAP = 0.25
 SHARDS = 40
 
 
@@ -37,7 +39,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay as often as the rate says that the mix gives them."""
     fitted, _ = source_mixing.mix(docs, read_table(spark, sf_dir, "labels"), F.expr(queries.DOMAIN), MIX, relative=True)
-    return source_mixing.repeat_rows(docs, fitted)
+    return source_mixing.repeat_rows(docs, fitted, snap=SNAP)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

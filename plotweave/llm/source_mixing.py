@@ -193,10 +193,14 @@ def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndar
     return r, y
 
 
-def copies(ids: list, rate: np.ndarray, seed: int) -> np.ndarray:
-    """Whole numbers whose mean is the rate: its floor, plus one where a hash of the id falls below the rest."""
+def copies(ids: list, rate: np.ndarray, seed: int, snap: float = 0.0) -> np.ndarray:
+    """Whole numbers whose mean is the rate: its floor, plus one where a hash of the id falls below the rest.
+
+    Rates within ``snap`` of a whole number count as it, so that soft memberships do not drop or repeat rows by chance.
+    """
     import xxhash
 
+    rate = np.where(np.abs(rate - np.round(rate)) <= snap, np.round(rate), rate)
     draw = np.array([xxhash.xxh64_intdigest(str(i), seed) for i in ids], np.uint64) / 2.0**64
     return np.floor(rate + draw).astype(np.int64)
 
@@ -297,7 +301,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain, weights: dict[str, float], r
     return fitted, table.mapInArrow(run, f"`{id_col}` {table.schema[id_col].dataType.simpleString()}, n_tokens long, p array<double>, rate double, copies long")
 
 
-def repeat_rows(docs: DataFrame, fitted: Mix, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_rows(docs: DataFrame, fitted: Mix, seed: int = 0, snap: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, each as often as its rate says (not at all included)."""
     held = docs.sparkSession.sparkContext.broadcast(fitted)
     text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
@@ -308,7 +312,7 @@ def repeat_rows(docs: DataFrame, fitted: Mix, seed: int = 0, id_col: str = "doc_
             for a, b in ragged.blocks(offsets):
                 _, p = held.value.classifier.posteriors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
-                often = copies(part.column(id_at).to_pylist(), rates(p, held.value.steps)[0], seed)
+                often = copies(part.column(id_at).to_pylist(), rates(p, held.value.steps)[0], seed, snap)
                 yield part.take(pa.array(np.repeat(np.arange(b - a), often)))
 
     return docs.mapInArrow(run, docs.schema)

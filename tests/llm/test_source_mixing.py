@@ -67,6 +67,13 @@ def test_repeat_rows_follows_the_rates(spark):
     assert found == {r.doc_id: r.copies for r in mixed.collect() if r.copies}
 
 
+def test_copies_snap_to_whole_numbers():
+    ids, rate = list(range(4000)), np.tile([0.05, 0.95, 1.5, 2.08], 1000)
+    plain, snapped = source_mixing.copies(ids, rate, 1), source_mixing.copies(ids, rate, 1, snap=0.1)
+    assert np.allclose(plain.reshape(-1, 4).mean(axis=0), [0.05, 0.95, 1.5, 2.08], atol=0.05)
+    assert (snapped.reshape(-1, 4)[:, [0, 1, 3]] == [0, 1, 2]).all() and set(snapped.reshape(-1, 4)[:, 2]) == {1, 2}
+
+
 def test_relative_weights_drop_a_domain_and_keep_the_rest(spark):
     docs, labels, names, _ = tables(spark)
     _, mixed = source_mixing.mix(docs, labels, F.col("kind"), {"a": 1.0, "b": 1.0, "c": 0.0}, relative=True)
