@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions import vectors
+from plotweave.operators.segment import Embedder, hash_embed
+
+
+def embed(text: Column, embedder: Embedder = hash_embed) -> Column:
+    """Vectors of texts (null as empty), by any function from a list of strings to a matrix, per Arrow batch."""
+
+    @F.pandas_udf("array<float>")
+    def column(texts: pd.Series) -> pd.Series:
+        found = np.asarray(embedder([t or "" for t in texts]), dtype="float32")
+        return pd.Series([row for row in found], index=texts.index, dtype="object")
+
+    return column(text)
 
 
 def metadata_filter(era: str | None = None, characters: list[str] | None = None) -> Column:

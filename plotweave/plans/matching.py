@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plotweave.operators import evaluate as V
 from plotweave.operators import metrics as R
 from plotweave.operators import resolve as E
 from plotweave.operators import search as N
@@ -33,6 +34,14 @@ def _cases(s):
     return s.table("events").select(F.col("event_type").alias("suite"), F.date_format("ts", "yyyy-MM-dd").alias("ts"), F.col("user_id").alias("kase"), "value", "event_id").groupBy("suite", "ts", "kase").agg((F.max("value") > 20).alias("passed"))
 
 
+def _history(s):
+    return _cases(s).groupBy("suite", "ts").agg(F.map_from_entries(F.collect_list(F.struct(F.col("kase").cast("string"), "passed"))).alias("cases")).withColumn("model", F.concat(F.lit("m"), F.length("suite").cast("string")))
+
+
+def _tagged(s):
+    return s.table("events").select("event_id", F.col("event_type").alias("category"), F.array(F.when(F.col("value") > 50, "high").otherwise("low"), F.lit("all")).alias("tags"))
+
+
 CASES = "WITH cases AS (SELECT event_type AS suite, strftime(ts, '%Y-%m-%d') AS ts, user_id AS kase, max(value) > 20 AS passed FROM events GROUP BY ALL)"
 
 PLANS = {
@@ -76,6 +85,21 @@ PLANS = {
         _story(lambda s: R.run_summary(_cases(s), ["suite", "ts"], "passed").select("suite", "ts", "passed", "total", "band")),
         CASES + " SELECT suite, ts, count(*) FILTER (passed) AS passed, count(*) AS total, CASE WHEN count(*) FILTER (passed) / count(*)::DOUBLE >= 0.8 THEN 'green' WHEN count(*) FILTER (passed) / count(*)::DOUBLE >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM cases GROUP BY suite, ts",
     ),
+    "runs_by_case": (
+        _story(lambda s: V.runs_by_case(_history(s))),
+        CASES + " SELECT 'm' || len(suite) AS model, suite, CAST(kase AS VARCHAR) AS case_name, count(*) AS runs, count(*) FILTER (passed) AS passes FROM cases GROUP BY ALL",
+    ),
+    "history_tail": (_story(lambda s: V.tail(_history(s), 7).select("ts", "suite", "model")), CASES + " SELECT ts, suite, 'm' || len(suite) AS model FROM (SELECT DISTINCT ts, suite FROM cases) ORDER BY ts DESC, suite LIMIT 7"),
+    "cases_by_tag": (
+        _story(lambda s: V.tagged(_tagged(s), ["click", "high"]).select("event_id")),
+        "SELECT event_id FROM events WHERE event_type = 'click' OR value > 50",
+    ),
+    "tag_facet": (_story(lambda s: V.all_tags(_tagged(s))), "SELECT DISTINCT tag FROM (SELECT event_type AS tag FROM events UNION ALL SELECT CASE WHEN value > 50 THEN 'high' ELSE 'low' END FROM events UNION ALL SELECT 'all')"),
+    "id_set_difference": (
+        _story(lambda s: s.presence().where("role = 'R'").select("scene_id").exceptAll(s.issues().where("scene_id IS NOT NULL").select("scene_id")).distinct().subtract(s.issues().select("scene_id"))),
+        SQL + "SELECT DISTINCT scene_id FROM presence WHERE role = 'R' AND scene_id NOT IN (SELECT scene_id FROM issues WHERE scene_id IS NOT NULL)",
+    ),
+    "present_not_mentioned": (_story(lambda s: s.presence().where("role <> 'N'").groupBy("scene_id").agg(F.countDistinct("character_id").alias("n"))), SQL + "SELECT scene_id, count(DISTINCT character_id) AS n FROM presence WHERE role <> 'N' GROUP BY scene_id"),
     "run_diff_last_two": (
         _story(lambda s: R.diff_last_two(_cases(s), "suite", "ts", "kase", "passed")),
         CASES + ", runs AS (SELECT suite, ts, row_number() OVER (PARTITION BY suite ORDER BY ts DESC) AS n FROM (SELECT DISTINCT suite, ts FROM cases)), a AS (SELECT suite, kase, passed AS now FROM cases JOIN runs USING (suite, ts) WHERE n = 1), b AS (SELECT suite, kase, passed AS before FROM cases JOIN runs USING (suite, ts) WHERE n = 2) SELECT suite, kase, now, before, CASE WHEN before IS NULL THEN 'new' WHEN now IS NULL THEN 'gone' WHEN now = before THEN '=' WHEN now THEN '+' ELSE '-' END AS change FROM a FULL JOIN b USING (suite, kase)",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions import text as T
-from plotweave.operators import checks, extract, merge, render, resolve, segment
+from plotweave.operators import checks, extract, merge, render, resolve, search, segment
 from plotweave.sources.store import Store
 
 # States of an import and the seconds that a clarification waits.
@@ -103,6 +103,15 @@ def import_batch(store: Store, files: DataFrame, extractor: extract.Extractor =
     links = segment.next_chunks(good, "stem", "idx", "id")
     put("next_chunks", links, {"to_id": "overwrite"}, ["from_id"])
 
+    event = F.concat(F.lit("evt-"), F.col("id"))
+    put("events", scenes.select(event.alias("id"), "date", "era", "title", F.col("summary").alias("description")), dict.fromkeys(("date", "era", "title", "description"), "overwrite"), ["id"])
+    put("event_scenes", scenes.select(event.alias("event_id"), F.col("id").alias("scene_id")), {}, ["event_id", "scene_id"])
+    put("event_locations", scenes.where("location_id IS NOT NULL").select(event.alias("event_id"), "location_id"), {}, ["event_id", "location_id"])
+    put("participants", people.select(F.col("entity_id").alias("character_id"), F.concat(F.lit("evt-"), F.col("scene_id")).alias("event_id"), "role"), {"role": "overwrite"}, ["character_id", "event_id"])
+    cast = people.groupBy(F.col("scene_id").alias("id")).agg(F.sort_array(F.collect_set("entity_id")).alias("characters"))
+    documents = scenes.join(cast, "id", "left").select("id", F.col("raw_text").alias("document"), search.embed(F.col("raw_text")).alias("embedding"), "era", "location_id", F.coalesce("characters", F.array().cast("array<string>")).alias("characters"))
+    put("vectors", documents, dict.fromkeys(("document", "embedding", "era", "location_id", "characters"), "overwrite"), ["id"])
+
     all_scenes = store.read("scenes").select(F.col("id").alias("scene_id"), "date", "location_id", "title")
     touched = scenes.select("date").where("date IS NOT NULL").distinct()
     pairs = checks.bilocalization(store.read("presence"), all_scenes.join(touched, "date", "left_semi"))

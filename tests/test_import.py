@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from plotweave.operators import checks, extract, lookups, metrics, search
+from plotweave.operators import checks, evaluate, extract, lookups, metrics, search, segment
 from plotweave.sources import files, schemas, seed
 from plotweave.sources.store import Store
 from plotweave.streaming import imports
@@ -29,12 +29,14 @@ def test_import_is_idempotent_and_finds_the_bilocation(spark, tmp_path):
     for _ in range(2):
         counts = imports.import_batch(store, files.read_scene_files(spark, str(tmp_path / "in")))
         assert counts == {"scenes": 3, "failed": 0, "issues": 1}
-        assert store.read("scenes").count() == 3 and store.read("presence").count() == 5
-        for table in ("characters", "locations", "scenes", "presence", "issues"):
+        assert {t: store.read(t).count() for t in ("scenes", "presence", "events", "participants", "event_locations", "vectors")} == {"scenes": 3, "presence": 5, "events": 3, "participants": 5, "event_locations": 3, "vectors": 3}
+        for table in ("characters", "locations", "scenes", "presence", "issues", "events", "participants", "vectors"):
             schemas.assert_key(store.read(table), schemas.key_of(table))
     issue = store.read("issues").first()
     assert issue.id == "biloc-ada-brandt-scene-001-scene-002" and issue.severity == "error" and issue.resolved is False
     assert {r.id for r in store.read("characters").collect()} == {"ada-brandt", "jonas-weil", "mira-okonjo"}
+    hits = search.nearest(store.read("vectors"), segment.hash_embed([SCENES["002.TXT"]])[0].tolist(), 2, search.metadata_filter(era="1910s", characters=["ada-brandt"]))
+    assert [r.id for r in hits.collect()] == ["scene-002", "scene-001"]
     store.vacuum("scenes")
     store.wipe()
     assert store.read("scenes").count() == 0
@@ -147,3 +149,22 @@ def test_metrics_and_search(spark):
     assert [r.id for r in search.nearest(table, [4.2, 0.0], 2, search.metadata_filter("e", ["a"])).collect()] == [5, 3]
     assert search.nearest(table, [0.0, 0.0], 2, search.metadata_filter("none")).count() == 0
     assert [r.id for r in search.related(table, [4.0, 0.0], 4, k=2).collect()] == [3, 5]
+
+
+def test_evaluators_over_the_seed(spark, tmp_path):
+    store = Store(spark, "file://" + str(tmp_path / "store"))
+    seed.load(store)
+    cases = [
+        ("people", "characters", {}, ("recall", "name", ["Ada Brandt", "Pavel Orlov", "Nobody"]), False),
+        ("two places", "locations", {}, ("exactly", 2), True),
+        ("few scenes", "scenes", {}, ("at_most", 3), False),
+        ("cast", "fragments", {"character_id": "ada-brandt", "role": "participant"}, ("at_least", 3), True),
+        ("no ghosts", "characters", {}, ("absent", "name", ["Ghost"]), True),
+        ("white tower", "locations", {}, ("keywords", "description", ["WHITE", "tower"]), True),
+    ]
+    out = {r.case_name: r.passed for r in evaluate.run_cases(store, cases_of(cases)).collect()}
+    assert out == {c[0]: c[4] for c in cases}
+
+
+def cases_of(rows):
+    return [evaluate.Case(name, query, parameters, check) for name, query, parameters, check, _ in rows]
