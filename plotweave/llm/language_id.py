@@ -23,7 +23,7 @@ SAMPLE_ROWS = 1500
 #: Share of a language's letters from which on a script counts as its own.
 SCRIPT_SHARE = 0.005
 #: Bytes handled at a time.
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 
 # Main letter ranges of scripts.
 SCRIPTS = [
