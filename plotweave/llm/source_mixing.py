@@ -119,7 +119,7 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, domain, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Fit on about ``rows`` labelled documents per domain; ``domain`` is a column of ``labels`` (null: no label).
 
-    An id with several labels counts with its alphabetically first domain. The sampled labels, whose number is bounded
+    At most 255 domains. An id with several labels counts with its alphabetically first domain. The sampled labels, whose number is bounded
     by ``rows`` and the number of domains, are broadcast to the documents; only the sampled texts come to the driver.
     """
     known = labels.select(F.col(id_col).alias("__id"), domain.cast("string").alias("__domain")).where("__id IS NOT NULL AND __domain IS NOT NULL").groupBy("__id").agg(F.min("__domain").alias("__domain"))
@@ -135,23 +135,41 @@ def train(docs: DataFrame, labels: DataFrame, domain, rows: int = SAMPLE_ROWS, i
     label = np.array([domains.index(x) for x in sample.column(1).to_pylist()], np.int64)
     keys = _informative(data, offsets, label, len(domains))
     model = Classifier(domains, keys, np.zeros((len(keys) + SHAPES + 1, len(domains))), np.zeros(SHAPES), np.ones(SHAPES))
-    raw = model.features(data, offsets)[3][:, :SHAPES]
+    raw = _in_blocks(model, data, offsets)[2][:, :SHAPES]
     model.shape_mean, model.shape_scale = raw.mean(axis=0) if len(raw) else raw.sum(axis=0), np.maximum(raw.std(axis=0), 1e-3) if len(raw) else np.ones(SHAPES)
-    _, row, word, dense = model.features(data, offsets)
+    row, word, dense = _in_blocks(model, data, offsets)
     _descend(model, label, row, word, dense, np.array([counts[d] for d in domains], float))
     return model
 
 
+def _in_blocks(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all rows, worked out for a block of texts at a time."""
+    rows, words, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, SHAPES + 1))]
+    for a, b in ragged.blocks(offsets, 1 << 20):
+        _, row, word, shape = model.features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        rows.append(row + a)
+        words.append(word)
+        dense.append(shape)
+    return np.concatenate(rows), np.concatenate(words), np.concatenate(dense)
+
+
 def _informative(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, domains: int) -> np.ndarray:
     """The features whose presence differs most between a domain and the rest, in standard errors."""
-    every, row = marks_of(ragged.LOWER[data], offsets)
-    order = np.lexsort((row, every))
-    every, row = every[order], row[order]
-    new = np.ones(len(every), bool)
-    new[1:] = (every[1:] != every[:-1]) | (row[1:] != row[:-1])
-    keys, at = np.unique(every[new], return_inverse=True)
-    held = np.bincount(at * domains + label[row[new]], minlength=len(keys) * domains).reshape(-1, domains)
-    often = held.sum(axis=1)
+    marks, labels = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for a, b in ragged.blocks(offsets, 1 << 20):
+        every, row = marks_of(ragged.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
+        order = np.lexsort((every, row))
+        every, row = every[order], row[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]) | (row[1:] != row[:-1])
+        marks.append(every[new])
+        labels.append(label[row[new] + a].astype(np.uint8))
+    every, of = np.concatenate(marks), np.concatenate(labels)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    held = np.stack([np.add.reduceat((of == k).astype(np.int32), first) if len(first) else np.zeros(0, np.int32) for k in range(domains)], axis=1)
+    keys, often = every[first], held.sum(axis=1)
     keys, held, often = keys[often >= LEAST_DOCUMENTS], held[often >= LEAST_DOCUMENTS], often[often >= LEAST_DOCUMENTS]
     size = np.bincount(label, minlength=domains)
     rest, others = np.maximum(len(label) - size, 1), often[:, None] - held
