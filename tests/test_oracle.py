@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 
 from plotweave.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
