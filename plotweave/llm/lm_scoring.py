@@ -1,16 +1,20 @@
 """LM scoring (operator 7): a hierarchical Pitman-Yor bigram model with Chinese-restaurant seating by Gibbs sampling.
 
-Restaurants. Each of the ``CONTEXTS`` most frequent tokens is a context with its own restaurant, all other tokens share
-one. They serve the ``DISHES`` most frequent tokens and the dish "rare", and share one parent restaurant, whose
-customers are their tables and whose base is uniform. A last restaurant says which rare word it is; half of its base
-lies on words that training has not seen, the rest is uniform over the rare words.
+Restaurants. Every token of training, the end of a text included, is a context with its own restaurant and a dish of
+all of them. Their parent is one restaurant whose customers are their tables; half of its base lies on words that
+training has not seen, the rest is uniform over those seen.
 
-Counting is distributed and complete: token counts and (context, dish) counts cover every training row. What Gibbs
-sampling then runs on has a size that does not grow with the input (CONTEXTS x DISHES cells, and the distinct counts of
-rare words), so it runs in the driver's process. Predictive probabilities are averaged over the sweeps kept.
+All of it is distributed and grows with the input: the counts of all (context, word) cells, their tables, and the terms
+that scoring joins. Cells lie by a hash of context and word, so no restaurant needs one machine; a sweep reseats all
+cells at once given the tables of the last one, which it joins as totals by context and by word. A cell of one customer
+has one table and is not sampled. Tables are averaged over the sweeps kept. The parent's tables depend on a word's number
+of customers only and are sampled in the driver's process, once per distinct number.
 
-Scoring sends to the executors the table of averaged probabilities and the ``HEAD`` most frequent tokens; counts of
-other tokens are joined.
+A score is a sum over a text's tokens of two terms. What a token adds as a word of the parent and as a context is looked
+up among the ``HEAD`` most frequent tokens, which executors hold, and joined for others. What a cell seen in training
+adds to that is looked up among the ``HEAD`` most frequent cells and joined for others.
+
+With ``DISHES`` set the model is bounded instead: that many dishes, others share one, and ``CONTEXTS`` contexts.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from pyspark.sql import functions as F
 from plotweave.llm import ragged
 from plotweave.llm.common import Scratch
 
+#: Bounds of the bounded model; None: all tokens are contexts and dishes.
+DISHES: int | None = None
 CONTEXTS = 256
-DISHES = 4095
-#: Tokens whose counts every executor holds, at most.
+#: Tokens, and cells, whose terms every executor holds, at most.
 HEAD = 1 << 18
 #: The end of a text; no word contains white space.
 END = " "
@@ -36,6 +41,8 @@ BLOCK = 1 << 22
 #: Counts up to here have their tables sampled exactly.
 EXACT = 32
 BURN_IN, KEPT = 4, 8
+#: Sweeps over the cells of the whole model.
+CELL_BURN_IN, CELL_KEPT = 1, 2
 STRENGTH = 1.0
 UNSEEN_BASE = 0.5
 
@@ -115,6 +122,8 @@ class LanguageModel:
     rare_customers: float = 0.0
     rare_total: float = 0.0
     rare_types: int = 0
+    deltas: DataFrame = field(default=None)  # pair, n, delta of all cells; None for the bounded model
+    head_terms: np.ndarray = field(default=None)  # log10 of what a head token adds as word and as context
 
     def log_rare(self, counts: np.ndarray) -> np.ndarray:
         """log10 probability of a rare word with that training count (0: unseen), given that it is rare."""
@@ -145,18 +154,25 @@ def count_tokens(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(texts.mapInArrow(_partial_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
 
 
-def _head(vocabulary: DataFrame) -> tuple[list[str], np.ndarray, int, int, int]:
-    """The most frequent tokens, at most HEAD, by whole levels of their logarithmic count; and N and V."""
-    levels = vocabulary.groupBy(_level(F.col("c")).alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("level")).collect()
+def _most_frequent(counted: DataFrame, c: str) -> tuple[int, list]:
+    """The least level of the logarithmic count from which on there are at most HEAD rows, and all levels."""
+    levels = counted.groupBy(_level(F.col(c)).alias("level")).agg(F.count("*").alias("n"), F.sum(c).alias("c")).orderBy(F.desc("level")).collect()
     least, room = 1 << 20, HEAD
     for r in levels:
         if r.n > room:
             break
         least, room = r.level, room - r.n
+    return least, levels
+
+
+def _head(vocabulary: DataFrame, *more: str) -> tuple:
+    """The most frequent tokens, at most HEAD, by whole levels of their logarithmic count; N and V; columns ``more`` of them."""
+    least, levels = _most_frequent(vocabulary, "c")
     rows = vocabulary.where((_level(F.col("c")) >= least) | (F.col("word") == END)).toArrow()
     words, counts = rows.column("word").to_pylist(), rows.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-    return [words[i] for i in order], counts[order] if order else np.zeros(0, np.int64), least, sum(r.c for r in levels), sum(r.n for r in levels)
+    columns = [rows.column(name).to_numpy()[order] if order else np.zeros(0) for name in more]
+    return [words[i] for i in order], counts[order] if order else np.zeros(0, np.int64), least, sum(r.c for r in levels), sum(r.n for r in levels), *columns
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -189,6 +205,8 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 7) -> LanguageMod
     scratch = Scratch(spark, "language-model")
     texts = docs.select(text_col)
     vocabulary = count_tokens(texts, scratch)
+    if DISHES is None:
+        return _train_whole(texts, vocabulary, scratch, seed)
     head, counts, least, tokens, types = _head(vocabulary)
     dishes = min(DISHES, len(head))
     contexts = min(CONTEXTS, dishes + 1)
@@ -223,6 +241,144 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 7) -> LanguageMod
     return model
 
 
+def _followed(marks: np.ndarray, starts: np.ndarray, offsets: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of what stands before each token, and of the token; each text has an end before it and one after it."""
+    per_row = ragged.per_row(starts, offsets)
+    after = np.full(len(marks) + len(per_row), end, np.uint64)
+    after[np.arange(len(marks)) + np.repeat(np.arange(len(per_row)), per_row)] = marks
+    return np.concatenate([np.full(min(1, len(after)), end, np.uint64), after[:-1]]), after
+
+
+def _pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """64-bit hash of a cell."""
+    with np.errstate(over="ignore"):
+        h = (before * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (before >> np.uint64(29))
+        h = (h + after) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(29))
+
+
+def _partial_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    end = _word_hashes([END])[0]
+    for batch in batches:
+        data, offsets = ragged.utf8(batch.column(0))
+        for a, b in ragged.blocks(offsets, BLOCK):
+            part = offsets[a : b + 1] - offsets[a]
+            _, starts, _, marks = ragged.words(data[offsets[a] : offsets[b]], part)
+            before, after = _followed(marks, starts, part, end)
+            _, first, n = np.unique(_pair(before, after), return_index=True, return_counts=True)
+            for at in range(0, len(n), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (before[first[some]], after[first[some]], n[some])], names=["u", "w", "n"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = ragged.utf8(batch.column(0))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ragged.hashes(data, offsets[:-1], offsets[1:]).view(np.int64))], names=["word", "c", "h"])
+
+
+def _totals(cells: DataFrame, tables, names: tuple[str, str]) -> DataFrame:
+    """Tables of each context and customers of each word in the parent; in training every token is both."""
+    by = [cells.groupBy(F.col(side).alias("h")).agg(F.sum(tables).alias(name)) for side, name in zip("uw", names, strict=True)]
+    return by[0].join(by[1], "h", "full")
+
+
+def _seat_parent(model: LanguageModel, by_count: dict[float, int], rng: np.random.Generator) -> None:
+    """Average tables of the parent by a word's number of customers."""
+    counts = np.array(sorted(by_count), float)
+    many = np.array([by_count[c] for c in counts.tolist()], float)
+    whole = np.maximum(np.round(counts), 1)
+    d = model.rare_discount = discount(int(many[whole == 1].sum()), int(many[whole == 2].sum()))
+    model.rare_counts, model.rare_types, model.rare_customers = counts, int(many.sum()), float((counts * many).sum())
+    draws = 8  # seatings of each distinct count in a sweep
+    seats = Seating(np.repeat(whole, draws), np.zeros(len(counts) * draws, int), 1, d, rng)
+    base = np.full(len(seats.counts), (1 - UNSEEN_BASE) / max(model.rare_types, 1))
+    tables = np.zeros(len(counts))
+    for step in range(BURN_IN + KEPT):
+        seats.sweep(base, (seats.tables.reshape(-1, draws).mean(axis=1) * many).sum() - seats.tables)
+        if step >= BURN_IN:
+            tables += seats.tables.reshape(-1, draws).mean(axis=1) / KEPT
+    model.rare_tables, model.rare_total = np.minimum(tables, counts), float((np.minimum(tables, counts) * many).sum())
+
+
+def _parent_only(model: LanguageModel) -> LanguageModel:
+    """What ``log_rare`` needs, without what cannot be sent to executors."""
+    return LanguageModel(None, 0, 0, [], None, 0, 0, 0, 0, None, model.rare_counts, model.rare_tables, model.rare_discount, model.rare_customers, model.rare_total, model.rare_types)
+
+
+def _counted(column) -> dict[float, int]:
+    return {float(r[0]): int(r.n) for r in column.groupBy(*column.columns).agg(F.count("*").alias("n")).collect()}
+
+
+def _train_whole(texts: DataFrame, vocabulary: DataFrame, scratch: Scratch, seed: int) -> LanguageModel:
+    """The model with all contexts and dishes; its vocabulary has ``p``, log10 of the parent's probability, and ``v``, ``p`` and the context's term."""
+    cells = scratch.save(texts.mapInArrow(_partial_cells, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "cells")
+    ones = cells.agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).first()
+    d = discount(ones.a, ones.b)
+    single = F.when(F.col("n") == 1, 1.0).otherwise(0.0)
+    fixed = scratch.save(_totals(cells, single, ("t1", "k1")), "fixed")
+    parent = LanguageModel(None, 0, 0, [], None, 0, 0, 0, 0)
+    multi = cells.where("n > 1").withColumn("t", F.lit(1.0)).withColumn("kept", F.lit(0.0))
+
+    def totals(name: str, tables) -> DataFrame:
+        found = _totals(multi, tables, ("t2", "k2"))
+        both = fixed.join(found, "h", "left").select("h", (F.col("t1") + F.coalesce("t2", F.lit(0.0))).alias("t"), (F.col("k1") + F.coalesce("k2", F.lit(0.0))).alias("k"))
+        out = scratch.save(both, name)
+        _seat_parent(parent, _counted(out.select("k")), np.random.default_rng(seed))
+        return out
+
+    def with_totals(some: DataFrame, stats: DataFrame) -> DataFrame:
+        return some.join(stats.select(F.col("h").alias("u"), F.col("t").alias("tu")), "u").join(stats.select(F.col("h").alias("w"), F.col("k").alias("kw")), "w")
+
+    for step in range(CELL_BURN_IN + CELL_KEPT):
+        stats = totals(f"totals-{step}", F.col("t"))
+        words, keep = _parent_only(parent), (1 / CELL_KEPT if step >= CELL_BURN_IN else 0.0)
+
+        def seat(batches: Iterator[pa.RecordBatch], words=words, keep=keep, step=step) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
+            for batch in batches:
+                n, t, kept, tu, kw = (batch.column(i).to_numpy().astype(float) for i in range(2, 7))
+                seats = Seating(n, np.zeros(len(n), int), 1, d, rng)
+                seats.sweep(10 ** words.log_rare(kw), tu - t)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seats.tables), pa.array(kept + keep * seats.tables)], names=["u", "w", "n", "t", "kept"])
+
+        columns = with_totals(multi, stats).select("u", "w", "n", "t", "kept", "tu", "kw")
+        multi = scratch.save(columns.mapInArrow(seat, "u long, w long, n long, t double, kept double"), f"seated-{step}")
+        scratch.drop(f"totals-{step}", *([f"seated-{step - 1}"] if step else []))
+
+    stats = totals("totals", F.col("kept"))
+    words = _parent_only(parent)
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            n, t, tu, kw = (batch.column(i).to_numpy().astype(float) for i in range(2, 6))
+            delta = np.log10(1 + (n - d * t) / ((STRENGTH + d * tu) * 10 ** words.log_rare(kw)))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(u, w).view(np.int64)), batch.column(2), pa.array(delta)], names=["pair", "n", "delta"])
+
+    every = cells.where("n = 1").withColumn("t", F.lit(1.0)).unionByName(multi.select("u", "w", "n", F.col("kept").alias("t")))
+    deltas = scratch.save(with_totals(every, stats).select("u", "w", "n", "t", "tu", "kw").mapInArrow(terms, "pair long, n long, delta double"), "deltas")
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, t, k = (batch.column(i).to_numpy().astype(float) for i in range(1, 4))
+            p = words.log_rare(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.log10((STRENGTH + d * t) / (STRENGTH + c)) + p), pa.array(p)], names=["word", "c", "v", "p"])
+
+    joined = vocabulary.select("word", "c").mapInArrow(_marked, "word string, c long, h long").join(stats, "h").select("word", "c", "t", "k")
+    vocabulary = scratch.save(joined.mapInArrow(values, "word string, c long, v double, p double"), "terms")
+    scratch.drop("cells", "fixed", "vocabulary", f"seated-{CELL_BURN_IN + CELL_KEPT - 1}", "totals")
+    head, counts, least, tokens, types, of_head = _head(vocabulary, "v")
+    model = LanguageModel(vocabulary, tokens, types, head, counts, least, 0, 0, head.index(END) if END in head else -1, deltas=deltas, head_terms=of_head)
+    for name in ("counts", "tables", "discount", "customers", "total", "types"):
+        setattr(model, f"rare_{name}", getattr(parent, f"rare_{name}"))
+    return model
+
+
 def _fit(model: LanguageModel, cell: np.ndarray, n: np.ndarray, by_count: dict[int, int], rng: np.random.Generator) -> None:
     width, contexts = model.dishes + 1, model.contexts
     context, dish = cell // width, cell % width
@@ -280,16 +436,23 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     scratch = Scratch(spark, "lm-scores")
     source = docs.select(id_col, text_col, *also)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text_col]
-    held = spark.sparkContext.broadcast((_word_hashes(model.head), model.head_counts, model.log_predict))
+    whole_model = model.deltas is not None
+    cells = np.zeros(0, np.uint64), np.zeros(0)
+    if whole_model:
+        least_cell, _ = _most_frequent(model.deltas, "n")
+        frequent = model.deltas.where(_level(F.col("n")) >= least_cell).select("pair", "delta").toArrow()
+        cells = frequent.column("pair").to_numpy().view(np.uint64), frequent.column("delta").to_numpy()
+    held = spark.sparkContext.broadcast((_word_hashes(model.head), model.head_counts, model.head_terms if whole_model else model.log_predict, *cells))
     dishes, contexts, end = model.dishes, model.contexts, model.end
-    rare = LanguageModel(None, 0, 0, [], None, 0, 0, 0, 0, None, model.rare_counts, model.rare_tables, model.rare_discount, model.rare_customers, model.rare_total, model.rare_types)
+    end_mark = _word_hashes([END])[0]
+    rare = _parent_only(model)
     tail_type = pa.struct([("word", pa.string()), ("times", pa.int64())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        marks_held, counts, predict = held.value
-        table = ragged.HashTable(marks_held)
+        marks_held, counts, predict, pairs, deltas = held.value
+        table, cell_table = ragged.HashTable(marks_held), ragged.HashTable(pairs)
         log_count, log_rare = np.log10(counts + 1.0), rare.log_rare(counts)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -299,10 +462,15 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
                 part = offsets[a : b + 1] - offsets[a]
                 low, starts, ends_at, marks = ragged.words(data[offsets[a] : offsets[b]], part)
                 ids, place, ends = _sequence(marks, starts, part, table, end)
-                context, dish = _cells(ids, ends, dishes, contexts, end)
-                value = predict[context, dish].astype(float)
                 in_head = ids >= 0
-                value[in_head & (dish == dishes)] += log_rare[ids[in_head & (dish == dishes)]]
+                if whole_model:
+                    value = np.where(in_head, predict[ids], 0.0) if len(counts) else np.zeros(len(ids))
+                    cell = cell_table.find(_pair(*_followed(marks, starts, part, end_mark)))
+                    value[cell >= 0] += deltas[cell[cell >= 0]]
+                else:
+                    context, dish = _cells(ids, ends, dishes, contexts, end)
+                    value = predict[context, dish].astype(float)
+                    value[in_head & (dish == dishes)] += log_rare[ids[in_head & (dish == dishes)]]
                 if end < 0:  # not even an end was seen in training
                     value[ends] += rare.log_rare(np.zeros(1))[0]
                 base = np.where(in_head, log_count[ids], 0.0) if len(counts) else np.zeros(len(ids))
@@ -319,18 +487,23 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
                 bounds = np.searchsorted(row[first], np.arange(b - a + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], fields=list(tail_type)))
                 kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if i != text_at]
-                arrays = [pa.array(number + np.arange(b - a)), *kept, pa.array(np.diff(np.append(edges, len(ids)))), pa.array(np.add.reduceat(in_head, edges, dtype=np.int64)), pa.array(np.add.reduceat(base, edges)), pa.array(np.add.reduceat(value, edges)), lists]
+                text = [batch.column(text_at).slice(a, b - a)] if whole_model else []
+                arrays = [pa.array(number + np.arange(b - a)), *kept, pa.array(np.diff(np.append(edges, len(ids)))), pa.array(np.add.reduceat(in_head, edges, dtype=np.int64)), pa.array(np.add.reduceat(base, edges)), pa.array(np.add.reduceat(value, edges)), lists, *text]
                 number += b - a
-                yield pa.RecordBatch.from_arrays(arrays, names=["__row", *(batch.schema.names[i] for i in range(batch.num_columns) if i != text_at), "n_tokens", "__known", "__base", "__value", "__tail"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["__row", *(batch.schema.names[i] for i in range(batch.num_columns) if i != text_at), "n_tokens", "__known", "__base", "__value", "__tail", *(["__text"] if whole_model else [])])
 
-    walked = scratch.save(source.mapInArrow(walk, ", ".join(["__row long", *fields, "n_tokens long, __known long, __base double, __value double, __tail array<struct<word: string, times: long>>"])), "rows")
+    walked = scratch.save(source.mapInArrow(walk, ", ".join(["__row long", *fields, "n_tokens long, __known long, __base double, __value double, __tail array<struct<word: string, times: long>>", *(["__text string"] if whole_model else [])])), "rows")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.column(1).to_numpy().astype(float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(c + 1)), pa.array(rare.log_rare(c))], names=["word", "b", "v"])
 
-    others = model.vocabulary.where((_level(F.col("c")) < model.least_head) & (F.col("word") != END)).select("word", "c").mapInArrow(values, "word string, b double, v double")
+    others = model.vocabulary.where((_level(F.col("c")) < model.least_head) & (F.col("word") != END))
+    if whole_model:
+        others = others.select("word", F.log10(F.col("c") + 1).alias("b"), "v")
+    else:
+        others = others.select("word", "c").mapInArrow(values, "word string, b double, v double")
     unseen = float(rare.log_rare(np.zeros(1))[0])
     tails = walked.select("__row", F.explode("__tail").alias("t")).select("__row", "t.word", "t.times").join(others, "word", "left")
     sums = tails.groupBy("__row").agg(
@@ -338,7 +511,27 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
         F.sum(F.col("times") * F.coalesce("v", F.lit(unseen))).alias("__v"),
         F.sum(F.when(F.col("b").isNotNull(), F.col("times")).otherwise(0)).alias("__k"),
     )
-    whole = walked.drop("__tail").join(sums, "__row", "left")
+    whole = walked.drop("__tail", "__text").join(sums, "__row", "left").withColumn("__d", F.lit(0.0))
+    if whole_model:
+
+        def tail_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell_table = ragged.HashTable(held.value[3])
+            for batch in batches:
+                number = batch.column(0).to_numpy()
+                data, offsets = ragged.utf8(batch.column(1))
+                for a, b in ragged.blocks(offsets, BLOCK):
+                    part = offsets[a : b + 1] - offsets[a]
+                    _, starts, _, marks = ragged.words(data[offsets[a] : offsets[b]], part)
+                    pair = _pair(*_followed(marks, starts, part, end_mark))
+                    row = np.repeat(number[a:b], ragged.per_row(starts, part) + 1)
+                    left = np.flatnonzero(cell_table.find(pair) < 0)
+                    for at in range(0, len(left), 1 << 16):
+                        some = left[at : at + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(pair[some].view(np.int64))], names=["__row", "pair"])
+
+        seen = walked.select("__row", "__text").mapInArrow(tail_cells, "__row long, pair long")
+        tail_deltas = model.deltas.where(_level(F.col("n")) < least_cell).select("pair", "delta")
+        whole = whole.drop("__d").join(seen.join(tail_deltas, "pair").groupBy("__row").agg(F.sum("delta").alias("__d")), "__row", "left")
     smooth = float(np.log10(model.tokens + model.types + 1))
     return whole.select(
         id_col,
@@ -347,5 +540,5 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
         (F.col("__known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("__base") + F.coalesce("__b", F.lit(0.0)) - F.col("n_tokens") * smooth).alias("base_score"),
-        (F.col("__value") + F.coalesce("__v", F.lit(0.0))).alias("score"),
+        (F.col("__value") + F.coalesce("__v", F.lit(0.0)) + F.coalesce("__d", F.lit(0.0))).alias("score"),
     )

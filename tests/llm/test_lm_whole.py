@@ -1,0 +1,65 @@
+"""The model without bounds: every token is a context and a dish."""
+
+import math
+
+import numpy as np
+import pytest
+
+from plotweave.llm import lm_scoring
+from tests.llm.helpers import documents
+from tests.llm.test_lm_scoring import corpus, tokens
+
+
+def parts(model):
+    """log10 P(after | before) of any two tokens, by the model's tables."""
+    deltas = {r.pair: r.delta for r in model.deltas.collect()}
+    terms = {r.word: r.v for r in model.vocabulary.collect()}
+
+    def delta(before, after):
+        marks = lm_scoring._word_hashes([before, after])
+        return deltas.get(int(lm_scoring._pair(marks[:1], marks[1:]).view(np.int64)[0]), 0.0)
+
+    return terms, delta
+
+
+@pytest.mark.parametrize("head", [1 << 18, 6])
+def test_scores_are_sums_of_the_models_terms(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 1000)
+    texts = corpus()
+    model = lm_scoring.train(documents(spark, texts[::2]))
+    terms, delta = parts(model)
+    unseen = float(model.log_rare(np.zeros(1))[0])
+    rows = sorted(lm_scoring.score(documents(spark, texts), model).collect())
+    for r, text in zip(rows, texts, strict=True):
+        t = tokens(text)
+        want = sum(terms.get(x, unseen) for x in t) + sum(delta(a, b) for a, b in zip([lm_scoring.END, *t[:-1]], t, strict=True))
+        assert r.score == pytest.approx(want, rel=1e-9)
+        assert math.isfinite(r.score)
+
+
+def test_each_context_sums_to_one(spark):
+    texts = corpus()
+    model = lm_scoring.train(documents(spark, texts))
+    _, delta = parts(model)
+    rows = model.vocabulary.collect()
+    parent, share = {r.word: 10**r.p for r in rows}, {r.word: 10 ** (r.v - r.p) for r in rows}
+    unseen = 10 ** float(model.log_rare(np.zeros(1))[0])
+    assert sum(parent.values()) + unseen == pytest.approx(1)
+    for before in [lm_scoring.END, "w1", "w2", "the", "a"]:
+        total = sum(p * 10 ** delta(before, w) for w, p in parent.items()) + unseen
+        assert total * share[before] == pytest.approx(1)
+
+
+def test_contexts_beyond_the_bounds_keep_their_successors(spark):
+    """2,000 contexts of one successor each, all equally frequent: the bounded model told only 255 of them apart."""
+    n = 2000
+    follow = np.random.default_rng(3).permutation(n)
+    lines = [f"a{i} b{follow[i]}" for i in range(n) for _ in range(3)]
+    model = lm_scoring.train(documents(spark, lines))
+    right = [f"a{i} b{follow[i]}" for i in range(n)]
+    wrong = [f"a{i} b{follow[(i + 1) % n]}" for i in range(n)]
+    rows = sorted(lm_scoring.score(documents(spark, right + wrong), model).collect())
+    better = [rows[i].score > rows[n + i].score + 1 for i in range(n)]
+    assert all(better)
+    assert model.deltas.count() == 3 * n
