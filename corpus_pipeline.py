@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import decontaminate, language_id, queries, sharding, simhash_dedup, source_mixing
+from plotweave.llm import decontaminate, language_id, queries, sharding, shingle_dedup, source_mixing
 from plotweave.llm.common import Scratch, read_table
 
 #: Least share of a text's letters in its main language.
@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    return shingle_dedup.drop_near_duplicates(docs, width=5, least=0.8)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: SQL can express neither the learned stages nor the fingerprints; tests compare with brute force.
+#: SQL can express neither the learned stages nor the shingles; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,138 @@
+"""Near-duplicate removal by the similarity of word shingles: pairs of texts with a Jaccard similarity of at least 0.8.
+
+MinHash bands find candidates and exact Jaccard decides, so no pair below the similarity is linked. With 24 bands of
+4 values a pair at exactly 0.8 shares no band in 3 of a million cases, a closer one less often. Equal texts are one
+node. In each bucket all texts are first compared with its first one; then only pairs that are not yet connected are
+compared, so a large group of near copies is not compared pair by pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plotweave.llm import ragged
+from plotweave.llm.common import Scratch
+from plotweave.llm.components import components
+
+BANDS, VALUES = 24, 4
+_ODD = np.random.default_rng(10).integers(0, 1 << 63, (BANDS * VALUES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(29))
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` words, row by row, and how many each row has; a shorter text is one run."""
+    _, starts, _, marks = ragged.words(data, offsets)
+    words = ragged.per_row(starts, offsets)
+    n = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
+    first = np.cumsum(words) - words
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    end = np.repeat(first + words, n)
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            there = at + i < end
+            h[there] = _mix(h[there] * _STEP + marks[at[there] + i])
+    return h, n
+
+
+def signatures(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digest of each row's shingles (no words: zero), and its band keys."""
+    fp, keys = np.zeros(len(n), np.uint64), np.zeros((len(n), BANDS), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        at = (np.cumsum(n) - n)[full]
+        with np.errstate(over="ignore"):
+            fp[full] = np.add.reduceat(_mix(h * _STEP), at)
+            for band in range(BANDS):
+                key = np.full(len(full), band, np.uint64)
+                for a, b in _ODD[band * VALUES : (band + 1) * VALUES]:
+                    key = _mix(key * _STEP + np.minimum.reduceat((h ^ b) * a, at))
+                keys[full, band] = key
+    return fp, keys
+
+
+def mark(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, fp, keys, text``."""
+    source = docs.select(id_col, text_col)
+    id_type = source.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ragged.utf8(batch.column(1))
+            for a, b in ragged.blocks(offsets):
+                fp, keys = signatures(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), lists, batch.column(1).slice(a, b - a)], names=[id_col, "fp", "keys", "__text"])
+
+    return source.mapInArrow(run, f"`{id_col}` {id_type}, fp long, keys array<long>, __text string")
+
+
+def similar(pairs: DataFrame, marked: DataFrame, width: int, least: float) -> DataFrame:
+    """The ``pairs`` (a, b: digests) whose texts have a Jaccard similarity of at least ``least``."""
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.any_value("__text").alias("text"))
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
+        data, offsets = ragged.utf8(column)
+        for a, b in ragged.blocks(offsets):
+            h, n = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+            yield from (np.unique(x) for x in np.split(h, np.cumsum(n)[:-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, component_id`` for each row: the smallest id reachable over pairs of at least that similarity.
+
+    Null and wordless texts are alike. Rows that repeat an id fall into the components of their texts; a null id is
+    never a component's id unless all of its ids are null.
+    """
+    scratch = Scratch(docs.sparkSession, "shingles")
+    marked = scratch.save(mark(docs, width, id_col, text_col), "marked")
+    distinct = scratch.save(marked.groupBy("fp").agg(F.min(id_col).alias("first"), F.any_value("keys").alias("keys")), "distinct")
+    keyed = distinct.where("fp <> 0").select("fp", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    bucket = scratch.save(keyed.join(shared, "key"), "buckets")
+    stars = scratch.save(bucket.where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "stars")
+    links = scratch.save(similar(stars, marked, width, least), "star-links")
+    roots = components(links, scratch)
+    rooted = bucket.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = scratch.save(rooted.join(open_keys, "key"), "open")
+    other = left.select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"))
+    pairs = left.withColumnRenamed("fp", "a").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    more = scratch.save(similar(scratch.save(pairs, "pairs"), marked, width, least), "more-links")
+    roots = components(links.unionByName(more), Scratch(docs.sparkSession, "shingle-components"))
+    final = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = final.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.select(id_col, "fp").join(final.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose id is their component's smallest.
+
+    ``id`` is the key: rows that repeat the kept id all stay, rows with a null id stay too.
+    """
+    found = near_duplicates(docs, id_col=id_col, **options).select(F.col(id_col).alias("__id"), "component_id")
+    dropped = found.where(F.col("__id") != F.col("component_id")).select("__id").distinct()
+    return docs.join(dropped, docs[id_col] == F.col("__id"), "left_anti")
