@@ -74,8 +74,10 @@ def import_batch(store: Store, files: DataFrame, extractor: extract.Extractor =
     analyzed = extract.analyze(units, "unit", "chunk", extractor).cache()
     good = analyzed.where("error IS NULL").join(units.select(F.col("unit").alias("id"), F.col("id").alias("stem"), "idx", "chunk", "filename"), "id")
 
-    mentions = good.select("id", F.explode("characters").alias("c")).select(F.col("id").alias("scene_id"), "c.*").where("character_type <> 'group'")
-    people = resolve.resolve(mentions, store.read("characters")).cache()
+    mentions = good.select("id", F.explode("characters").alias("c")).select(F.col("id").alias("scene_id"), "c.*").where("name IS NOT NULL")
+    is_group = F.col("character_type").eqNullSafe("group")
+    people = resolve.resolve(mentions.where(~is_group), store.read("characters")).cache()
+    groups = resolve.resolve_groups(mentions.where(is_group), store.read("groups")).cache()
     places = resolve.resolve(good.where("location IS NOT NULL").select("id", "location.name", "location.description"), store.read("locations")).cache()
     era = good.select(F.col("id").alias("scene_id"), "era")
 
@@ -87,6 +89,7 @@ def import_batch(store: Store, files: DataFrame, extractor: extract.Extractor =
 
     found = people.join(era, "scene_id").select(F.col("entity_id").alias("id"), F.col("entity_name").alias("name"), "era")
     put("characters", found.groupBy("id").agg(F.min("name").alias("name"), F.min("era").alias("era")), {}, ["id"])
+    put("groups", groups.join(era, "scene_id").groupBy(F.col("group_id").alias("id")).agg(F.min("name").alias("name"), F.min("era").alias("era")), {}, ["id"])
     put("locations", places.groupBy(F.col("entity_id").alias("id")).agg(F.min("entity_name").alias("name"), F.min("description").alias("description")), {}, ["id"])
     stems = files.select("stem").distinct()
     old = store.read("scenes")
@@ -94,12 +97,14 @@ def import_batch(store: Store, files: DataFrame, extractor: extract.Extractor =
     scenes = good.join(places.select("id", F.col("entity_id").alias("location_id")), "id", "left").select(
         "id", "filename", "title", "summary", "era", F.coalesce("approximate_date", T.era_to_date(F.col("era"))).alias("date"), F.col("chunk").alias("raw_text"), "location_id"
     )
-    kept = merge.delete_scenes({"scenes": old, "presence": store.read("presence"), "issues": store.read("issues")}, gone, {"scenes": "id", "presence": "scene_id", "issues": "scene_id"})
+    kept = merge.delete_scenes({"scenes": old, "presence": store.read("presence"), "group_presence": store.read("group_presence"), "issues": store.read("issues")}, gone, {"scenes": "id", "presence": "scene_id", "group_presence": "scene_id", "issues": "scene_id"})
     store.write("scenes", kept["scenes"].unionByName(scenes))
     store.write("presence", kept["presence"])
+    store.write("group_presence", kept["group_presence"])
     store.write("issues", kept["issues"])
     rank = ("character_id", "scene_id")
     put("presence", people.select(F.col("entity_id").alias("character_id"), "scene_id", "role", "description", "context"), dict.fromkeys(("role", "description", "context"), "overwrite"), list(rank))
+    put("group_presence", groups.select("group_id", "scene_id", "role", "description", "context"), dict.fromkeys(("role", "description", "context"), "overwrite"), ["group_id", "scene_id"])
     links = segment.next_chunks(good, "stem", "idx", "id")
     put("next_chunks", links, {"to_id": "overwrite"}, ["from_id"])
 
@@ -119,7 +124,7 @@ def import_batch(store: Store, files: DataFrame, extractor: extract.Extractor =
     issues = named.select(*render.bilocation_issue(F.col("scene_2"))).withColumns({"resolved": F.lit(False), "created_at": F.current_timestamp().cast("timestamp_ntz")})
     put("issues", issues, {"resolved": "overwrite", "description": "overwrite"}, ["id"])
     counts = {"scenes": scenes.count(), "failed": analyzed.where("error IS NOT NULL").count(), "issues": store.read("issues").count()}
-    for df in (analyzed, people, places, gone):
+    for df in (analyzed, people, groups, places, gone):
         df.unpersist()
     spark.catalog.clearCache()
     return counts
