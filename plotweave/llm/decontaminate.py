@@ -43,7 +43,9 @@ def build(items: list[tuple[int, bytes]], width: int):
     patterns: dict[bytes, tuple[int, set[int]]] = {}
     for item, text in items:
         for w in windows(normal_words(text), width):
-            patterns.setdefault(b" " + b" ".join(w) + b" ", (len(w), set()))[1].add(item)
+            owners = patterns.setdefault(b" " + b" ".join(w) + b" ", (len(w), set()))[1]
+            if item is not None:
+                owners.add(item)
     if not patterns:
         return None
     out = ahocorasick.Automaton()
@@ -54,10 +56,10 @@ def build(items: list[tuple[int, bytes]], width: int):
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list:
-    """Named broadcasts of at most ``BLOCK_BYTES`` of item text each (a longer item is alone); null ids and texts are left out."""
+    """Named broadcasts of at most ``BLOCK_BYTES`` of item text each (a longer item is alone); null texts are left out."""
     context = items.sparkSession.sparkContext
     out, block, size = [], [], 0
-    for item, text in items.select(id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
+    for item, text in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         raw = text.encode()
         if block and size + len(raw) > BLOCK_BYTES:
             out.append((uuid.uuid4().hex, context.broadcast(block)))
@@ -113,7 +115,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_co
     """``id, n_words, n_hit, item_ids array<long>, spans array<struct<start, end>>`` for each row of ``docs``.
 
     A word inside any occurrence of an item's window is hit; ``item_ids`` (ascending) are the items with an occurring
-    window. Null and empty texts have no words; without items nothing is hit; items that repeat a text are all named.
+    window. Null and empty texts have no words; without items nothing is hit; items that repeat a text are all named,
+    those without an id count as hits only.
     Every row gives one row, and no other column is read. There is no shuffle and no limit on text length or hits.
     """
     blocks = item_blocks(items, item_col, item_text)
