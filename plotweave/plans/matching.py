@@ -29,6 +29,11 @@ def _mentions(s):
     return s.table("customer").select(key.alias("mention"), F.when(key % 3 == 0, F.concat(F.lit("SUPPLIER#"), F.lpad((key % 150).cast("string"), 9, "0"))).when(key % 3 == 1, F.concat(F.lit("s-"), (key % 150).cast("string"))).otherwise(wrong).alias("name"))
 
 
+def _relations(s):
+    """Part names as relations; 40 parts with successive keys are a pair's, so pairs grow with the table."""
+    return s.table("part").select(F.floor(F.col("p_partkey") / 40).alias("pair"), F.col("p_name").alias("relation"), "p_partkey", "p_brand")
+
+
 def _cases(s):
     """Runs of an evaluation: a day is a run, an event type a suite, a user a case, passed if its last value is high."""
     return s.table("events").select(F.col("event_type").alias("suite"), F.date_format("ts", "yyyy-MM-dd").alias("ts"), F.col("user_id").alias("kase"), "value", "event_id").groupBy("suite", "ts", "kase").agg((F.max("value") > 20).alias("passed"))
@@ -62,7 +67,7 @@ PLANS = {
         SQL + ", m AS (SELECT n_nationkey AS mention, CASE WHEN n_nationkey < 5 THEN (['africa', 'Ásia', 'EUROPE', 'Nowhere Land', 'AMERICA '])[n_nationkey + 1] ELSE n_name END AS name FROM nation) SELECT mention, m.name, coalesce(CAST(g.id AS VARCHAR), trim(regexp_replace(lower(strip_accents(m.name)), '[^a-z0-9]+', '-', 'g'), '-')) AS group_id, g.id IS NULL AS is_new FROM m LEFT JOIN groups g ON lower(g.name) = trim(lower(strip_accents(m.name)))",
     ),
     "relation_dedup_band": (
-        _story(lambda s: E.relation_duplicates(s.table("part").select((F.col("p_partkey") % 40).alias("pair"), F.col("p_name").alias("relation"), "p_partkey"), s.table("part").where("p_partkey < 80").select((F.col("p_partkey") % 40).alias("pair"), F.col("p_name").alias("relation")), ["pair"]).select("p_partkey", "best", F.round("best_score", 4).alias("score"), "band")),
+        _story(lambda s: E.relation_duplicates(_relations(s).withColumn("relation", F.concat_ws(" ", "relation", "p_brand")).drop("p_brand"), _relations(s), ["pair"]).select("p_partkey", "best", F.round("best_score", 4).alias("score"), "band")),
         None,
     ),
     "policy_actions": (
