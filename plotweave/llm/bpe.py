@@ -20,6 +20,8 @@ from plotweave.llm import ragged
 
 #: Distinct pre-tokens that a worker remembers, over all its tasks; further ones are encoded each time.
 REMEMBER = 600_000
+#: Longer ones (in code points) are not remembered.
+LONG = 64
 
 #: Size of the table of pairs, as a power of two.
 SLOT_BITS = 19
@@ -179,9 +181,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, keep_ids: bool):
         self.v, self.keep_ids = vocabulary, keep_ids
-        self.known = np.zeros(0, np.uint64)  # sorted
-        self.count = np.zeros(0, np.int64)
-        self.begin = np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}  # place of each remembered pre-token
+        self.edges = np.zeros(1, np.int64)  # where the ids of each place begin, and the last end
         self.ids = np.zeros(0, np.int32)
 
     def merge(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -223,30 +224,25 @@ class Encoder:
         order = np.argsort(rows, kind="stable")
         return symbols[order].astype(np.int32), np.bincount(rows, minlength=len(tokens)).astype(np.int64)
 
-    def _look_up(self, distinct: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray):
+    def _look_up(self, distinct: list[str]):
         """Token count of each distinct pre-token, and where its ids begin in which array."""
-        at = np.searchsorted(self.known, distinct)
-        held = np.zeros(len(distinct), bool)
-        if len(self.known):
-            held = self.known[np.minimum(at, len(self.known) - 1)] == distinct
-        counts, begin, ids = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.ids
-        counts[held] = self.count[at[held]]
-        if self.keep_ids:
-            begin[held] = self.begin[at[held]]
-        new = np.flatnonzero(~held)
+        at = np.array([self.known.get(x, -1) for x in distinct], np.int64)
+        new = np.flatnonzero(at < 0)
+        long = np.array([len(distinct[i]) > LONG for i in new.tolist()], bool)
+        new = np.concatenate([new[~long], new[long]])
+        edges, ids = self.edges, self.ids
         if len(new):
-            made, n = self.merge([text[s:e].encode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            counts[new] = n
+            made, n = self.merge([distinct[i].encode() for i in new.tolist()])
+            at[new] = len(edges) - 1 + np.arange(len(new))
+            edges = np.concatenate([edges, edges[-1] + np.cumsum(n)])
             if self.keep_ids:
-                begin[new] = len(ids) + np.cumsum(n) - n
                 ids = np.concatenate([ids, made])
-            keep = new[: max(0, REMEMBER - len(self.known))]
-            if len(keep):
-                self.known, self.count = np.insert(self.known, at[keep], distinct[keep]), np.insert(self.count, at[keep], counts[keep])
-                if self.keep_ids:
-                    self.begin = np.insert(self.begin, at[keep], begin[keep])
-                    self.ids = ids[: len(self.ids) + int(counts[keep].sum())]
-        return counts, begin, ids
+            keep = min(int((~long).sum()), REMEMBER - len(self.known))
+            if keep > 0:
+                self.known.update((distinct[i], int(at[i])) for i in new[:keep].tolist())
+                self.edges = edges[: len(self.edges) + keep]
+                self.ids = ids[: int(self.edges[-1])] if self.keep_ids else ids
+        return edges[at + 1] - edges[at], edges[at], ids
 
     def split(self, data: np.ndarray, offsets: np.ndarray):
         """Code points of rows of UTF-8 bytes, cut into segments at special strings.
@@ -280,6 +276,21 @@ class Encoder:
             starts.append(at), ends.append(to), rows.append(row), after.append(-1)
         return text, np.array(starts), np.array(ends), np.array(rows), np.array(after)
 
+    @staticmethod
+    def _distinct(text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place of each distinct pre-token, and which of them each pre-token is; hashes find them, code points decide."""
+        _, first, back = np.unique(ragged.hashes(points, starts, ends), return_index=True, return_inverse=True)
+        wrong = np.flatnonzero(~ragged.same(points, starts, ends, first[back])) if len(first) else first
+        others: dict[str, int] = {}
+        extra: list[int] = []
+        for i in wrong.tolist():
+            x = text[starts[i] : ends[i]]
+            if x not in others:
+                others[x] = len(first) + len(extra)
+                extra.append(i)
+            back[i] = others[x]
+        return np.concatenate([first, np.array(extra, np.int64)]), back
+
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """Tokens of each row; with ``keep_ids`` also all ids, row after row."""
         n = len(offsets) - 1
@@ -295,9 +306,8 @@ class Encoder:
         bounds = np.concatenate([[0], np.cumsum(seg_end - seg_start)])
         starts = pre_tokens(points, bounds)
         ends = np.append(starts[1:], len(points))
-        marks = ragged.hashes(points, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        distinct, first, back = np.unique(marks, return_index=True, return_inverse=True)
-        token_counts, begins, pool = self._look_up(distinct, text, starts[first], ends[first])
+        first, back = self._distinct(text, points, starts, ends)
+        token_counts, begins, pool = self._look_up([text[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
         counts = token_counts[back]
         where = np.searchsorted(starts, bounds)
         sums = np.concatenate([[0], np.cumsum(counts)])

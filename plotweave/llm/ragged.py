@@ -1,7 +1,9 @@
 """Vectorised handling of many texts at once, as flat numpy arrays with offsets.
 
-A column of texts is one byte array plus row offsets; tokens are (start, end) pairs into it. Token identity is a
-64-bit hash that is computed for all tokens together from prefix sums, so no Python object exists per token.
+A column of texts is one byte array plus row offsets; tokens are (start, end) pairs into it. A token's hash is computed
+for all tokens together from prefix sums, so no Python object exists per token: two polynomials modulo primes of 31 bits
+give 62 bits, and no family of texts is known to collide (modulo 2^64 the words of Thue and Morse do). Two given tokens
+agree by chance with a probability near 2^-62; who needs certainty compares the bytes (``same``), as the tokenizer does.
 """
 
 from __future__ import annotations
@@ -19,21 +21,26 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+#: Values hashed together.
+PIECE = 1 << 18
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1103515249, 1999999973)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, BLOCK + 1)
-        with np.errstate(over="ignore"):
-            for name, base in (("_powers", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                globals()[name] = np.multiply.accumulate(steps)
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of a base and of its inverse."""
+    if which not in _tables or len(_tables[which][0]) < n:
+        p, base = _PRIMES[which], _BASES[which]
+        made = []
+        for b in (base, pow(base, -1, p)):
+            out = np.ones(1, np.uint64)
+            while len(out) < max(n, PIECE + 1):
+                out = np.concatenate([out, out * np.uint64(pow(b, len(out), p)) % np.uint64(p)])
+            made.append(out)
+        _tables[which] = made[0], made[1]
+    return _tables[which]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,21 +87,55 @@ def per_row(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(at)
 
 
-def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each slice of ``values`` (bytes or code points); equal slices have equal hashes anywhere."""
-    n = len(values)
-    _grow(n + 1)
-    with np.errstate(over="ignore"):
+def _hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n, parts = len(values), []
+    plus = values.astype(np.uint64) + np.uint64(1)
+    for which, prime in enumerate(_PRIMES):
+        p, (power, inverse) = np.uint64(prime), _powers(which, n)
+        terms = plus * power[:n]
+        if values.dtype != np.uint8 or n > 1 << 24:  # else the sums fit without
+            terms %= p
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _inverse[starts]
+        np.cumsum(terms, out=sums[1:])
+        parts.append((sums[ends] - sums[starts]) % p * inverse[starts] % p)
+    h = (parts[0] << np.uint64(31)) | parts[1]
+    with np.errstate(over="ignore"):
         h ^= h >> np.uint64(32)
         h *= _MIX
         h ^= h >> np.uint64(29)
     return h
 
 
+def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each slice of ``values`` (bytes or code points), in order of place; equal slices have equal hashes anywhere."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + PIECE, "right")))
+        out[i:j] = _hash(values[low : int(ends[j - 1])], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
+def same(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each slice (in order of place, without gaps or with) has the values of slice number ``other`` of them."""
+    size = ends - starts
+    equal = size == size[other]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, int(starts[i]) + PIECE, "right")))
+        some = np.flatnonzero(equal[i:j]) + i
+        n = size[some]
+        at = np.cumsum(n) - n
+        places = np.arange(int(n.sum()))
+        differ = values[np.repeat(starts[some] - at, n) + places] != values[np.repeat(starts[other[some]] - at, n) + places]
+        if differ.any():
+            equal[some[np.searchsorted(at, np.flatnonzero(differ), "right") - 1]] = False
+        i = j
+    return equal
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) bytes, and starts, ends and hashes of the words between ASCII white space."""
     low = LOWER[data]

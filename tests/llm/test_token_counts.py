@@ -44,3 +44,64 @@ def test_empty_table_and_repeated_ids(spark):
     assert token_counts.count_tokens(documents(spark, []), queries.tokenizer_path()).count() == 0
     rows = token_counts.count_tokens(documents(spark, ["a", "a", None], ids=[1, 1, None]), queries.tokenizer_path()).collect()
     assert sorted((r.doc_id is None, r.n_tokens) for r in rows) == [(False, 1), (False, 1), (True, 0)]
+
+
+def thue_morse(n):
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return word
+
+
+def colliding():
+    """Words that a polynomial hash modulo 2^64 takes for each other, periodic words and random ones over two letters."""
+    rng = random.Random(3)
+    out = []
+    for a, b in ("eq", "th", "xz"):
+        out += ["".join((a, b)[x] for x in thue_morse(2048)), "".join((b, a)[x] for x in thue_morse(2048)), (a + b) * 1024, (b + a) * 1024]
+    return out + ["".join(rng.choice("eq") for _ in range(1024)) for _ in range(20)]
+
+
+@pytest.mark.parametrize("remember", [600_000, 5])
+def test_words_with_colliding_hashes(monkeypatch, remember):
+    import numpy as np
+    import pyarrow as pa
+
+    from plotweave.llm import ragged
+
+    monkeypatch.setattr(bpe, "REMEMBER", remember)
+    monkeypatch.setattr(bpe, "LONG", 4096)
+    texts = colliding()
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for weak in (False, True):
+        if weak:  # hashes that say nothing: the code points must decide
+            monkeypatch.setattr(ragged, "hashes", lambda values, starts, ends: (ends - starts).astype(np.uint64))
+        encoder = bpe.Encoder(bpe.load(queries.tokenizer_path()), keep_ids=True)
+        for batch in ([" ".join(texts)], texts[::2], texts[1::2], texts):  # in one text, in one batch and across batches
+            n, ids = encoder.encode(*ragged.utf8(pa.array(batch)))
+            if batch is texts:
+                assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == want
+            else:
+                assert ids.tolist() == [i for x in library.encode_batch(batch, add_special_tokens=False) for i in x.ids]
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from plotweave.llm import ragged
+
+    data, offsets = ragged.utf8(pa.array(colliding()))
+    _, starts, ends, marks = ragged.words(data, offsets)
+    assert len(np.unique(marks)) == len(set(colliding()))
+    again = ragged.hashes(data, starts[5:], ends[5:])  # wherever a word lies
+    assert (again == marks[5:]).all()
+    assert ragged.same(data, starts, ends, np.arange(len(starts))).all() and not ragged.same(data, starts, ends, np.roll(np.arange(len(starts)), 1)).any()
+
+
+def test_colliding_words_in_the_registered_query(spark, tmp_path):
+    texts = colliding()
+    documents(spark, texts + awkward()).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op8_token_counts(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == expected(texts + awkward())
