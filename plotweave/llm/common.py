@@ -39,9 +39,20 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None, **options) -> None:
+        """Write ``df``; the shuffle files of that job go with its end, since nothing reads them again."""
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, None)
+        conf.set(key, "true")
+        try:
+            writer = df.write.mode("overwrite").options(**{"compression": "zstd", **options})
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
+        finally:
+            conf.set(key, before) if before is not None else conf.unset(key)
+
     def save(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write ``df`` and read it back."""
-        df.write.mode("overwrite").options(**{"compression": "zstd", **options}).parquet(self.path(name))
+        self.write(df, name, **options)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

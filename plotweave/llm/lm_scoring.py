@@ -1,178 +1,209 @@
 """LM scoring (operator 7): a hierarchical Pitman-Yor bigram model with Chinese-restaurant seating by Gibbs sampling.
 
-Restaurants. Every token of training, the end of a text included, is a context with its own restaurant and a dish of
+Restaurants. Every token of training, the end of a text included, is a context with its own restaurant, and a dish of
 all of them. Their parent is one restaurant whose customers are their tables; half of its base lies on words that
 training has not seen, the rest is uniform over those seen.
 
-All of it is distributed and grows with the input: the counts of all (context, word) cells, their tables, and the terms
-that scoring joins. Cells lie by a hash of context and word, so no restaurant needs one machine; a sweep reseats all
-cells at once given the tables of the last one, which it joins as totals by context and by word. A cell of one customer
-has one table and is not sampled. Tables are averaged over the sweeps kept. The parent's tables depend on a word's number
-of customers only and are sampled in the driver's process, once per distinct number.
+Where the work is. Tokens go to buckets by a hash of their context, so a bucket holds whole restaurants with all their
+customers, and what is learned grows with the input. Contexts with more than a quarter of a bucket's tokens are dealt
+to all buckets by context and word. In each sweep every customer of a word with two or more in its restaurant leaves its
+table and is seated again given all others (a single customer's table is its own whatever it does); a customer's chances
+depend on the sizes of its word's tables, the restaurant's tables and the word's probability in the parent. Then the
+tables of each word go to the parent's shard of that word, which seats them in the same way, and what it has seated
+comes back for the next sweep. Predictive probabilities are averaged over the sweeps kept.
 
-A score is a sum over a text's tokens of two terms. What a token adds as a word of the parent and as a context is looked
-up among the ``HEAD`` most frequent tokens, which executors hold, and joined for others. What a cell seen in training
-adds to that is looked up among the ``HEAD`` most frequent cells and joined for others.
+What is not in turn. One customer of a restaurant moves at a time as long as it has ``SLICES`` customers or fewer; of a
+larger one 1 / SLICES moves at once. Within a sweep the parent is that of the sweep before, and so are the tables that a
+dealt-out context has in other buckets. A shard of the parent takes the others' tables to be as many as its own.
 
-With ``DISHES`` set the model is bounded instead: that many dishes, others share one, and ``CONTEXTS`` contexts.
+Between the steps only binary arrays move, byte planes compressed. The ``HEAD`` most frequent tokens, which every
+executor knows, go as numbers, others as 63-bit hashes; results do not depend on which those are.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.llm import ragged
 from plotweave.llm.common import Scratch
 
-#: Bounds of the bounded model; None: all tokens are contexts and dishes.
-DISHES: int | None = None
-CONTEXTS = 256
-#: Tokens, and cells, whose terms every executor holds, at most.
+#: Tokens that are sent as numbers.
 HEAD = 1 << 18
 #: The end of a text; no word contains white space.
 END = " "
-BLOCK = 1 << 22
-#: Counts up to here have their tables sampled exactly.
-EXACT = 32
-BURN_IN, KEPT = 4, 8
-#: Sweeps over the cells of the whole model.
-CELL_BURN_IN, CELL_KEPT = 1, 2
+#: Bytes of text handled together, and tokens in a bucket (about).
+BLOCK, BUCKET_TOKENS = 1 << 22, 1 << 21
+SLICES = 256
+BURN_IN, KEPT = 1, 2
+#: Turns of the parent's customers in each sweep.
+PARENT_TURNS = 2
 STRENGTH = 1.0
 UNSEEN_BASE = 0.5
 
+_TAIL, _HOT = np.uint64(1) << np.uint64(63), np.uint64(1) << np.uint64(62)
+ROWS = "bucket int, kind string, base long, payload binary"
 
-def discount(ones: int, twos: int) -> float:
+
+def discount(ones: float, twos: float) -> float:
     """Estimate from how many dishes have one and two customers."""
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
 
 
-def stirling(d: float) -> np.ndarray:
-    """Logarithms of the generalised Stirling numbers S_d(c, t), for c, t up to EXACT."""
-    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    out[0, 0] = 0.0
-    for c in range(EXACT):
-        t = np.arange(EXACT + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stay = np.log(np.maximum(c - d * t, 0)) + out[c]
-        out[c + 1] = np.logaddexp(np.concatenate([[-np.inf], out[c, :-1]]), np.where(np.isnan(stay), -np.inf, stay))
-    return out
+def pack(**arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string; equal bytes of all values lie together."""
+    import zstandard
 
+    press, head, parts = zstandard.ZstdCompressor(level=1), [], []
+    for name, x in arrays.items():
+        if x.dtype.kind in "iu" and len(x) and x.min() >= 0:
+            x = x.astype(np.min_scalar_type(int(x.max())))
+        body = press.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+        head.append([name, x.dtype.str, len(x), len(body)])
+        parts.append(body)
+    top = json.dumps(head).encode()
+    return len(top).to_bytes(4, "little") + top + b"".join(parts)
 
-class Seating:
-    """Table counts of dishes, resampled for all dishes at once given the tables of the other dishes."""
-
-    def __init__(self, counts: np.ndarray, group: np.ndarray, groups: int, d: float, rng: np.random.Generator):
-        self.counts, self.group, self.groups, self.d, self.rng = counts, group, groups, d, rng
-        self.tables = np.minimum(counts, 1).astype(float)
-        self.log_s = stirling(d)
-        self.customers = np.bincount(group, weights=counts, minlength=groups)
-
-    def total(self) -> np.ndarray:
-        return np.bincount(self.group, weights=self.tables, minlength=self.groups)
-
-    def sweep(self, base: np.ndarray, others: np.ndarray | None = None) -> None:
-        """``base``: probability of each dish in the parent; ``others``: tables of other dishes in its restaurant."""
-        if others is None:
-            others = self.total()[self.group] - self.tables
-        exact = np.minimum(self.counts, EXACT).astype(int)
-        todo = np.flatnonzero(self.counts >= 2)
-        t = np.arange(1, EXACT + 1)
-        for at in range(0, len(todo), 1 << 15):
-            i = todo[at : at + (1 << 15)]
-            grow = np.cumsum(np.log(STRENGTH + self.d * (others[i][:, None] + t - 1)), axis=1)
-            weight = self.log_s[exact[i], 1:] + t * np.log(base[i])[:, None] + grow
-            weight = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
-            self.tables[i] = 1 + (weight < self.rng.random(len(i))[:, None] * weight[:, -1:]).sum(axis=1)
-        # further customers of frequent dishes take their seats in blocks of a quarter of those seated
-        going = np.flatnonzero(self.counts > EXACT)
-        seated = np.full(len(going), float(EXACT))
-        while len(going):
-            block = np.minimum(np.ceil(seated / 4), self.counts[going] - seated)
-            new = (STRENGTH + self.d * (others[going] + self.tables[going])) * base[going]
-            chance = new / (new + np.maximum(seated - self.d * self.tables[going], 1e-9))
-            self.tables[going] += self.rng.binomial(block.astype(np.int64), np.clip(chance, 0, 1))
-            seated += block
-            more = seated < self.counts[going]
-            going, seated = going[more], seated[more]
-
-
-@dataclass
-class LanguageModel:
-    """Counts (in the shared folder and, for the head, here) and averaged predictive probabilities."""
-
-    vocabulary: DataFrame  # word, c of all training tokens
-    tokens: int  # N
-    types: int  # V
-    head: list[str]
-    head_counts: np.ndarray
-    least_head: int  # logarithmic bucket from which on tokens are in the head
-    dishes: int  # of the head, the first so many
-    contexts: int
-    end: int  # place of END in the head, or -1
-    log_predict: np.ndarray = field(default=None)  # context by dish, log10; the last dish is "rare"
-    rare_counts: np.ndarray = field(default=None)  # distinct counts of rare words
-    rare_tables: np.ndarray = field(default=None)  # their averaged tables
-    rare_discount: float = 0.5
-    rare_customers: float = 0.0
-    rare_total: float = 0.0
-    rare_types: int = 0
-    deltas: DataFrame = field(default=None)  # pair, n, delta of all cells; None for the bounded model
-    head_terms: np.ndarray = field(default=None)  # log10 of what a head token adds as word and as context
-
-    def log_rare(self, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of a rare word with that training count (0: unseen), given that it is rare."""
-        whole = STRENGTH + self.rare_customers
-        fresh = (STRENGTH + self.rare_discount * self.rare_total) / whole
-        tables = np.interp(counts, self.rare_counts, self.rare_tables) if len(self.rare_counts) else np.zeros(len(counts))
-        seen = np.maximum(counts - self.rare_discount * tables, 0) / whole + fresh * (1 - UNSEEN_BASE) / max(self.rare_types, 1)
-        return np.log10(np.where(counts > 0, seen, fresh * UNSEEN_BASE))
 
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    import zstandard
+
+    press, out = zstandard.ZstdDecompressor(), {}
+    at = 4 + int.from_bytes(data[:4], "little")
+    for name, kind, n, size in json.loads(data[4:at]):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(press.decompress(data[at : at + size], max_output_size=max(1, n * width)), np.uint8)
+        out[name] = np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+        at += size
+    return out
 
-def _level(count):
-    return F.floor(F.log2(count.cast("double")) * 16).cast("int")
 
+def _batch(rows: list[tuple[int, str, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "kind", "base", "payload"])
 
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> dict[str, list[tuple[int, int, bytes]]]:
+    """All rows of a partition by kind, as (bucket, base, payload) in that order."""
+    out: dict[str, list] = {}
     for batch in batches:
-        data, offsets = ragged.utf8(batch.column(0))
-        for a, b in ragged.blocks(offsets, BLOCK):
-            part = offsets[a : b + 1]
-            low, starts, ends, marks = ragged.words(data[part[0] : part[-1]], part - part[0])
-            _, first, n = np.unique(marks, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([ragged.gather(low, starts[first], ends[first]), pa.array(n)], names=["word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([batch.num_rows], pa.int64())], names=["word", "n"])
+        for bucket, kind, base, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out.setdefault(kind, []).append((bucket, base, payload))
+    for rows in out.values():
+        rows.sort(key=lambda r: r[:2])
+    return out
 
 
-def count_tokens(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``word, c`` of all tokens of the one column of ``texts``; equal words combine before the shuffle."""
-    return scratch.save(texts.mapInArrow(_partial_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
 
 
-def _most_frequent(counted: DataFrame, c: str) -> tuple[int, list]:
-    """The least level of the logarithmic count from which on there are at most HEAD rows, and all levels."""
-    levels = counted.groupBy(_level(F.col(c)).alias("level")).agg(F.count("*").alias("n"), F.sum(c).alias("c")).orderBy(F.desc("level")).collect()
-    least, room = 1 << 20, HEAD
-    for r in levels:
-        if r.n > room:
-            break
-        least, room = r.level, room - r.n
-    return least, levels
+def _places(keys: np.ndarray, n: int) -> np.ndarray:
+    return (_mix(keys) >> np.uint64(20)) % np.uint64(n)
 
 
-def _head(vocabulary: DataFrame, *more: str) -> tuple:
-    """The most frequent tokens, at most HEAD, by whole levels of their logarithmic count; N and V; columns ``more`` of them."""
-    least, levels = _most_frequent(vocabulary, "c")
-    rows = vocabulary.where((_level(F.col("c")) >= least) | (F.col("word") == END)).toArrow()
-    words, counts = rows.column("word").to_pylist(), rows.column("c").to_numpy()
-    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-    columns = [rows.column(name).to_numpy()[order] if order else np.zeros(0) for name in more]
-    return [words[i] for i in order], counts[order] if order else np.zeros(0, np.int64), least, sum(r.c for r in levels), sum(r.n for r in levels), *columns
+def _rank_in_runs(x: np.ndarray) -> np.ndarray:
+    """Number of each element within its run of equal neighbours."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    first = np.flatnonzero(new)
+    return np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+
+
+class Seating:
+    """Customers at tables in many restaurants. A cell is one dish in one restaurant; its customers lie together.
+
+    Cells of one customer have one table always and take no part in the moves.
+    """
+
+    def __init__(self, n: np.ndarray, house: np.ndarray, houses: int, d: float, rng: np.random.Generator, seats: np.ndarray | None = None):
+        self.n, self.house, self.houses, self.d, self.rng = n.astype(np.int64), house, houses, d, rng
+        self.cells = np.flatnonzero(self.n >= 2)
+        size = self.n[self.cells]
+        self.first = np.cumsum(size) - size  # first customer of each moving cell; tables have places 0..n-1 there, too
+        self.cell = np.repeat(np.arange(len(size)), size)
+        self.size = size
+        self.seat = self.first[self.cell] + (0 if seats is None else seats.astype(np.int64))
+        self.at_table = np.bincount(self.seat, minlength=len(self.cell))
+        empty = np.flatnonzero(self.at_table == 0)
+        owner = self.cell[empty]
+        self.free = np.zeros(len(self.cell), np.int64)  # per cell a stack of places without a table
+        self.free[self.first[owner] + _rank_in_runs(owner)] = empty
+        self.n_free = np.bincount(owner, minlength=len(size))
+        home = house[self.cells][self.cell]
+        order = np.argsort(home, kind="stable")
+        turn = np.empty(len(home), np.uint16)
+        turn[order] = _rank_in_runs(home[order]) % SLICES
+        self.turn = turn
+        self.order = np.argsort(turn, kind="stable")
+        self.bounds = np.searchsorted(turn[self.order], np.arange(SLICES + 1))
+
+    def tables(self) -> np.ndarray:
+        """Tables of each cell."""
+        out = np.minimum(self.n, 1)
+        out[self.cells] = self.size - self.n_free
+        return out
+
+    def seats(self) -> np.ndarray:
+        return self.seat - self.first[self.cell]
+
+    def sweep(self, base: np.ndarray, elsewhere: np.ndarray | None = None, times: float = 1.0) -> None:
+        """Every customer leaves and is seated again. ``base``: each cell's dish in the parent; ``elsewhere``: further
+        tables of each restaurant; ``times``: what its tables here stand for."""
+        d, rng, first = self.d, self.rng, self.first
+        held = np.bincount(self.house, weights=self.tables(), minlength=self.houses)
+        more = np.zeros(self.houses) if elsewhere is None else elsewhere
+        home, base = self.house[self.cells], base[self.cells]
+        for k in range(SLICES):
+            who = self.order[self.bounds[k] : self.bounds[k + 1]]
+            if not len(who):
+                break
+            cell, seat = self.cell[who], self.seat[who]
+            several = bool((cell[1:] == cell[:-1]).any())
+            np.subtract.at(self.at_table, seat, 1)
+            gone = seat[self.at_table[seat] == 0]
+            if several:
+                gone = np.unique(gone)
+            if len(gone):
+                owner = self.cell[gone]
+                self.free[first[owner] + self.n_free[owner] + (_rank_in_runs(owner) if several else 0)] = gone
+                np.add.at(self.n_free, owner, 1)
+                np.subtract.at(held, home[owner], 1)
+            size, tables = self.size[cell], self.size[cell] - self.n_free[cell]
+            others = size - (np.bincount(cell, minlength=len(self.size))[cell] if several else 1)
+            new = (STRENGTH + d * (times * held[home[cell]] + more[home[cell]])) * base[cell]
+            opens = rng.random(len(who)) * (new + others - d * tables) < new
+            opens |= others == 0
+            to = np.empty(len(who), np.int64)
+            # a table with a chance of its customers less d: that of a random other customer, or another try
+            left = np.flatnonzero(~opens)
+            while len(left):
+                n, at = size[left], cell[left]
+                place = who[left] - first[at] + 1 + (rng.random(len(left)) * (n - 1)).astype(np.int64)
+                other = first[at] + place % n
+                seats = self.seat[other]
+                sure = (tables[left] == 1) | (tables[left] == others[left])
+                taken = sure | (rng.random(len(left)) * self.at_table[seats] < self.at_table[seats] - d)
+                if several:
+                    taken &= self.turn[other] != k
+                to[left[taken]] = seats[taken]
+                left = left[~taken]
+            opening = np.flatnonzero(opens)
+            owner = cell[opening]
+            to[opening] = self.free[first[owner] + self.n_free[owner] - 1 - (_rank_in_runs(owner) if several else 0)]
+            np.subtract.at(self.n_free, owner, 1)
+            np.add.at(held, home[owner], 1)
+            np.add.at(self.at_table, to, 1)
+            self.seat[who] = to
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -180,365 +211,292 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return ragged.hashes(data, offsets[:-1], offsets[1:])
 
 
-def _sequence(marks: np.ndarray, starts: np.ndarray, offsets: np.ndarray, table: ragged.HashTable, end: int):
-    """Head places of all tokens with the end of each text, the place of each word in that order, and each row's end."""
-    per_row = ragged.per_row(starts, offsets)
-    row = np.repeat(np.arange(len(per_row)), per_row)
-    ends = np.cumsum(per_row + 1) - 1
-    ids = np.full(len(marks) + len(per_row), end, np.int64)
-    place = np.arange(len(marks)) + row
-    ids[place] = table.find(marks)
-    return ids, place, ends
+def _level(count):
+    return F.floor(F.log2(count.cast("double")) * 16).cast("int")
 
 
-def _cells(ids: np.ndarray, ends: np.ndarray, model_dishes: int, contexts: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, dish) of each token. Before the first word of a text stands an end."""
-    dish = np.where((ids >= 0) & (ids < model_dishes), ids, model_dishes)
-    before = np.concatenate([[end], ids[:-1]])
-    before[ends[:-1] + 1] = end
-    return np.where((before >= 0) & (before < contexts - 1), before, contexts - 1), dish
+def _with_end(marks: np.ndarray, starts: np.ndarray, offsets: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens with the end of each text, and their rows."""
+    per_row = ragged.per_row(starts, offsets)
+    out = np.full(len(marks) + len(per_row), end, np.uint64)
+    out[np.arange(len(marks)) + np.repeat(np.arange(len(per_row)), per_row)] = marks
+    return out, np.repeat(np.arange(len(per_row)), per_row + 1)
 
 
-def train(docs: DataFrame, text_col: str = "text", seed: int = 7) -> LanguageModel:
-    """Count all rows of ``docs`` (null texts as empty) and sample the seating."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "language-model")
-    texts = docs.select(text_col)
-    vocabulary = count_tokens(texts, scratch)
-    if DISHES is None:
-        return _train_whole(texts, vocabulary, scratch, seed)
-    head, counts, least, tokens, types = _head(vocabulary)
-    dishes = min(DISHES, len(head))
-    contexts = min(CONTEXTS, dishes + 1)
-    model = LanguageModel(vocabulary, tokens, types, head, counts, least, dishes, contexts, head.index(END) if END in head else -1)
-
-    held = spark.sparkContext.broadcast(_word_hashes(head[:dishes]))
-    end, width = model.end, dishes + 1
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ragged.HashTable(held.value)
-        seen = np.zeros(contexts * width, np.int64)
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """``h, c, a``: hash of each token of the first column of ``docs``, its number in rows whose second is true, and in all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = _word_hashes([END])[0]
         for batch in batches:
             data, offsets = ragged.utf8(batch.column(0))
+            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in ragged.blocks(offsets, BLOCK):
                 part = offsets[a : b + 1] - offsets[a]
                 _, starts, _, marks = ragged.words(data[offsets[a] : offsets[b]], part)
-                ids, _, ends = _sequence(marks, starts, part, table, end)
-                context, dish = _cells(ids, ends, dishes, contexts, end)
-                seen += np.bincount(context * width + dish, minlength=contexts * width)
-        cell = np.flatnonzero(seen)
-        for at in range(0, len(cell), 1 << 16):
-            some = cell[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["cell", "n"])
-
-    table = texts.mapInArrow(pairs, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    order = np.argsort(table.column("cell").to_numpy())
-    cell, n = table.column("cell").to_numpy()[order].astype(np.int64), table.column("n").to_numpy()[order].astype(float)
-    by_count = {int(r.c): int(r.n) for r in vocabulary.groupBy("c").agg(F.count("*").alias("n")).collect()}
-    for c in counts[:dishes].tolist():
-        by_count[c] -= 1
-    _fit(model, cell, n, {c: k for c, k in by_count.items() if k}, np.random.default_rng(seed))
-    return model
-
-
-def _followed(marks: np.ndarray, starts: np.ndarray, offsets: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of what stands before each token, and of the token; each text has an end before it and one after it."""
-    per_row = ragged.per_row(starts, offsets)
-    after = np.full(len(marks) + len(per_row), end, np.uint64)
-    after[np.arange(len(marks)) + np.repeat(np.arange(len(per_row)), per_row)] = marks
-    return np.concatenate([np.full(min(1, len(after)), end, np.uint64), after[:-1]]), after
-
+                every, row = _with_end(marks, starts, part, end)
+                order = np.argsort(every)
+                sort = every[order]
+                first = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(sort[first].view(np.int64)), pa.array(np.add.reduceat(learn[a:b][row[order]], first)), pa.array(np.diff(np.append(first, len(sort))))], names=["h", "c", "a"])
 
-def _pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """64-bit hash of a cell."""
-    with np.errstate(over="ignore"):
-        h = (before * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (before >> np.uint64(29))
-        h = (h + after) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        return h ^ (h >> np.uint64(29))
+    return docs.mapInArrow(count, "h long, c long, a long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
-def _partial_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    end = _word_hashes([END])[0]
-    for batch in batches:
-        data, offsets = ragged.utf8(batch.column(0))
-        for a, b in ragged.blocks(offsets, BLOCK):
-            part = offsets[a : b + 1] - offsets[a]
-            _, starts, _, marks = ragged.words(data[offsets[a] : offsets[b]], part)
-            before, after = _followed(marks, starts, part, end)
-            _, first, n = np.unique(_pair(before, after), return_index=True, return_counts=True)
-            for at in range(0, len(n), 1 << 16):
-                some = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (before[first[some]], after[first[some]], n[some])], names=["u", "w", "n"])
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = ragged.utf8(batch.column(0))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ragged.hashes(data, offsets[:-1], offsets[1:]).view(np.int64))], names=["word", "c", "h"])
-
-
-def _totals(cells: DataFrame, tables, names: tuple[str, str]) -> DataFrame:
-    """Tables of each context and customers of each word in the parent; in training every token is both."""
-    by = [cells.groupBy(F.col(side).alias("h")).agg(F.sum(tables).alias(name)) for side, name in zip("uw", names, strict=True)]
-    return by[0].join(by[1], "h", "full")
-
-
-def _seat_parent(model: LanguageModel, by_count: dict[float, int], rng: np.random.Generator) -> None:
-    """Average tables of the parent by a word's number of customers."""
-    counts = np.array(sorted(by_count), float)
-    many = np.array([by_count[c] for c in counts.tolist()], float)
-    whole = np.maximum(np.round(counts), 1)
-    d = model.rare_discount = discount(int(many[whole == 1].sum()), int(many[whole == 2].sum()))
-    model.rare_counts, model.rare_types, model.rare_customers = counts, int(many.sum()), float((counts * many).sum())
-    draws = 8  # seatings of each distinct count in a sweep
-    seats = Seating(np.repeat(whole, draws), np.zeros(len(counts) * draws, int), 1, d, rng)
-    base = np.full(len(seats.counts), (1 - UNSEEN_BASE) / max(model.rare_types, 1))
-    tables = np.zeros(len(counts))
-    for step in range(BURN_IN + KEPT):
-        seats.sweep(base, (seats.tables.reshape(-1, draws).mean(axis=1) * many).sum() - seats.tables)
-        if step >= BURN_IN:
-            tables += seats.tables.reshape(-1, draws).mean(axis=1) / KEPT
-    model.rare_tables, model.rare_total = np.minimum(tables, counts), float((np.minimum(tables, counts) * many).sum())
-
-
-def _parent_only(model: LanguageModel) -> LanguageModel:
-    """What ``log_rare`` needs, without what cannot be sent to executors."""
-    return LanguageModel(None, 0, 0, [], None, 0, 0, 0, 0, None, model.rare_counts, model.rare_tables, model.rare_discount, model.rare_customers, model.rare_total, model.rare_types)
-
-
-def _counted(column) -> dict[float, int]:
-    return {float(r[0]): int(r.n) for r in column.groupBy(*column.columns).agg(F.count("*").alias("n")).collect()}
-
-
-def _train_whole(texts: DataFrame, vocabulary: DataFrame, scratch: Scratch, seed: int) -> LanguageModel:
-    """The model with all contexts and dishes; its vocabulary has ``p``, log10 of the parent's probability, and ``v``, ``p`` and the context's term."""
-    cells = scratch.save(texts.mapInArrow(_partial_cells, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "cells")
-    ones = cells.agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).first()
-    d = discount(ones.a, ones.b)
-    single = F.when(F.col("n") == 1, 1.0).otherwise(0.0)
-    fixed = scratch.save(_totals(cells, single, ("t1", "k1")), "fixed")
-    parent = LanguageModel(None, 0, 0, [], None, 0, 0, 0, 0)
-    multi = cells.where("n > 1").withColumn("t", F.lit(1.0)).withColumn("kept", F.lit(0.0))
-
-    def totals(name: str, tables) -> DataFrame:
-        found = _totals(multi, tables, ("t2", "k2"))
-        both = fixed.join(found, "h", "left").select("h", (F.col("t1") + F.coalesce("t2", F.lit(0.0))).alias("t"), (F.col("k1") + F.coalesce("k2", F.lit(0.0))).alias("k"))
-        out = scratch.save(both, name)
-        _seat_parent(parent, _counted(out.select("k")), np.random.default_rng(seed))
-        return out
+def _head(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """Hashes and training counts of the most frequent tokens, at most HEAD, by whole levels of their logarithmic count; N, V and all tokens."""
+    levels = vocabulary.groupBy(_level(F.col("a")).alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v"), F.sum("a").alias("a")).orderBy(F.desc("level")).collect()
+    least, room = 1 << 20, HEAD
+    for r in levels:
+        if r.n > room:
+            break
+        least, room = r.level, room - r.n
+    rows = vocabulary.where(_level(F.col("a")) >= least).toArrow()
+    marks, counts, every = (rows.column(name).to_numpy() for name in ("h", "c", "a"))
+    order = np.lexsort((marks, -every))
+    return marks[order].view(np.uint64), np.stack([counts[order], every[order]]), sum(r.c for r in levels), sum(r.v for r in levels), sum(r.a for r in levels)
 
-    def with_totals(some: DataFrame, stats: DataFrame) -> DataFrame:
-        return some.join(stats.select(F.col("h").alias("u"), F.col("t").alias("tu")), "u").join(stats.select(F.col("h").alias("w"), F.col("k").alias("kw")), "w")
 
-    for step in range(CELL_BURN_IN + CELL_KEPT):
-        stats = totals(f"totals-{step}", F.col("t"))
-        words, keep = _parent_only(parent), (1 / CELL_KEPT if step >= CELL_BURN_IN else 0.0)
+def _base(c: np.ndarray, t: np.ndarray, totals: dict) -> np.ndarray:
+    """Probability in the parent of words with c customers at t tables there."""
+    whole = STRENGTH + totals["customers"]
+    fresh = (STRENGTH + totals["d"] * totals["tables"]) / whole
+    return np.where(c > 0, np.maximum(c - totals["d"] * t, 0) / whole + fresh * (1 - UNSEEN_BASE) / max(totals["types"], 1), fresh * UNSEEN_BASE)
 
-        def seat(batches: Iterator[pa.RecordBatch], words=words, keep=keep, step=step) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
 
-            rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
-            for batch in batches:
-                n, t, kept, tu, kw = (batch.column(i).to_numpy().astype(float) for i in range(2, 7))
-                seats = Seating(n, np.zeros(len(n), int), 1, d, rng)
-                seats.sweep(10 ** words.log_rare(kw), tu - t)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seats.tables), pa.array(kept + keep * seats.tables)], names=["u", "w", "n", "t", "kept"])
+def _ask(bucket: int, buckets: int, keys: np.ndarray, tables: np.ndarray, kind: str = "tables") -> list:
+    """What a bucket tells each shard of the parent of its words; the keys are sorted by shard."""
+    place = _places(keys, buckets).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return [(int(place[a]), kind, bucket, pack(key=keys[a:b], t=tables[a:b])) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True)]
 
-        columns = with_totals(multi, stats).select("u", "w", "n", "t", "kept", "tu", "kw")
-        multi = scratch.save(columns.mapInArrow(seat, "u long, w long, n long, t double, kept double"), f"seated-{step}")
-        scratch.drop(f"totals-{step}", *([f"seated-{step - 1}"] if step else []))
 
-    stats = totals("totals", F.col("kept"))
-    words = _parent_only(parent)
+def _tables_told(state: dict, seating: Seating) -> np.ndarray:
+    """Tables of each word that the bucket asks for, and of each dealt-out context."""
+    t = seating.tables()
+    told = np.bincount(state["wi"], weights=t, minlength=len(state["key"]))
+    held = np.bincount(seating.house, weights=t, minlength=seating.houses)
+    told[state["hot_at"]] = held[state["hot"]]
+    return told.astype(np.int64)
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, w = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
-            n, t, tu, kw = (batch.column(i).to_numpy().astype(float) for i in range(2, 6))
-            delta = np.log10(1 + (n - d * t) / ((STRENGTH + d * tu) * 10 ** words.log_rare(kw)))
-            yield pa.RecordBatch.from_arrays([pa.array(_pair(u, w).view(np.int64)), batch.column(2), pa.array(delta)], names=["pair", "n", "delta"])
 
-    every = cells.where("n = 1").withColumn("t", F.lit(1.0)).unionByName(multi.select("u", "w", "n", F.col("kept").alias("t")))
-    deltas = scratch.save(with_totals(every, stats).select("u", "w", "n", "t", "tu", "kw").mapInArrow(terms, "pair long, n long, delta double"), "deltas")
+def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), seed: int = 7) -> DataFrame:
+    """Learn from the rows of ``docs`` where ``learn`` is true, and score all rows.
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, t, k = (batch.column(i).to_numpy().astype(float) for i in range(1, 4))
-            p = words.log_rare(k)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.log10((STRENGTH + d * t) / (STRENGTH + c)) + p), pa.array(p)], names=["word", "c", "v", "p"])
-
-    joined = vocabulary.select("word", "c").mapInArrow(_marked, "word string, c long, h long").join(stats, "h").select("word", "c", "t", "k")
-    vocabulary = scratch.save(joined.mapInArrow(values, "word string, c long, v double, p double"), "terms")
-    scratch.drop("cells", "fixed", "vocabulary", f"seated-{CELL_BURN_IN + CELL_KEPT - 1}", "totals")
-    head, counts, least, tokens, types, of_head = _head(vocabulary, "v")
-    model = LanguageModel(vocabulary, tokens, types, head, counts, least, 0, 0, head.index(END) if END in head else -1, deltas=deltas, head_terms=of_head)
-    for name in ("counts", "tables", "discount", "customers", "total", "types"):
-        setattr(model, f"rare_{name}", getattr(parent, f"rare_{name}"))
-    return model
-
-
-def _fit(model: LanguageModel, cell: np.ndarray, n: np.ndarray, by_count: dict[int, int], rng: np.random.Generator) -> None:
-    width, contexts = model.dishes + 1, model.contexts
-    context, dish = cell // width, cell % width
-    uniform = np.full(width, 1 / (model.types + 1))
-    uniform[-1] = max(model.types + 1 - model.dishes, 1) / (model.types + 1)
-    uniform /= uniform.sum()
-    lower = Seating(n, context, contexts, discount(int((n == 1).sum()), int((n == 2).sum())), rng)
-    first = np.bincount(dish, weights=lower.tables, minlength=width)
-    upper = Seating(first, np.zeros(width, int), 1, discount(int((first == 1).sum()), int((first == 2).sum())), rng)
-
-    def shared() -> np.ndarray:
-        whole = STRENGTH + upper.customers[0]
-        return (upper.counts - upper.d * upper.tables + (STRENGTH + upper.d * upper.total()[0]) * uniform) / whole
-
-    rare_counts = np.array(sorted(by_count), float)
-    many = np.array([by_count[int(c)] for c in rare_counts], float)
-    d = model.rare_discount = discount(by_count.get(1, 0), by_count.get(2, 0))
-    model.rare_types, model.rare_customers = int(many.sum()), float((rare_counts * many).sum())
-    draws = 8  # seatings of each distinct count in a sweep
-    rare = Seating(np.repeat(rare_counts, draws), np.zeros(len(rare_counts) * draws, int), 1, d, rng)
-    rare_base = np.full(len(rare.counts), (1 - UNSEEN_BASE) / max(model.rare_types, 1))
-    tables_sum, total_sum = np.zeros(len(rare_counts)), 0.0
-
-    predict = np.zeros((contexts, width))
-    for step in range(BURN_IN + KEPT):
-        lower.sweep(shared()[dish])
-        upper.counts = np.bincount(dish, weights=lower.tables, minlength=width)
-        upper.customers = np.array([upper.counts.sum()])
-        upper.tables = np.minimum(np.maximum(upper.tables, np.minimum(upper.counts, 1)), upper.counts)
-        upper.sweep(uniform)
-        total = float((rare.tables.reshape(-1, draws).mean(axis=1) * many).sum()) if len(many) else 0.0
-        rare.sweep(rare_base, total - rare.tables)
-        if step < BURN_IN:
-            continue
-        parent = shared()
-        whole = STRENGTH + lower.customers
-        now = ((STRENGTH + lower.d * lower.total()) / whole)[:, None] * parent[None, :]
-        now[context, dish] += (n - lower.d * lower.tables) / whole[context]
-        predict += now / KEPT
-        mean = rare.tables.reshape(-1, draws).mean(axis=1)
-        tables_sum += mean / KEPT
-        total_sum += float((mean * many).sum()) / KEPT
-    model.log_predict = np.log10(predict).astype(np.float32) if len(cell) else np.log10(np.tile(uniform, (max(contexts, 1), 1))).astype(np.float32)
-    model.rare_counts, model.rare_tables, model.rare_total = rare_counts, tables_sum, total_sum
-
-
-def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """``id``, the columns ``also``, ``n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
-
-    A null text counts as empty and is one token, its end. Scores are sums of log10 probabilities over a row's tokens;
-    ``base_score`` is the add-one estimate, ``score`` the model's. Rows are told apart by a number of their own, so
-    repeated and null ids each give their row. With no training rows every token is unseen.
+    Gives ``id``, the columns ``also``, ``n_tokens, n_known, train_tokens, base_score, score, perplexity`` for each row. A null
+    text counts as empty and is one token, its end. Scores are sums of log10 probabilities over a row's tokens;
+    ``base_score`` is the add-one estimate, ``score`` the model's, ``perplexity`` 10 to the power of minus its mean. Rows are
+    told apart by their place in the input, so repeated and null ids each give their row; the input's scan must give the
+    same rows again if a task is repeated, as a table does. With no training rows every token is unseen; an empty table
+    gives no rows. Columns of ``docs`` that are not named are not read. A null ``learn`` is false.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "lm-scores")
-    source = docs.select(id_col, text_col, *also)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text_col]
-    whole_model = model.deltas is not None
-    cells = np.zeros(0, np.uint64), np.zeros(0)
-    if whole_model:
-        least_cell, _ = _most_frequent(model.deltas, "n")
-        frequent = model.deltas.where(_level(F.col("n")) >= least_cell).select("pair", "delta").toArrow()
-        cells = frequent.column("pair").to_numpy().view(np.uint64), frequent.column("delta").to_numpy()
-    held = spark.sparkContext.broadcast((_word_hashes(model.head), model.head_counts, model.head_terms if whole_model else model.log_predict, *cells))
-    dishes, contexts, end = model.dishes, model.contexts, model.end
-    end_mark = _word_hashes([END])[0]
-    rare = _parent_only(model)
-    tail_type = pa.struct([("word", pa.string()), ("times", pa.int64())])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    scratch = Scratch(spark, "language-model")
+    source = docs.select(F.col(text_col).alias("__text"), F.coalesce(learn, F.lit(False)).alias("__learn"), id_col, *also)
+    kept_fields = source.schema.fields[2:]
+    vocabulary = scratch.save(count_tokens(source.select("__text", "__learn")), "vocabulary")
+    marks, counts, tokens, types, every = _head(vocabulary)
+    scratch.drop("vocabulary")
+    buckets = max(1, -(-every // BUCKET_TOKENS))
+    hot = int((counts[1] > every / (4 * buckets)).sum()) if buckets > 1 else 0
+    held = spark.sparkContext.broadcast((marks, counts[0][:hot]))
+    asides = max(1, buckets // 8)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        marks_held, counts, predict, pairs, deltas = held.value
-        table, cell_table = ragged.HashTable(marks_held), ragged.HashTable(pairs)
-        log_count, log_rare = np.log10(counts + 1.0), rare.log_rare(counts)
-        number = TaskContext.get().partitionId() << 40
+        table, end = ragged.HashTable(held.value[0]), _word_hashes([END])[0]
+        base = TaskContext.get().partitionId() << 32
         for batch in batches:
-            text_at = batch.schema.get_field_index(text_col)
-            data, offsets = ragged.utf8(batch.column(text_at))
+            data, offsets = ragged.utf8(batch.column(0))
+            learns = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in ragged.blocks(offsets, BLOCK):
                 part = offsets[a : b + 1] - offsets[a]
-                low, starts, ends_at, marks = ragged.words(data[offsets[a] : offsets[b]], part)
-                ids, place, ends = _sequence(marks, starts, part, table, end)
-                in_head = ids >= 0
-                if whole_model:
-                    value = np.where(in_head, predict[ids], 0.0) if len(counts) else np.zeros(len(ids))
-                    cell = cell_table.find(_pair(*_followed(marks, starts, part, end_mark)))
-                    value[cell >= 0] += deltas[cell[cell >= 0]]
-                else:
-                    context, dish = _cells(ids, ends, dishes, contexts, end)
-                    value = predict[context, dish].astype(float)
-                    value[in_head & (dish == dishes)] += log_rare[ids[in_head & (dish == dishes)]]
-                if end < 0:  # not even an end was seen in training
-                    value[ends] += rare.log_rare(np.zeros(1))[0]
-                base = np.where(in_head, log_count[ids], 0.0) if len(counts) else np.zeros(len(ids))
-                edges = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-                tail = np.flatnonzero(ids[place] < 0)
-                row = np.searchsorted(part, starts[tail], "right") - 1
-                order = np.lexsort((marks[tail], row))
-                tail, row = tail[order], row[order]
-                new = np.ones(len(tail), bool)
-                new[1:] = (marks[tail][1:] != marks[tail][:-1]) | (row[1:] != row[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(tail)))
-                words = ragged.gather(low, starts[tail[first]], ends_at[tail[first]])
-                bounds = np.searchsorted(row[first], np.arange(b - a + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], fields=list(tail_type)))
-                kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if i != text_at]
-                text = [batch.column(text_at).slice(a, b - a)] if whole_model else []
-                arrays = [pa.array(number + np.arange(b - a)), *kept, pa.array(np.diff(np.append(edges, len(ids)))), pa.array(np.add.reduceat(in_head, edges, dtype=np.int64)), pa.array(np.add.reduceat(base, edges)), pa.array(np.add.reduceat(value, edges)), lists, *text]
-                number += b - a
-                yield pa.RecordBatch.from_arrays(arrays, names=["__row", *(batch.schema.names[i] for i in range(batch.num_columns) if i != text_at), "n_tokens", "__known", "__base", "__value", "__tail", *(["__text"] if whole_model else [])])
-
-    walked = scratch.save(source.mapInArrow(walk, ", ".join(["__row long", *fields, "n_tokens long, __known long, __base double, __value double, __tail array<struct<word: string, times: long>>", *(["__text string"] if whole_model else [])])), "rows")
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                _, starts, _, found = ragged.words(data[offsets[a] : offsets[b]], part)
+                h, row = _with_end(found, starts, part, end)
+                at = table.find(h)
+                w = np.where(at >= 0, at.view(np.uint64), h | _TAIL)
+                u = np.concatenate([w[-1:], w[:-1]])  # before each text stands an end, and one is last
+                mixed_u, mixed_w = _mix(u), _mix(w)
+                bucket = (np.where(u < np.uint64(hot), _mix(mixed_u ^ w), mixed_u) >> np.uint64(20)) % np.uint64(buckets)
+                key = (bucket << np.uint64(40)) | ((mixed_u & np.uint64(0xFFFFF)) << np.uint64(20)) | (mixed_w & np.uint64(0xFFFFF))
+                order = np.argsort(key)
+                u, w, bucket, told = u[order], w[order], bucket[order].astype(np.int64), (2 * row + learns[a:b][row])[order]
+                new_u = np.concatenate([[True], (u[1:] != u[:-1]) | (bucket[1:] != bucket[:-1])])
+                cell = np.flatnonzero(new_u | np.concatenate([[True], w[1:] != w[:-1]]))
+                house = np.flatnonzero(new_u)
+                ends = np.searchsorted(bucket, np.arange(buckets + 1))
+                out = []
+                for k in range(buckets):
+                    x, y = ends[k], ends[k + 1]
+                    if x < y:
+                        c, g = cell[slice(*np.searchsorted(cell, [x, y]))], house[slice(*np.searchsorted(house, [x, y]))]
+                        out.append((k, "blob", base, pack(u=u[g], ul=np.diff(np.append(np.searchsorted(c, g), len(c))), w=w[c], m=np.diff(np.append(c, y)), d=told[x:y])))
+                sink = pa.BufferOutputStream()
+                mine = batch.slice(a, b - a).select(range(2, batch.num_columns))
+                with pa.ipc.new_stream(sink, mine.schema) as writer:
+                    writer.write_batch(mine)
+                out.append((buckets + base % asides, "rows", base, sink.getvalue().to_pybytes()))
+                base += 1
+                yield _batch(out)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _rows(batches)
+        for bucket, base, payload in rows.get("rows", []):
+            yield _batch([(bucket, "rows", base, payload)])
+        if blobs := rows.get("blob"):
+            bucket, parts = blobs[0][0], [unpack(p) for _, _, p in blobs]
+            u = np.concatenate([np.repeat(p["u"], p["ul"]) for p in parts]).astype(np.uint64)
+            w, m = (np.concatenate([p[x] for p in parts]) for x in ("w", "m"))
+            told = np.concatenate([p["d"] for p in parts])
+            m, w = m.astype(np.int64), w.astype(np.uint64)
+            learned = np.add.reduceat((told & 1).astype(np.int64), np.cumsum(m) - m)
+            houses, house = np.unique(u, return_inverse=True)
+            keys, word = np.unique(w, return_inverse=True)
+            code, cell = np.unique(house * len(keys) + word, return_inverse=True)
+            n = np.bincount(cell, weights=learned, minlength=len(code)).astype(np.int64)
+            # what is asked of the parent: all words, and the tables of dealt-out contexts, sorted by shard
+            dealt = np.flatnonzero(houses < np.uint64(hot))
+            asked = np.concatenate([keys, houses[dealt] | _HOT])
+            by_shard = np.lexsort((asked, _places(asked, buckets)))
+            rank = np.empty(len(asked), np.int64)
+            rank[by_shard] = np.arange(len(asked))
+            state = {"u": houses, "ul": np.bincount(code // len(keys), minlength=len(houses)), "key": asked[by_shard], "wi": rank[code % len(keys)], "hot": dealt, "hot_at": rank[len(keys) :], "n": n}
+            order_of = [np.argsort(p["d"] >> 1, kind="stable") for p in parts]
+            cells = np.split(np.repeat(cell, m), np.cumsum([len(p["d"]) for p in parts])[:-1])
+            docs_of = [np.unique(p["d"] >> 1, return_counts=True) for p in parts]
+            seen = pack(
+                base=np.array([b for _, b, _ in blobs]), docs=np.array([len(d) for d, _ in docs_of]), doc=np.concatenate([d for d, _ in docs_of]), k=np.concatenate([k for _, k in docs_of]),
+                cell=np.concatenate([c[o] for c, o in zip(cells, order_of, strict=True)]),
+            )
+            house = np.repeat(np.arange(len(houses)), state["ul"])
+            first = Seating(np.minimum(n, 1), house, len(houses), 0.5, np.random.default_rng(0))
+            yield _batch([(bucket, "seen", 0, seen), (bucket, "state", 0, pack(**state)), (bucket, "stats", 0, pack(s=np.array([(n == 1).sum(), (n == 2).sum()], float))), *_ask(bucket, buckets, state["key"], _tables_told(state, first))])
+
+    def table(name: str, kind: str) -> DataFrame:
+        return spark.read.schema(ROWS).parquet(scratch.path(name)).where(F.col("kind") == kind).select("bucket", "kind", "base", "payload")
+
+    def write(name: str, rows: DataFrame) -> None:
+        scratch.write(rows, name, partition_by="kind")
+
+    def stats(name: str) -> np.ndarray:
+        return sum((unpack(r.payload)["s"] for r in table(name, "stats").select("payload").collect()), np.zeros(4))
+
+    write("dealt", source.mapInArrow(deal, ROWS).repartitionById(buckets + asides, "bucket").mapInArrow(gather, ROWS))
+    ones, twos = (unpacked := sum((unpack(r.payload)["s"] for r in table("dealt", "stats").select("payload").collect()), np.zeros(2)))[0], unpacked[1]
+    d = discount(ones, twos)
+
+    def parent(name: str, told: DataFrame, step: int) -> dict:
+        """Seat the parent's customers; what each bucket asked for goes to the table ``name``."""
+
+        def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = _rows(batches).get("tables", [])
+            if not rows:
+                return
+            shard, parts = rows[0][0], [unpack(p) for _, _, p in rows]
+            keys, back = np.unique(np.concatenate([p["key"] for p in parts]).astype(np.uint64), return_inverse=True)
+            c = np.bincount(back, weights=np.concatenate([p["t"] for p in parts]), minlength=len(keys)).astype(np.int64)
+            word = (keys & _HOT == 0) | (keys >= _TAIL)
+            n = np.where(word, c, 0)
+            ones, twos = float((n == 1).sum()), float((n == 2).sum())
+            seating = Seating(n, np.zeros(len(n), np.int64), 1, discount(ones, twos), np.random.default_rng([seed, step, shard, 1]))
+            for _ in range(PARENT_TURNS):
+                seating.sweep(np.full(len(n), (1 - UNSEEN_BASE) / max(types, 1)), times=float(buckets))
+            t = seating.tables()
+            sums = np.array([n.sum(), t.sum(), ones, twos], float)
+            t = np.where(word, t, 0)
+            ends = np.cumsum([0, *(len(p["key"]) for p in parts)])
+            yield _batch([(shard, "stats", 0, pack(s=sums)), *((base, "parent", shard, pack(c=c[back[x:y]], t=t[back[x:y]])) for (_, base, _), x, y in zip(rows, ends[:-1], ends[1:], strict=True))])
+
+        write(name, told.repartitionById(buckets, "bucket").mapInArrow(seat, ROWS))
+        customers, tables, ones, twos = stats(name)
+        return {"customers": customers, "tables": tables, "d": discount(ones, twos), "types": types}
+
+    def visit(step: int, totals: dict):
+        """Take the predictive probabilities of the seating as it is, if it counts, and seat the customers again."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = _rows(batches)
+            for bucket, base, payload in rows.get("rows", []):
+                yield _batch([(bucket, "rows", base, payload)])
+            if "state" not in rows:
+                return
+            bucket, state = rows["state"][0][0], unpack(rows["state"][0][2])
+            answers = [unpack(p) for _, _, p in rows["parent"]]
+            c, t = (np.concatenate([a[x] for a in answers]).astype(np.int64) for x in "ct")
+            houses, n, wi = len(state["u"]), state["n"].astype(np.int64), state["wi"].astype(np.int64)
+            house = np.repeat(np.arange(houses), state["ul"])
+            base = _base(c, t, totals)[wi]
+            seating = Seating(n, house, houses, d, np.random.default_rng([seed, step, bucket]), state.get("seats"))
+            tables = seating.tables()
+            mine = np.bincount(house, weights=tables, minlength=houses)
+            customers = np.bincount(house, weights=n, minlength=houses)
+            elsewhere = np.zeros(houses)
+            elsewhere[state["hot"]] = c[state["hot_at"]] - mine[state["hot"]]
+            customers[state["hot"]] = held.value[1][state["u"][state["hot"]].astype(np.int64)]
+            whole = STRENGTH + customers
+            if step > BURN_IN:
+                now = (np.maximum(n - d * tables, 0) + (STRENGTH + d * (mine + elsewhere))[house] * base) / whole[house]
+                state["p"] = state.get("p", np.zeros(len(n), np.float32)) + (now / KEPT).astype(np.float32)
+            if step < BURN_IN + KEPT:
+                seating.sweep(base, elsewhere)
+                state["seats"] = seating.seats()
+                yield _batch([(bucket, "state", 0, pack(**state)), *_ask(bucket, buckets, state["key"], _tables_told(state, seating))])
+                return
+            log_p, log_c, known = np.log10(state["p"].astype(float)), np.log10(customers + 1)[house], (customers > 0).astype(np.int64)[house]
+            seen = unpack(rows["seen"][0][2])
+            cell, k = seen["cell"].astype(np.int64), seen["k"].astype(np.int64)
+            heads = np.cumsum(k) - k
+            sums = [np.add.reduceat(x[cell], heads) for x in (log_p, log_c, known)]
+            ends = np.cumsum(np.concatenate([[0], seen["docs"].astype(np.int64)]))
+            yield _batch([(bucket, "sums", int(b), pack(doc=seen["doc"][x:y], k=k[x:y], score=sums[0][x:y], base=sums[1][x:y], known=sums[2][x:y])) for b, x, y in zip(seen["base"].tolist(), ends[:-1], ends[1:], strict=True)])
+
+        return run
+
+    totals = parent("parent-0", table("dealt", "tables"), 0)
+    last = "dealt"
+    for step in range(1, BURN_IN + KEPT + 1):
+        told = table(last, "state").unionByName(table(f"parent-{step - 1}", "parent"))
+        if step == BURN_IN + KEPT:
+            break
+        write(f"seated-{step}", told.repartitionById(buckets, "bucket").mapInArrow(visit(step, totals), ROWS))
+        scratch.drop(f"parent-{step - 1}", *([last] if last != "dealt" else []))
+        last = f"seated-{step}"
+        totals = parent(f"parent-{step}", table(last, "tables"), step)
+    sums = told.unionByName(table("dealt", "seen")).repartitionById(buckets, "bucket").mapInArrow(visit(step, totals), ROWS)
+
+    smooth = float(np.log10(tokens + types + 1))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one block lie together, those of its texts first."""
+        block: pa.RecordBatch | None = None
+        of, found = -1, np.zeros((4, 0))
+
+        def done() -> pa.RecordBatch:
+            k, score, base, known = found
+            columns = [pa.array(k.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(k), tokens, np.int64)), pa.array(base - k * smooth), pa.array(score), pa.array(10 ** (-score / np.maximum(k, 1)))]
+            return pa.RecordBatch.from_arrays([*block.columns, *columns], names=[*block.schema.names, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
         for batch in batches:
-            c = batch.column(1).to_numpy().astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(c + 1)), pa.array(rare.log_rare(c))], names=["word", "b", "v"])
-
-    others = model.vocabulary.where((_level(F.col("c")) < model.least_head) & (F.col("word") != END))
-    if whole_model:
-        others = others.select("word", F.log10(F.col("c") + 1).alias("b"), "v")
-    else:
-        others = others.select("word", "c").mapInArrow(values, "word string, b double, v double")
-    unseen = float(rare.log_rare(np.zeros(1))[0])
-    tails = walked.select("__row", F.explode("__tail").alias("t")).select("__row", "t.word", "t.times").join(others, "word", "left")
-    sums = tails.groupBy("__row").agg(
-        F.sum(F.col("times") * F.coalesce("b", F.lit(0.0))).alias("__b"),
-        F.sum(F.col("times") * F.coalesce("v", F.lit(unseen))).alias("__v"),
-        F.sum(F.when(F.col("b").isNotNull(), F.col("times")).otherwise(0)).alias("__k"),
-    )
-    whole = walked.drop("__tail", "__text").join(sums, "__row", "left").withColumn("__d", F.lit(0.0))
-    if whole_model:
-
-        def tail_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cell_table = ragged.HashTable(held.value[3])
-            for batch in batches:
-                number = batch.column(0).to_numpy()
-                data, offsets = ragged.utf8(batch.column(1))
-                for a, b in ragged.blocks(offsets, BLOCK):
-                    part = offsets[a : b + 1] - offsets[a]
-                    _, starts, _, marks = ragged.words(data[offsets[a] : offsets[b]], part)
-                    pair = _pair(*_followed(marks, starts, part, end_mark))
-                    row = np.repeat(number[a:b], ragged.per_row(starts, part) + 1)
-                    left = np.flatnonzero(cell_table.find(pair) < 0)
-                    for at in range(0, len(left), 1 << 16):
-                        some = left[at : at + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(pair[some].view(np.int64))], names=["__row", "pair"])
-
-        seen = walked.select("__row", "__text").mapInArrow(tail_cells, "__row long, pair long")
-        tail_deltas = model.deltas.where(_level(F.col("n")) < least_cell).select("pair", "delta")
-        whole = whole.drop("__d").join(seen.join(tail_deltas, "pair").groupBy("__row").agg(F.sum("delta").alias("__d")), "__row", "left")
-    smooth = float(np.log10(model.tokens + model.types + 1))
-    return whole.select(
-        id_col,
-        *also,
-        "n_tokens",
-        (F.col("__known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("__base") + F.coalesce("__b", F.lit(0.0)) - F.col("n_tokens") * smooth).alias("base_score"),
-        (F.col("__value") + F.coalesce("__v", F.lit(0.0)) + F.coalesce("__d", F.lit(0.0))).alias("score"),
+            for kind, base, payload in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if kind == "rows":
+                    if block is not None:
+                        yield done()
+                    block = pa.ipc.open_stream(payload).read_next_batch()
+                    of, found = base, np.zeros((4, block.num_rows))
+                    continue
+                assert base == of, "a block's sums came before its rows"
+                part = unpack(payload)
+                for i, name in enumerate(("k", "score", "base", "known")):
+                    found[i, part["doc"].astype(np.int64)] += part[name]
+        if block is not None:
+            yield done()
+
+    every_row = sums.unionByName(table("dealt", "rows"))
+    spread = max(1, -(-every // (1 << 20)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields)
+    return (
+        every_row.repartition(spread, "base")
+        .sortWithinPartitions("base", F.col("kind") != "rows", "bucket")
+        .mapInArrow(finish, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     )

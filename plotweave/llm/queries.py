@@ -94,8 +94,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
-    model = lm_scoring.train(docs.where("NOT held_out"))
-    return lm_scoring.score(docs, model, also=("held_out",))
+    return lm_scoring.score_corpus(docs, ~F.col("held_out"), also=("held_out",))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
