@@ -66,3 +66,20 @@ class Scratch:
 def crc_mod(doc_id, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+#: Rows of one key that one task joins, and keys with more of them, at most.
+HOT_ROWS, MOST_HOT = 1 << 14, 100_000
+
+
+def join_hot(rows: DataFrame, by: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``by``, whose ``key`` is unique and whose ``n`` counts the rows that have it.
+
+    Keys with more than ``HOT_ROWS`` rows (or ``total`` / MOST_HOT, so there are at most MOST_HOT of them to broadcast) are
+    dealt to several tasks.
+    """
+    most = max(HOT_ROWS, total // MOST_HOT)
+    hot = F.broadcast(by.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("__salts")))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    right = by.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.when(F.col("n") > most, F.ceil(F.col("n") / most)).otherwise(1)).cast("int") - 1)))
+    return left.join(right, [key, "__salt"], how).drop("__salt")

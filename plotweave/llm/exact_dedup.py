@@ -2,9 +2,11 @@
 
 Rows are dealt to memtables of bounded size. A memtable is flushed as a run: its digests in order, each with its
 smallest and largest id and its row count, in Parquet files with a Bloom filter on the digest. Compaction merges
-``FAN_IN`` runs into one, level by level, until one run is left. A filter of fixed size over the digests with several
-rows then picks the rows whose texts are worth moving; those are compared byte for byte with the text of the row that
-stays. Texts whose digests agree but whose bytes do not are regrouped by their bytes.
+``FAN_IN`` runs into one, level by level, until one run is left. A filter over its repeated digests is probed by every
+row: one that it does not hold is its own group, without a join. A filter over the ids of the hits picks the rows whose
+texts are worth moving; those are stored once and compared byte for byte with the text of the row that stays. Texts
+whose digests agree but whose bytes do not are regrouped by their bytes. Filters have ``FILTER_LOAD`` bits a value; where
+that is more than ``FILTER_BYTES``, joins take their place.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import Scratch
+from plotweave.llm.common import Scratch, join_hot
 
 #: Rows in a memtable, on average.
 MEMTABLE_ROWS = 1 << 15
 #: Runs that one compaction merges.
 FAN_IN = 16
-#: Bits of the filter over the ids of repeated texts: 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+#: Bits of a filter for each value in it, and the size up to which it is broadcast.
+FILTER_LOAD, FILTER_BYTES = 16, 1 << 25
 #: Copies of a text that one task compares with it.
 SALT_ROWS = 512
 
@@ -70,22 +72,28 @@ class DigestIndex:
         return self.runs
 
 
-def _place(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
+class Filter:
+    """Bitmaps of the hashes of some values, broadcast to where rows are probed. No value that it holds is missed."""
 
+    def __init__(self, values: DataFrame, column: str, n: int, scratch: Scratch, name: str):
+        self.bits = max(_BUCKET_BITS, 1 << max(1, n * FILTER_LOAD - 1).bit_length())
+        places = values.select(self._place(F.col(column)).alias("place"))
+        bitmaps = places.groupBy(F.floor(F.col("place") / _BUCKET_BITS).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("place") % _BUCKET_BITS).alias("__bits"))
+        self.bitmaps = scratch.save(bitmaps, name)
 
-def value_filter(values: DataFrame, column: str) -> DataFrame:
-    """Bitmaps (bucket, bits): at most FILTER_BITS / 8 bytes in all, a bound that does not depend on the input."""
-    places = values.select(_place(F.col(column)).alias("place"))
-    return places.groupBy(F.floor(F.col("place") / _BUCKET_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("place") % _BUCKET_BITS).alias("bits"))
+    @staticmethod
+    def fits(n: int) -> bool:
+        return n * FILTER_LOAD <= FILTER_BYTES * 4  # the next power of two fits, too
 
+    def _place(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(self.bits))
 
-def maybe_in(rows: DataFrame, bitmaps: DataFrame, column: str) -> DataFrame:
-    """Rows whose value the filter may hold; none that it does hold is lost."""
-    placed = rows.withColumn("place", _place(F.col(column))).withColumn("bucket", F.floor(F.col("place") / _BUCKET_BITS))
-    bit = (F.col("place") % _BUCKET_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return placed.join(F.broadcast(bitmaps), "bucket").where(F.getbit(byte, bit % 8) == 1).drop("place", "bucket", "bits")
+    def probe(self, rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` with ``__maybe``: whether the filter may hold their value."""
+        placed = rows.withColumn("__place", self._place(F.col(column))).withColumn("__bucket", F.floor(F.col("__place") / _BUCKET_BITS))
+        bit = (F.col("__place") % _BUCKET_BITS).cast("int")
+        byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return placed.join(F.broadcast(self.bitmaps), "__bucket", "left").withColumn("__maybe", F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))).drop("__place", "__bucket", "__bits")
 
 
 def find_copies(
@@ -103,26 +111,41 @@ def find_copies(
     texts = docs.select(F.col(id_col).alias("id"), normal(F.col(text_col)).alias("text"))
     entries = scratch.save(texts.select("id", digest(F.col("text")).alias("digest")), "entries")
     index = DigestIndex(scratch)
-    index.flush(entries, max(1, -(-entries.count() // memtable_rows)))
+    total = entries.count()
+    index.flush(entries, max(1, -(-total // memtable_rows)))
     run = index.compact()
     best = F.col("low" if keep == "smallest" else "high").alias("keep_id")
-    repeated = scratch.save(run.where("n > 1").select("digest", best, F.col("n").alias("group_size")), "repeated")
+    repeated = scratch.save(run.where("n > 1").select("digest", best, "n"), "repeated")
+    digests, hit_rows = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    # every row's group; what the filter of the repeated digests does not hold needs no join
+    if Filter.fits(digests):
+        probed = Filter(repeated, "digest", digests, scratch, "digest-filter").probe(entries, "digest")
+        alone, rest = probed.where("NOT __maybe").drop("__maybe"), probed.where("__maybe").drop("__maybe")
+        groups = alone.select("id", "digest", F.col("id").alias("keep_id"), F.lit(None).cast("long").alias("n")).unionByName(join_hot(rest, repeated, "digest", total, "left").select("id", "digest", "keep_id", "n"))
+    else:
+        groups = join_hot(entries, repeated, "digest", total, "left")
+    groups = groups.select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), "digest")
 
     # byte verification of the hits; only their texts are normalised again and moved
-    hit_ids = value_filter(entries.join(repeated, "digest", "left_semi"), "id")
-    hits = maybe_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")), hit_ids, "id").select("id", normal(F.col("raw")).alias("text"))
-    hits = hits.withColumn("digest", digest(F.col("text"))).join(repeated, "digest")
-    salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    hits = hits.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    stays = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "group_size").agg(F.min("text").alias("kept_text"))
-    stays = stays.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.ceil(F.col("group_size") / SALT_ROWS).cast("int") - 1)).alias("salt"))
-    differ = scratch.save(hits.join(stays, ["digest", "salt"]).where("text <> kept_text").select("digest").distinct(), "differ")
-
-    groups = entries.join(repeated, "digest", "left").select(
-        "id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "digest"
-    )
+    ids = entries.join(repeated, "digest", "left_semi").select("id")
+    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"))
+    if Filter.fits(hit_rows):
+        raw = Filter(ids, "id", hit_rows, scratch, "id-filter").probe(raw, "id").where("__maybe")
+    else:
+        raw = raw.join(ids.distinct().withColumnRenamed("id", "hit"), F.col("id").eqNullSafe(F.col("hit")), "left_semi")
+    hits = raw.select("id", normal(F.col("raw")).alias("text"))
+    hits = scratch.save(hits.withColumn("digest", digest(F.col("text"))), "hits")
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    kept_text = hits.join(repeated, ["digest"]).where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("kept_text"), F.max("n").alias("n"))
+    stays = scratch.save(kept_text, "stays")
+    salted = stays.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = join_hot(hits, repeated, "digest", total).select("digest", "text", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    differ = scratch.save(dealt.join(salted, ["digest", "salt"]).where("text <> kept_text").select("digest").distinct(), "differ")
+
     if not differ.isEmpty():  # digests that stand for several texts: group their rows by the texts
         several = texts.withColumn("digest", digest(F.col("text"))).join(differ, "digest", "left_semi")
         exact = several.groupBy("digest", "text").agg((F.min if keep == "smallest" else F.max)("id").alias("keep_id"), F.count("*").alias("group_size"))
         groups = groups.join(differ, "digest", "left_anti").unionByName(several.join(exact, ["digest", "text"]).select("id", "keep_id", "group_size", "digest"))
+    scratch.drop("hits", "stays")
     return groups.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")

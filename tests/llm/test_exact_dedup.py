@@ -3,7 +3,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from plotweave.llm import exact_dedup
+from plotweave.llm import common, exact_dedup
+from plotweave.llm.common import Scratch
 from tests.llm.helpers import awkward, documents
 
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -43,10 +44,25 @@ def test_same_as_brute_force(spark, monkeypatch, keep, weak):
 def test_filter_holds_what_was_put_in(spark):
     digests = spark.range(2000).select(exact_dedup.sha256(F.col("id").cast("string")).alias("digest"), "id")
     for column in ("digest", "id"):
-        bitmaps = exact_dedup.value_filter(digests.where("id < 100"), column)
-        found = {r.id for r in exact_dedup.maybe_in(digests, bitmaps, column).collect()}
+        scratch = Scratch(spark, "test")
+        held = exact_dedup.Filter(digests.where("id < 100"), column, 100, scratch, "some")
+        found = {r.id for r in held.probe(digests, column).where("__maybe").collect()}
         assert set(range(100)) <= found and len(found) < 110
-    assert exact_dedup.maybe_in(digests, exact_dedup.value_filter(digests.limit(0), "digest"), "digest").count() == 0
+        assert held.probe(digests, column).count() == 2000
+        none = exact_dedup.Filter(digests.limit(0), column, 0, scratch, "none")
+        assert none.probe(digests, column).where("__maybe").count() == 0
+    assert exact_dedup.Filter.fits(1 << 23) and not exact_dedup.Filter.fits(1 << 24)
+    assert exact_dedup.Filter(digests, "id", 1 << 20, Scratch(spark, "test"), "large").bits == 1 << 24
+
+
+@pytest.mark.parametrize("rows", [3, 1 << 14])
+def test_without_filters_and_with_hot_groups(spark, monkeypatch, rows):
+    """Beyond the size of a filter joins take its place; groups of more than HOT_ROWS rows are dealt to several tasks."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", 1 if rows > 3 else 1 << 25)
+    monkeypatch.setattr(common, "HOT_ROWS", rows)
+    monkeypatch.setattr(common, "MOST_HOT", 1000)
+    found = exact_dedup.find_copies(documents(spark, TEXTS, ids=IDS), keep="largest").collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found), key=str) == brute(list(zip(IDS, TEXTS, strict=True)), "largest")
 
 
 def test_empty_table(spark):
