@@ -1,12 +1,15 @@
 """Mixing sources to target weights (operator 6): soft membership and projected-gradient least squares.
 
-A classifier fitted on a labelled table gives each document a posterior over domains. Documents get nonnegative rates
-whose expected domain token totals S_k = sum r_d n_d p_dk shall equal targets T_k. With M = sum n_d p_d p_d' the loss
-(S - T)' M^-1 (S - T) has, in the metric where document d weighs n_d, the gradient p_d' M^-1 (S - T) and the Lipschitz
-constant 1, so r <- max(0, r - p_d' M^-1 (S - T)) is projected gradient descent with the step 1. Targets that a mix can meet are
-met in a step or two; for others each step starts from a point extrapolated beyond the last (and plainly again when the
-loss has risen). A step needs one distributed sum of a few numbers per domain; the rates themselves are never stored: a
-document's rate follows from its posterior and the list of steps.
+A classifier fitted on a labelled table gives each document a posterior p_d over domains. Documents get nonnegative rates
+r_d whose expected domain token totals S_k = sum r_d n_d p_dk shall equal targets T_k. In shares of all tokens, rates
+minimise |s - t|^2 + ridge * (weighted mean of (r_d - 1)^2) under r >= 0; the ridge chooses among the many rates that meet
+the targets those nearest to 1. A projected gradient step is r_d <- max(0, 1 + p_d' x) with x moved against the slope
+s - t + ridge * x, scaled by the curvature of the documents whose rate is above 0 (projected Newton), and halved when the
+objective would rise. A step needs one distributed sum of a few numbers per domain, and the rates are never stored: a
+document's rate follows from its posterior and x.
+
+The ridge falls tenfold from ``RIDGE`` as long as the totals come at least twice as near. Targets that no mix of these
+documents can meet, such as none of a domain that every document belongs to a little, end that; ``Mix.met`` says so.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ SAMPLE_ROWS = 800
 LEAST_DOCUMENTS, FEATURES = 6, 4096
 #: Lengths (bytes) of the word beginnings that count as features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
-#: Steps of the fit, at most, and the error of the totals (share of all tokens) that ends it.
-STEPS, TOLERANCE = 60, 1e-5
+#: The first ridge, and the error of the totals (share of all tokens) with which targets are met.
+RIDGE, TOLERANCE = 1e-3, 1e-5
+#: Steps with one ridge before the fit gives up.
+STEPS = 60
 #: Shape features beside the words.
 SHAPES = 8
 
@@ -119,8 +124,9 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, domain, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Fit on about ``rows`` labelled documents per domain; ``domain`` is a column of ``labels`` (null: no label).
 
-    At most 255 domains. An id with several labels counts with its alphabetically first domain. The sampled labels, whose number is bounded
-    by ``rows`` and the number of domains, are broadcast to the documents; only the sampled texts come to the driver.
+    An id with several labels counts with its alphabetically first domain, one that several documents have with the text
+    that comes first. The sampled labels, whose number is bounded by ``rows`` and the number of domains, are broadcast to
+    the documents; only the sampled texts come to the driver.
     """
     known = labels.select(F.col(id_col).alias("__id"), domain.cast("string").alias("__domain")).where("__id IS NOT NULL AND __domain IS NOT NULL").groupBy("__id").agg(F.min("__domain").alias("__domain"))
     counts = {r[0]: r[1] for r in known.groupBy("__domain").count().collect()}
@@ -130,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, domain, rows: int = SAMPLE_ROWS, i
     part = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
     draw = F.shiftrightunsigned(F.xxhash64(F.col("__id"), F.lit(6)), 11) / F.lit(float(1 << 53))
     chosen = known.where(draw < part[F.col("__domain")])
-    sample = docs.select(F.col(id_col).alias("__id"), text_col).join(F.broadcast(chosen), "__id").select(text_col, "__domain").toArrow()
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    sample = found.groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__domain").alias("__domain")).select("__text", "__domain").toArrow()
     data, offsets = ragged.utf8(sample.column(0))
     label = np.array([domains.index(x) for x in sample.column(1).to_pylist()], np.int64)
     keys = _informative(data, offsets, label, len(domains))
@@ -155,7 +162,7 @@ def _in_blocks(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> tupl
 
 def _informative(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, domains: int) -> np.ndarray:
     """The features whose presence differs most between a domain and the rest, in standard errors."""
-    marks, labels = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    marks, labels = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in ragged.blocks(offsets, 1 << 20):
         every, row = marks_of(ragged.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
         order = np.lexsort((every, row))
@@ -163,7 +170,7 @@ def _informative(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, domai
         new = np.ones(len(every), bool)
         new[1:] = (every[1:] != every[:-1]) | (row[1:] != row[:-1])
         marks.append(every[new])
-        labels.append(label[row[new] + a].astype(np.uint8))
+        labels.append(label[row[new] + a])
     every, of = np.concatenate(marks), np.concatenate(labels)
     order = np.argsort(every, kind="stable")
     every, of = every[order], of[order]
@@ -202,25 +209,29 @@ def _descend(model: Classifier, label: np.ndarray, row: np.ndarray, word: np.nda
         model.weights -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
 
 
-def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors ``p`` after these steps, from 1, and the points that the next starts from."""
-    r = y = np.ones(len(p))
-    for v, beyond in steps:
-        now = np.maximum(0.0, y - p @ v)
-        r, y = now, now + beyond * (now - r)
-    return r, y
+def rates(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rates of documents with posteriors ``p``."""
+    return np.maximum(0.0, 1 + p @ x)
 
 
-def copies(ids: list, rate: np.ndarray, seed: int, snap: float = 0.0) -> np.ndarray:
-    """Whole numbers whose mean is the rate: its floor, plus one where a hash of the id falls below the rest.
+def _rate(x: np.ndarray):
+    """The same as a column over ``p``."""
+    return F.greatest(F.lit(0.0), sum((F.col("p")[k] * float(v) for k, v in enumerate(x)), F.lit(1.0)))
 
-    Rates within ``snap`` of a whole number count as it, so that soft memberships do not drop or repeat rows by chance.
+
+def copies(rate, draw, snap: float = 0.0):
+    """Whole numbers whose mean is the rate: its floor, plus one where the draw (0 to 1) falls below the rest.
+
+    Rates within ``snap`` of a whole number count as it, so that soft memberships do not drop or repeat rows by chance; what
+    that does to the totals is in ``totals``.
     """
-    import xxhash
+    whole = F.round(rate)
+    return F.floor(F.when(F.abs(rate - whole) <= snap, whole).otherwise(rate) + draw).cast("long")
+
 
-    rate = np.where(np.abs(rate - np.round(rate)) <= snap, np.round(rate), rate)
-    draw = np.array([xxhash.xxh64_intdigest(str(i), seed) for i in ids], np.uint64) / 2.0**64
-    return np.floor(rate + draw).astype(np.int64)
+def _draw(id_col: str, text_col: str, seed: int):
+    """A number from 0 to 1 by id and text; rows that repeat both share it."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
 @dataclass
@@ -228,109 +239,142 @@ class Mix:
     """A fitted mix: what is needed to give any document its rate."""
 
     classifier: Classifier
-    steps: list[tuple[np.ndarray, float]]
+    x: np.ndarray
     targets: np.ndarray  # token totals
-    reached: np.ndarray
+    reached: np.ndarray  # expected token totals
+    ridge: float = 0.0
+    met: bool = True  # whether the totals are the targets, to within TOLERANCE of all tokens
 
 
-def posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, p array<double>`` for each row; tokens are words between white space, null texts have none."""
-    source = docs.select(id_col, text_col)
+def posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``id`` (or the columns ``carry``), ``n_tokens, p array<double>`` for each row; tokens are words between white space, null texts have none."""
+    names = [id_col] if carry is None else list(carry)
+    source = docs.select(F.col(text_col).alias("__classified"), *names)
     held = docs.sparkSession.sparkContext.broadcast(classifier)
+    k = len(classifier.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = ragged.utf8(batch.column(1))
+            data, offsets = ragged.utf8(batch.column(0))
             for a, b in ragged.blocks(offsets):
                 n, p = held.value.posteriors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, max(p.shape[1], 1), dtype=np.int32) if p.shape[1] else np.zeros(b - a + 1, np.int32)), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), lists], names=[id_col, "n_tokens", "p"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * k), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(1, batch.num_columns)), pa.array(n.astype(np.int64)), lists], names=[*names, "n_tokens", "p"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_tokens long, p array<double>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+    return source.mapInArrow(run, f"{fields}, n_tokens long, p array<double>")
 
 
-def _sums(table: DataFrame, k: int, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token totals by domain at the rates of these steps and at the next starting points, and the matrix M."""
+def _sums(table: DataFrame, k: int, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Over all rows, with their rates at x: tokens, expected totals by domain, their curvature, and the part of the objective."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, ahead, square = np.zeros(k), np.zeros(k), np.zeros((k, k))
+        tokens, total, square, half = 0.0, np.zeros(k), np.zeros((k, k)), 0.0
         for batch in batches:
             n = batch.column(0).to_numpy().astype(float)
             p = batch.column(1).flatten().to_numpy().reshape(len(n), k)
-            r, y = rates(p, steps)
+            r = rates(p, x)
+            free = p[r > 0]
+            tokens += n.sum()
             total += (r * n) @ p
-            ahead += (y * n) @ p
-            square += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([[*total, *ahead, *square.ravel()]], pa.list_(pa.float64()))], names=["s"])
+            square += (free * n[r > 0][:, None]).T @ free
+            half += float(n @ r**2) / 2
+        yield pa.RecordBatch.from_arrays([pa.array([[tokens, *total, *square.ravel(), half]], pa.list_(pa.float64()))], names=["s"])
 
     parts = table.select("n_tokens", "p").mapInArrow(run, "s array<double>").select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()
-    found = np.array([r.v for r in parts]) if parts else np.zeros(2 * k + k * k)
-    return found[:k], found[k : 2 * k], found[2 * k :].reshape(k, k)
-
-
-def fit(posterior_table: DataFrame, classifier: Classifier, weights: dict[str, float], relative: bool = False) -> Mix:
+    found = np.array([r.v for r in parts]) if parts else np.zeros(2 + k + k * k)
+    return float(found[0]), found[1 : 1 + k], found[1 + k : -1].reshape(k, k), float(found[-1])
+
+
+def solve(sums, k: int, targets, ridge: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, bool]:
+    """x, targets, totals, the ridge and whether the targets are met. ``sums(x)`` as ``_sums``; ``targets`` of the totals at rates of 1."""
+    x = np.zeros(k)
+    tokens, total, square, half = sums(x)
+    wanted = targets(total)
+    if not tokens:
+        return x, wanted, total, 0.0, True
+    t, now = wanted / tokens, RIDGE
+    best = None
+    while True:
+        for _ in range(STEPS):
+            slope = total / tokens - t + now * x
+            if np.abs(slope).sum() <= TOLERANCE / 100:
+                break
+            value = half / tokens + now * (x @ x) / 2 - t @ x
+            step = np.linalg.solve(square / tokens + now * np.eye(k), slope)
+            ahead = slope @ step
+            for cut in range(30):
+                trial = sums(x - step / 2**cut)
+                y = x - step / 2**cut
+                if trial[3] / tokens + now * (y @ y) / 2 - t @ y <= value - 1e-4 * ahead / 2**cut + 1e-15:
+                    break
+            x, (_, total, square, half) = y, trial
+        else:
+            raise RuntimeError("the fit of the rates did not settle")
+        gap = float(np.abs(total / tokens - t).sum())
+        if best is not None and gap > best[3] / 2:
+            return *best[:3], now * 10, False
+        best = x, wanted, total, gap
+        if gap <= TOLERANCE or now <= ridge * (1 + 1e-9):
+            return x, wanted, total, now, gap <= TOLERANCE
+        now /= 10
+
+
+def fit(posterior_table: DataFrame, classifier: Classifier, weights: dict[str, float], relative: bool = False, ridge: float = 0.0) -> Mix:
     """Fit rates to domain weights; ``relative`` weights are factors on the domains' present token totals.
 
-    Absolute weights are shares (scaled to sum to 1) of the largest total for which no domain must be repeated.
+    Absolute weights are shares (scaled to sum to 1) of the largest total for which no domain must be repeated. The ridge
+    does not fall below ``ridge``.
     """
     k = len(classifier.domains)
-    steps: list[tuple[np.ndarray, float]] = []
     if not k:
-        return Mix(classifier, steps, np.zeros(0), np.zeros(0))
+        return Mix(classifier, np.zeros(0), np.zeros(0), np.zeros(0))
     asked = np.array([weights.get(d, 0.0) for d in classifier.domains], float)
-    now, ahead, square = _sums(posterior_table, k, steps)
-    if relative:
-        targets = now * asked
-    else:
+
+    def targets(now: np.ndarray) -> np.ndarray:
+        if relative:
+            return now * asked
         share = asked / asked.sum()
-        targets = share * min((now[i] / share[i] for i in range(k) if share[i] > 0), default=0.0)
-    inverse = np.linalg.pinv(square + 1e-9 * np.trace(square) * np.eye(k))
-    pace, loss = 1.0, np.inf
-    for _ in range(STEPS):
-        gap = now - targets
-        before, loss = loss, float(gap @ inverse @ gap)
-        if np.abs(gap).sum() <= TOLERANCE * max(now.sum(), targets.sum(), 1.0) or abs(before - loss) <= 1e-9 * loss:
-            break
-        pace = 1.0 if loss > before else pace
-        later = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
-        steps.append((inverse @ (ahead - targets), (pace - 1) / later))
-        pace = later
-        now, ahead, _ = _sums(posterior_table, k, steps)
-    return Mix(classifier, steps, targets, now)
-
-
-def mix(docs: DataFrame, labels: DataFrame, domain, weights: dict[str, float], relative: bool = False, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Mix, DataFrame]:
+        return share * min((now[i] / share[i] for i in range(k) if share[i] > 0), default=0.0)
+
+    return Mix(classifier, *solve(lambda x: _sums(posterior_table, k, x), k, targets, ridge))
+
+
+def mix(docs: DataFrame, labels: DataFrame, domain, weights: dict[str, float], relative: bool = False, seed: int = 0, snap: float = 0.0, ridge: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Mix, DataFrame]:
     """The fitted mix, and ``id, n_tokens, p, rate, copies`` for each row of ``docs``.
 
     Every row gives one row: null and empty texts have no tokens and the posterior of an empty text; rows that repeat an
     id and a text get the same numbers; without labels there is no domain, all rates are 1. Other columns are not read.
     """
     classifier = train(docs, labels, domain, id_col=id_col, text_col=text_col)
-    table = Scratch(docs.sparkSession, "mixing").save(posteriors(docs, classifier, id_col, text_col), "posteriors")
-    fitted = fit(table, classifier, weights, relative)
-    steps, k = fitted.steps, len(classifier.domains)
+    source = docs.select(id_col, F.col(text_col).alias("__text"), _draw(id_col, text_col, seed).alias("__draw"))
+    table = Scratch(docs.sparkSession, "mixing").save(posteriors(source, classifier, id_col, "__text", (id_col, "__draw")), "posteriors")
+    fitted = fit(table, classifier, weights, relative, ridge)
+    rated = table.withColumn("rate", _rate(fitted.x))
+    return fitted, rated.select(id_col, "n_tokens", "p", "rate", copies(F.col("rate"), F.col("__draw"), snap).alias("copies"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, k)
-            r, _ = rates(p, steps)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(r), pa.array(copies(batch.column(0).to_pylist(), r, seed))], names=[id_col, "n_tokens", "p", "rate", "copies"])
 
-    return fitted, table.mapInArrow(run, f"`{id_col}` {table.schema[id_col].dataType.simpleString()}, n_tokens long, p array<double>, rate double, copies long")
+def totals(mixed: DataFrame, fitted: Mix) -> DataFrame:
+    """``domain, target, expected, realised`` token totals of what ``mix`` gave: the last with the whole copies."""
+    k = len(fitted.classifier.domains)
+    part = lambda i, often: F.sum(F.col(often) * F.col("n_tokens") * F.col("p")[i])
+    rows = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(float(fitted.targets[i])).alias("target"), part(i, "rate").alias("expected"), part(i, "copies").alias("realised")) for i, d in enumerate(fitted.classifier.domains)])
+    return mixed.agg(rows.alias("r")).select(F.inline("r")) if k else mixed.sparkSession.createDataFrame([], "domain string, target double, expected double, realised double")
 
 
-def repeat_rows(docs: DataFrame, fitted: Mix, seed: int = 0, snap: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, each as often as its rate says (not at all included)."""
-    held = docs.sparkSession.sparkContext.broadcast(fitted)
-    text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
+def repeat_rows(
+    docs: DataFrame, labels: DataFrame, domain, weights: dict[str, float], relative: bool = False, seed: int = 0, snap: float = 0.0, ridge: float = 0.0, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as often as ``mix`` says (not at all included).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = ragged.utf8(batch.column(text_at))
-            for a, b in ragged.blocks(offsets):
-                _, p = held.value.classifier.posteriors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                part = batch.slice(a, b - a)
-                often = copies(part.column(id_at).to_pylist(), rates(p, held.value.steps)[0], seed, snap)
-                yield part.take(pa.array(np.repeat(np.arange(b - a), often)))
-
-    return docs.mapInArrow(run, docs.schema)
+    The rows are written once with their posteriors, so the texts are classified once.
+    """
+    classifier = train(docs, labels, domain, id_col=id_col, text_col=text_col)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("__text"), _draw(id_col, text_col, seed).alias("__draw"))
+    marked = posteriors(packed.select("row", "__draw", "__text"), classifier, "row", "__text", ("row", "__draw"))
+    table = scratch.save(marked, "posteriors")
+    fitted = fit(table, classifier, weights, relative, ridge)
+    often = copies(_rate(fitted.x), F.col("__draw"), snap).cast("int")
+    kept = table.select("row", often.alias("often")).where("often > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("often")))).select("row.*")
