@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import decontaminate, language_id, queries, sharding, shingle_dedup, source_mixing
+from plotweave.llm import decontaminate, language_id, queries, sharding, simhash_dedup, source_mixing
 from plotweave.llm.common import Scratch, read_table
 
 #: Least share of a text's letters in its main language.
@@ -18,6 +18,8 @@ LEAST_SHARE = 0.5
 MIX = {"good": 1.0, "plain": 1.0, "toxic": 0.0}
 #: Rates this near to a whole number are taken as it: text that is surely not toxic stays exactly once.
 SNAP = 0.25
+#: How much rates keep to 1: with less, text that is a little likely to be toxic would make room for other text.
+RIDGE = 1e-3
 SHARDS = 40
 
 
@@ -28,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    return shingle_dedup.drop_near_duplicates(docs, width=5, least=0.8)
+    return simhash_dedup.drop_near_duplicates(docs, find=simhash_dedup.similar_documents, width=5, least=0.8)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay as often as the rate says that the mix gives them."""
-    fitted, _ = source_mixing.mix(docs, read_table(spark, sf_dir, "labels"), F.expr(queries.DOMAIN), MIX, relative=True)
-    return source_mixing.repeat_rows(docs, fitted, snap=SNAP)
+    labels = read_table(spark, sf_dir, "labels")
+    return source_mixing.repeat_rows(docs, labels, F.expr(queries.DOMAIN), MIX, relative=True, snap=SNAP, ridge=RIDGE)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
