@@ -156,13 +156,15 @@ class Seating:
     def seats(self) -> np.ndarray:
         return self.seat - self.first[self.cell]
 
-    def sweep(self, base: np.ndarray, elsewhere: np.ndarray | None = None, times: float = 1.0) -> None:
-        """Every customer leaves and is seated again. ``base``: each cell's dish in the parent; ``elsewhere``: further
-        tables of each restaurant; ``times``: what its tables here stand for."""
+    def sweep(self, base: np.ndarray, less: np.ndarray | None = None, elsewhere: np.ndarray | None = None, times: float = 1.0) -> None:
+        """Every customer leaves and is seated again. ``base``: probability of each cell's dish in the parent; ``less``: that
+        once one of the cell's tables has gone from there; ``elsewhere``: further tables of each restaurant; ``times``: what its
+        tables here stand for."""
         d, rng, first = self.d, self.rng, self.first
         held = np.bincount(self.house, weights=self.tables(), minlength=self.houses)
         more = np.zeros(self.houses) if elsewhere is None else elsewhere
         home, base = self.house[self.cells], base[self.cells]
+        less = base if less is None else less[self.cells]
         for k in range(SLICES):
             who = self.order[self.bounds[k] : self.bounds[k + 1]]
             if not len(who):
@@ -170,7 +172,8 @@ class Seating:
             cell, seat = self.cell[who], self.seat[who]
             several = bool((cell[1:] == cell[:-1]).any())
             np.subtract.at(self.at_table, seat, 1)
-            gone = seat[self.at_table[seat] == 0]
+            closed = self.at_table[seat] == 0
+            gone = seat[closed]
             if several:
                 gone = np.unique(gone)
             if len(gone):
@@ -180,7 +183,7 @@ class Seating:
                 np.subtract.at(held, home[owner], 1)
             size, tables = self.size[cell], self.size[cell] - self.n_free[cell]
             others = size - (np.bincount(cell, minlength=len(self.size))[cell] if several else 1)
-            new = (STRENGTH + d * (times * held[home[cell]] + more[home[cell]])) * base[cell]
+            new = (STRENGTH + d * (times * held[home[cell]] + more[home[cell]])) * np.where(closed, less[cell], base[cell])
             opens = rng.random(len(who)) * (new + others - d * tables) < new
             opens |= others == 0
             to = np.empty(len(who), np.int64)
@@ -264,6 +267,16 @@ def _base(c: np.ndarray, t: np.ndarray, totals: dict) -> np.ndarray:
     return np.where(c > 0, np.maximum(c - totals["d"] * t, 0) / whole + fresh * (1 - UNSEEN_BASE) / max(totals["types"], 1), fresh * UNSEEN_BASE)
 
 
+def _base_less(c: np.ndarray, t: np.ndarray, totals: dict) -> np.ndarray:
+    """The same once one of their customers has left."""
+    return _base(c - 1, np.minimum(t, c - 1), totals | {"customers": max(totals["customers"] - 1, 0)})
+
+
+def predictive(n: np.ndarray, tables: np.ndarray, house: np.ndarray, held: np.ndarray, customers: np.ndarray, base: np.ndarray, d: float) -> np.ndarray:
+    """Probability of each cell's dish in its restaurant, which has ``held`` tables and ``customers``."""
+    return (np.maximum(n - d * tables, 0) + (STRENGTH + d * held)[house] * base) / (STRENGTH + customers)[house]
+
+
 def _ask(bucket: int, buckets: int, keys: np.ndarray, tables: np.ndarray, kind: str = "tables") -> list:
     """What a bucket tells each shard of the parent of its words; the keys are sorted by shard."""
     place = _places(keys, buckets).astype(np.int64)
@@ -434,12 +447,11 @@ def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
             elsewhere = np.zeros(houses)
             elsewhere[state["hot"]] = c[state["hot_at"]] - mine[state["hot"]]
             customers[state["hot"]] = held.value[1][state["u"][state["hot"]].astype(np.int64)]
-            whole = STRENGTH + customers
             if step > BURN_IN:
-                now = (np.maximum(n - d * tables, 0) + (STRENGTH + d * (mine + elsewhere))[house] * base) / whole[house]
+                now = predictive(n, tables, house, mine + elsewhere, customers, base, d)
                 state["p"] = state.get("p", np.zeros(len(n), np.float32)) + (now / KEPT).astype(np.float32)
             if step < BURN_IN + KEPT:
-                seating.sweep(base, elsewhere)
+                seating.sweep(base, _base_less(c, t, totals)[wi], elsewhere)
                 state["seats"] = seating.seats()
                 yield _batch([(bucket, "state", 0, pack(**state)), *_ask(bucket, buckets, state["key"], _tables_told(state, seating))])
                 return
@@ -449,21 +461,24 @@ def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
             heads = np.cumsum(k) - k
             sums = [np.add.reduceat(x[cell], heads) for x in (log_p, log_c, known)]
             ends = np.cumsum(np.concatenate([[0], seen["docs"].astype(np.int64)]))
-            yield _batch([(bucket, "sums", int(b), pack(doc=seen["doc"][x:y], k=k[x:y], score=sums[0][x:y], base=sums[1][x:y], known=sums[2][x:y])) for b, x, y in zip(seen["base"].tolist(), ends[:-1], ends[1:], strict=True)])
+            yield _batch([(bucket, "sums", int(b), pack(doc=seen["doc"][x:y], k=k[x:y], score=sums[0][x:y].astype(np.float32), base=sums[1][x:y], known=sums[2][x:y])) for b, x, y in zip(seen["base"].tolist(), ends[:-1], ends[1:], strict=True)])
 
         return run
 
     totals = parent("parent-0", table("dealt", "tables"), 0)
+    scratch.drop("dealt/kind=tables")
     last = "dealt"
     for step in range(1, BURN_IN + KEPT + 1):
         told = table(last, "state").unionByName(table(f"parent-{step - 1}", "parent"))
         if step == BURN_IN + KEPT:
             break
         write(f"seated-{step}", told.repartitionById(buckets, "bucket").mapInArrow(visit(step, totals), ROWS))
-        scratch.drop(f"parent-{step - 1}", *([last] if last != "dealt" else []))
+        scratch.drop(f"parent-{step - 1}", f"{last}/kind=state")
         last = f"seated-{step}"
         totals = parent(f"parent-{step}", table(last, "tables"), step)
-    sums = told.unionByName(table("dealt", "seen")).repartitionById(buckets, "bucket").mapInArrow(visit(step, totals), ROWS)
+        scratch.drop(f"{last}/kind=tables")
+    write("scored", told.unionByName(table("dealt", "seen")).repartitionById(buckets, "bucket").mapInArrow(visit(step, totals), ROWS))
+    scratch.drop("dealt/kind=seen", f"{last}/kind=state", f"parent-{step - 1}")
 
     smooth = float(np.log10(tokens + types + 1))
 
@@ -492,7 +507,7 @@ def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
         if block is not None:
             yield done()
 
-    every_row = sums.unionByName(table("dealt", "rows"))
+    every_row = table("scored", "sums").unionByName(table("dealt", "rows"))
     spread = max(1, -(-every // (1 << 20)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields)
     return (
