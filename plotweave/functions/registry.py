@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.functions import similarity
+from plotweave.functions import text as T
 
 # Native expressions as SQL functions, so that a query that names them keeps its generated code.
 NATIVE = {
@@ -15,30 +15,22 @@ NATIVE = {
 }
 
 
+def _names() -> list[str]:
+    slug = "regexp_replace(regexp_replace(normalize_name(t), '[^a-z0-9]+', '-'), '^-+|-+$', '')"
+    return [
+        f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_name(t STRING) RETURNS STRING RETURN {T.normalize_sql('t')}",
+        f"CREATE OR REPLACE TEMPORARY FUNCTION slugify(t STRING) RETURNS STRING RETURN {slug}",
+    ]
+
+
 def register(spark: SparkSession) -> None:
     """Register ``normalize_name``, ``slugify``, ``estimate_tokens``, ``null_if_blank``, ``fuzz_ratio``, ``wratio``,
     ``coverage`` and the table function ``segment_text``."""
-    import re
-    import unicodedata
-
     from plotweave.operators.segment import segment
 
-    for ddl in NATIVE.values():
+    for ddl in (*NATIVE.values(), *_names()):
         spark.sql(ddl)
 
-    def plain(x: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower().strip()
-
-    @F.pandas_udf("string")
-    def normalize_name(t: pd.Series) -> pd.Series:
-        return t.map(plain, na_action="ignore")
-
-    @F.pandas_udf("string")
-    def slugify(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: re.sub("[^a-z0-9]+", "-", plain(x)).strip("-"), na_action="ignore")
-
-    spark.udf.register("normalize_name", normalize_name)
-    spark.udf.register("slugify", slugify)
     for name, function in (("fuzz_ratio", similarity.ratio), ("wratio", similarity.weighted), ("coverage", similarity.coverage)):
         spark.udf.register(name, similarity._pairwise(function, "double"))
 

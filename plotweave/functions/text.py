@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -10,37 +11,59 @@ from pyspark.sql import functions as F
 #: Words per token in the size estimate.
 TOKENS_PER_WORD = 1.35
 
-_RANGES = (range(0x00A0, 0x0250), range(0x1E00, 0x1F00), range(0x2000, 0x2070), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
-
-
 def _plain(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-def _tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Single characters to single characters, and characters that become several, by the rule of NFKD."""
-    marks = "".join(map(chr, range(0x0300, 0x0370)))
-    one = [(chr(c), p) for r in _RANGES for c in r if len(p := _plain(chr(c))) == 1 and p != chr(c)]
-    many = [(chr(c), p) for r in _RANGES for c in r if len(p := _plain(chr(c))) > 1]
-    return "".join(a for a, _ in one) + marks, "".join(b for _, b in one), many
+def _ranges(characters: str) -> str:
+    """The characters as a class of a regular expression."""
+    out, points = [], sorted(map(ord, characters))
+    start = before = points[0]
+    for c in [*points[1:], -1]:
+        if c != before + 1:
+            out.append(f"\\x{{{start:X}}}-\\x{{{before:X}}}")
+            start = c
+        before = c
+    return "[" + "".join(out) + "]"
+
+
+def _tables() -> tuple[str, str, str, list[tuple[str, str, str]]]:
+    """By the rule of NFKD over all of Unicode: characters to one other (or, behind those, to none); the class of characters
+    to several; and for the first, second and further of these the class, the characters and what stands there."""
+    every = (chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    spelled = {c: _plain(c) for c in every if unicodedata.combining(c) or not unicodedata.is_normalized("NFKD", c)}
+    one, none = [c for c, p in spelled.items() if len(p) == 1], [c for c, p in spelled.items() if not p]
+    several, parts = [c for c, p in spelled.items() if len(p) > 1], []
+    while have := [c for c in several if len(spelled[c]) > len(parts)]:
+        parts.append((_ranges("".join(have)), "".join(have), "".join(spelled[c][len(parts)] for c in have)))
+    return "".join([*one, *none]), "".join(spelled[c] for c in one), _ranges("".join(several)), parts
 
 
-_FROM, _TO, _MANY = _tables()
+_FROM, _TO, _SEVERAL, _PARTS = _tables()
 
 
 def strip(text: Column) -> Column:
-    """Without white space (Unicode) at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space (Unicode, and the separators of ASCII) at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def normalize(text: Column) -> Column:
-    """Accents and compatibility forms of Latin script removed, lower-cased, stripped."""
-    out = F.translate(text, _FROM, _TO)
-    pattern = "[" + "".join(a for a, _ in _MANY) + "]"
-    spelled = out
-    for a, b in _MANY:
-        spelled = F.replace(spelled, F.lit(a), F.lit(b))
-    return strip(F.lower(F.when(out.rlike(pattern), spelled).otherwise(out)))
+    """NFKD without combining marks, lower-cased, stripped."""
+    spell = lambda c: F.when(c.rlike(_SEVERAL), F.concat(*[F.when(c.rlike(kind), F.translate(c, a, b)).otherwise("") for kind, a, b in _PARTS])).otherwise(c)
+    spelled = F.array_join(F.transform(F.split(text, ""), spell), "")
+    return strip(F.lower(F.translate(F.when(text.rlike(_SEVERAL), spelled).otherwise(text), _FROM, _TO)))
+
+
+def _quoted(text: str) -> str:
+    return "'" + "".join("\\" + c if c in "'\\" else c for c in text) + "'"
+
+
+def normalize_sql(t: str) -> str:
+    """``normalize`` as SQL text over the expression ``t``."""
+    spell = "concat(" + ", ".join(f"CASE WHEN c RLIKE {_quoted(kind)} THEN translate(c, {_quoted(a)}, {_quoted(b)}) ELSE '' END" for kind, a, b in _PARTS) + ")"
+    spelled = f"array_join(transform(split({t}, ''), c -> CASE WHEN c RLIKE {_quoted(_SEVERAL)} THEN {spell} ELSE c END), '')"
+    edges = _quoted(r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$")
+    return f"regexp_replace(lower(translate(CASE WHEN {t} RLIKE {_quoted(_SEVERAL)} THEN {spelled} ELSE {t} END, {_quoted(_FROM)}, {_quoted(_TO)})), {edges}, '')"
 
 
 def slugify(name: Column) -> Column:

@@ -1,3 +1,4 @@
+import sys
 import unicodedata
 
 import pytest
@@ -57,3 +58,14 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT normalize_name(' Éa ') a, slugify('É b') b, estimate_tokens('x y z') c, null_if_blank(' ') d, fuzz_ratio('ab', 'ac') e, wratio('voss', 'lena voss') f, coverage('voss', 'lena voss') g").first()
     assert (row.a, row.b, row.c, row.d, row.e) == ("ea", "e-b", 4, None, 50.0) and row.f == pytest.approx(90) and row.g == pytest.approx(0.6364, abs=1e-4)
     assert [r.chunk for r in spark.sql("SELECT * FROM segment_text('a b', 10, 0.2D)").collect()] == ["a b"]
+
+
+def test_normalize_over_all_of_unicode(spark):
+    """Characters whose lower case is newer than Python's tables aside."""
+    known = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join(known[i : i + 50]) for i in range(0, len(known), 50)] + ["Андрей Άλφα", "ΑΣ ΟΔΟΣ", "한국어 ㌀", "it's a\\b"]
+    registry.register(spark)
+    table = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    rows = table.select("t", T.normalize(F.col("t")).alias("a"), F.expr("normalize_name(t)").alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(r.a != reference(r.t) for r in rows) <= 6
+    assert {r.t: r.a for r in rows}["Андрей Άλφα"] == "андреи αλφα"

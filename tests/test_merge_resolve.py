@@ -1,6 +1,10 @@
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from plotweave.functions import similarity as S
 from plotweave.operators import merge as M
 from plotweave.operators import resolve as E
 
@@ -72,7 +76,7 @@ def test_growing_registry_policy_groups_relations(spark):
     registry = spark.createDataFrame(REGISTRY, "id STRING, name STRING, aliases ARRAY<STRING>")
     mentions = spark.createDataFrame([(1, "Karl Anders"), (2, "Karl Andres"), (3, "Voss"), (4, "Karl Anders")], "at INT, name STRING")
     out = {r["at"]: (r.status, r.entity_id) for r in E.resolve_in_order(mentions, registry, "at").collect()}
-    assert out == {1: ("new", "karl-anders"), 2: ("resolved", "karl-anders"), 3: ("ambiguous", "lena-voss"), 4: ("new", "karl-anders")}
+    assert out == {1: ("new", "karl-anders"), 2: ("resolved", "karl-anders"), 3: ("ambiguous", "lena-voss"), 4: ("exact", "karl-anders")}
     resolved = spark.createDataFrame([("a", "ambiguous"), ("b", "ambiguous"), ("c", "ambiguous"), ("d", "new")], "name STRING, status STRING")
     answers = spark.createDataFrame([("a", "link"), ("b", "new")], "name STRING, answer STRING")
     found = {r.name: (r.action, r.issue_severity, r.issue_resolved) for r in E.apply_policy(resolved, answers).collect()}
@@ -84,3 +88,60 @@ def test_growing_registry_policy_groups_relations(spark):
     known = spark.createDataFrame([("p", "Works for"), ("p", "hates"), ("q", "lives with")], "pair STRING, relation STRING")
     found = {r.pair: r.band for r in E.relation_duplicates(new, known, ["pair"]).collect()}
     assert found == {"p": "duplicate", "q": "unsure", "r": "distinct"}
+
+
+def brute(name, registry):
+    """The rule for one name, entity by entity."""
+    norm = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower().strip()
+    q, best = norm(name), None
+    for by_alias in (False, True):
+        for i, n, aliases in sorted(registry):
+            if q in ([norm(a) for a in aliases] if by_alias else [norm(n)]):
+                return "exact", i
+    for i, n, aliases in sorted(registry):
+        own = norm(n)
+        if S.first_name_differs(q, own):
+            continue
+        by_alias = [x for x in (S.acceptable(q, norm(a)) for a in aliases) if x is not None and x > S.coverage(q, own)]
+        scores = [x for x in [S.acceptable(q, own), *by_alias] if x is not None]
+        if scores and (best is None or max(scores) > best[0]):
+            best = max(scores), i
+    return ("new", None) if best is None else ("resolved" if best[0] >= S.AUTO else "ambiguous", best[1])
+
+
+def test_resolution_against_the_rule_of_one_name(spark):
+    """Blocks and native filters lose nothing, vetoes are by the entity's own name, aliases must beat it."""
+    rng = random.Random(2)
+    first, last = ["Elias", "Jakes", "Anna", "Jo", "Léna", "Marie-Ann", "X", "Åsa"], ["Milton", "Melton", "Voss", "Vos", "de la Cruz", "O", "Karlsson"]
+    name = lambda: " ".join([rng.choice(first), *([rng.choice(last)] if rng.random() < 0.8 else [])])
+
+    def typo(x):
+        at = rng.randrange(len(x))
+        return rng.choice([x, x[:at] + x[at + 1 :], x[:at] + rng.choice("aeiou") + x[at:], x.upper(), x.split()[-1]]) or "q"
+
+    registry = [(f"e{i:02d}", name(), [typo(name()) for _ in range(rng.randint(0, 2))]) for i in range(25)] + [("jakes", "Jakes Milton", ["Eliass Miltons"])]
+    names = sorted({typo(name()) for _ in range(150)} | {"Elias Milton"})
+    table = spark.createDataFrame(registry, "id STRING, name STRING, aliases ARRAY<STRING>")
+    for blocking in (True, False):
+        out = {r.name: (r.status, None if r.status == "new" else r.entity_id) for r in E.resolve(spark.createDataFrame([(n,) for n in names], "name STRING"), table, blocking).collect()}
+        assert out == {n: brute(n, registry) for n in names}
+
+
+def test_new_names_make_entities_in_order(spark):
+    none = spark.createDataFrame([], "id STRING, name STRING, aliases ARRAY<STRING>")
+    names = ["Karl Karlsson Anders", "Karlsson Andersson", "Karlsson Anderssen", "Karlsson Andersse", "Karlsson Andersson", "Mia"]
+    out = {r["at"]: r for r in E.resolve_in_order(spark.createDataFrame(list(enumerate(names)), "at INT, name STRING"), none, "at").collect()}
+    made = {r.entity_id for r in out.values() if r.status == "new"}
+    assert {r.entity_id for r in out.values()} == made and out[5].status == "new"
+    assert out[4].entity_id == out[1].entity_id
+    answers = spark.createDataFrame([("Voss", "new")], "name STRING, answer STRING")
+    known = spark.createDataFrame([("lena-voss", "Lena Voss", [])], "id STRING, name STRING, aliases ARRAY<STRING>")
+    out = {r["at"]: (r.status, r.entity_id, r.told_apart) for r in E.resolve_in_order(spark.createDataFrame([(1, "Voss"), (2, "Voss"), (3, "Lena Voss")], "at INT, name STRING"), known, "at", answers).collect()}
+    assert out == {1: ("new", "voss", True), 2: ("exact", "voss", False), 3: ("exact", "lena-voss", False)}
+
+
+def test_relation_targets(spark):
+    people = spark.createDataFrame(REGISTRY, "id STRING, name STRING, aliases ARRAY<STRING>")
+    groups = spark.createDataFrame([("guild", "Harbour Guild")], "id STRING, name STRING")
+    told = spark.createDataFrame([(1, "Voss"), (2, "harbour guild"), (3, "Nobody Known"), (4, None)], "n INT, target STRING")
+    assert sorted((r.n, r.target_id, r.kind) for r in E.relation_targets(told, people, groups).collect()) == [(1, "lena-voss", "character"), (2, "guild", "group")]
