@@ -38,6 +38,12 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "participants": _by("participants", "event_id"),
     "chunk_links": _by("next_chunks", "from_id"),
     "vectors": _by("vectors", "id"),
+    "group_presence": _by("group_presence", "group_id"),
+    "event_places": _by("event_locations", "event_id"),
+    "beat_people": _by("beat_characters", "beat_id"),
+    "issue": _by("issues", "id"),
+    "profile": _by("characters", "id"),
+    "relation_types": lambda store, **p: lookups.relation_types(store.read("relations"), p["a"], p["b"]),
     "fragments": _fragments,
     "relations": _relations,
     "present": lambda store, **p: store.read("presence").where(F.col("role") != "mentioned"),
@@ -107,3 +113,15 @@ def runs_by_case(history: DataFrame) -> DataFrame:
 def tail(history: DataFrame, n: int) -> DataFrame:
     """The last ``n`` runs."""
     return history.orderBy(F.desc("ts"), "suite", "model").limit(n)
+
+
+def durations(history: DataFrame) -> DataFrame:
+    """Per model, suite and case: how often its time is known, its mean and its longest time."""
+    timed = history.select("model", "suite", F.explode("case_durations").alias("case_name", "seconds")).where("seconds IS NOT NULL")
+    return timed.groupBy("model", "suite", "case_name").agg(F.count("*").alias("runs"), F.avg("seconds").alias("mean_s"), F.max("seconds").alias("longest_s"))
+
+
+def pass_lists(history: DataFrame) -> DataFrame:
+    """Each run with the sorted names of its cases that passed and that failed."""
+    names = lambda want: F.array_sort(F.map_keys(F.map_filter("cases", lambda _, v: v == F.lit(want))))
+    return history.select("ts", "suite", "model", names(True).alias("passed_cases"), names(False).alias("failed_cases"))

@@ -65,7 +65,7 @@ def character_details(wanted_characters: DataFrame, everyone: DataFrame, relatio
     """The wanted characters with ``relations``, ``fragments`` and ``groups`` as sorted arrays, each gathered before it is joined."""
     wanted = wanted_characters.select("id")
     rel = relations_of(relations, everyone).join(wanted, "id", "left_semi").groupBy("id").agg(collect_sorted("relation_type", "other_name").alias("relations"))
-    frag = presence.join(scenes.select("scene_id", "title"), "scene_id").join(wanted, F.col("character_id") == F.col("id"), "left_semi")
+    frag = presence.join(wanted, F.col("character_id") == F.col("id"), "left_semi").join(scenes.select("scene_id", "title"), "scene_id")
     frag = frag.groupBy(F.col("character_id").alias("id")).agg(collect_sorted("scene_id", "title", "role").alias("fragments"))
     grp = members.join(groups.select(F.col("id").alias("group_id"), F.col("name").alias("group_name")), "group_id").groupBy(F.col("character_id").alias("id")).agg(F.sort_array(F.collect_list("group_name")).alias("groups"))
     return wanted_characters.join(rel, "id", "left").join(frag, "id", "left").join(grp, "id", "left")
@@ -85,3 +85,46 @@ def issues_with_scene(issues: DataFrame, scenes: DataFrame, kind: str | None = N
 def not_yet_members(candidates: DataFrame, members: DataFrame, group_id) -> DataFrame:
     """Characters that are not members of the group."""
     return candidates.join(members.where(F.col("group_id") == F.lit(group_id)).select(F.col("character_id").alias("id")), "id", "left_anti")
+
+
+def scene_summaries(scenes: DataFrame, locations: DataFrame, presence: DataFrame, characters: DataFrame, group_presence: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every scene's record: its columns, the name of its place, and ``characters`` and ``groups`` as sorted arrays of (name, role)."""
+
+    def cast(edges: DataFrame, nodes: DataFrame, key: str, name: str) -> DataFrame:
+        named = edges.join(nodes.select(F.col("id").alias(key), "name"), key)
+        return named.groupBy("scene_id").agg(collect_sorted("name", "role").alias(name))
+
+    placed = scenes.join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id", "left")
+    out = placed.join(cast(presence, characters, "character_id", "characters"), "scene_id", "left").join(cast(group_presence, groups, "group_id", "groups"), "scene_id", "left")
+    none = F.array().cast("array<struct<name:string,role:string>>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("characters", "groups")})
+
+
+def ids_by_name(nodes: DataFrame, name: str, but=None) -> DataFrame:
+    """Ids of the nodes of that name (case ignored), without one id."""
+    found = nodes.where(F.lower("name") == F.lower(F.lit(name))).select("id")
+    return found if but is None else found.where(F.col("id") != F.lit(but))
+
+
+def paths_without(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+    """Edges (src, dst, type) neither end of which has the label; ``nodes``: id, label."""
+    hidden = nodes.where(F.col("label") == label).select("id")
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(hidden.select(F.col("id").alias(end)), end, "left_anti")
+    return out.select("src", "dst", "type")
+
+
+def found_or_names(found: DataFrame, known: DataFrame, what: str, asked: str, text: str = "text", at_most: int = 50) -> DataFrame:
+    """One row ``text``: the blocks of what was found, or that nothing was, with the first names that there are."""
+    blocks = found.agg(F.array_join(F.sort_array(F.collect_list(text)), "\n\n").alias("text"), F.count("*").alias("n"))
+    names = known.select("name").distinct().orderBy("name").limit(at_most).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
+    missing = F.concat(F.lit(f'No {what} matches "{asked}". There are: '), F.when(F.col("names") == "", "none").otherwise(F.col("names")), F.lit("."))
+    return blocks.join(names).select(F.when(F.col("n") > 0, F.col("text")).otherwise(missing).alias("text"))
+
+
+def outcome(existing: DataFrame, wanted: DataFrame, key: str, must_exist: bool) -> DataFrame:
+    """``key, status`` of requests for an entity: 200, or 404 where it must exist and does not, 409 where it must not and does."""
+    there = existing.select(F.col(key).alias("__k"), F.lit(True).alias("__there")).distinct()
+    held = F.coalesce("__there", F.lit(False))
+    return wanted.join(there, F.col(key) == F.col("__k"), "left").select(key, F.when(held, 200 if must_exist else 409).otherwise(404 if must_exist else 201).alias("status"))

@@ -23,8 +23,9 @@ RULES = {
 
 
 def last_by_key(updates: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row per key: the one with the highest ``order``."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last()))
+    """One row per key: the one with the highest ``order``, and of several the one whose other columns come last."""
+    rest = [F.col(c).desc_nulls_last() for c, kind in updates.dtypes if c != order and not kind.startswith("map")]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last(), *rest))
     return updates.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
@@ -81,6 +82,12 @@ def delete_where(existing: DataFrame, keys: DataFrame, on: list[str]) -> DataFra
     return existing.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def delete_counted(existing: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The keys to delete, once each, and whether the table had (and so loses) a row of it."""
+    there = existing.select(*on).distinct().withColumn("__there", F.lit(True))
+    return keys.select(*on).distinct().join(there, on, "left").select(*on, F.coalesce("__there", F.lit(False)).alias("deleted"))
+
+
 def delete_scenes(tables: dict[str, DataFrame], ids: DataFrame, references: dict[str, str]) -> dict[str, DataFrame]:
     """All tables without the rows that refer to these scenes; ``references``: table to its scene column."""
     return {n: t.join(ids.select(F.col("id").alias("__id")).distinct(), t[references[n]] == F.col("__id"), "left_anti") if n in references else t for n, t in tables.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,16 +39,69 @@ def nearest(table: DataFrame, query: list[float], k: int, where: Column | None =
     return scored.orderBy("distance", id_col).limit(k)
 
 
+#: Bytes of query vectors that are broadcast; more of them meet the rows in several blocks.
+QUERY_BYTES = 1 << 25
+
+
 def nearest_each(table: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """``query_id, id, distance, rank`` for every query (columns query_id, query), ties by id.
 
-    The stated queries meet all rows: the queries are the small side, and the ranks are cut to ``k`` before the shuffle's
-    result is sorted.
+    The stated queries meet all rows: a block of queries of at most ``QUERY_BYTES`` is broadcast, a matrix product per Arrow
+    batch gives the distances, and each task keeps k rows for each query, so only those are shuffled. Rows whose vector is
+    null or of another length than the query are no neighbours.
     """
-    pairs = table.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).join(queries.select("query_id", "query"))
-    scored = pairs.select("query_id", "id", vectors.squared_distance(F.col("v"), F.col("query")).alias("distance"))
+    spark = table.sparkSession
+    source = table.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    id_type = source.schema["id"].dataType.simpleString()
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("q")).where("q IS NOT NULL")
+    query_type = asked.schema["query_id"].dataType.simpleString()
+    size = asked.agg(F.coalesce(F.sum(F.size("q").cast("long") * 8), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // QUERY_BYTES))
+    out = None
+    for n in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas()
+        by_size = {w: (list(g["query_id"]), np.stack([np.asarray(x, float) for x in g["q"]])) for w, g in rows.groupby(rows["q"].map(len))} if len(rows) else {}
+        held = spark.sparkContext.broadcast(by_size)
+
+        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for frame in frames:
+                sizes = frame["v"].map(len).to_numpy()
+                for width, (ids, matrix) in held.value.items():
+                    some = frame[sizes == width]
+                    if not len(some):
+                        continue
+                    v = np.stack(some["v"].to_numpy()).astype(float)
+                    near = (matrix**2).sum(axis=1)[:, None] - 2 * matrix @ v.T + (v**2).sum(axis=1)[None, :]
+                    mine = some["id"].to_numpy()
+                    for q in range(len(ids)):
+                        # of those near the k-th by the product, which is not exact, the exact distance decides
+                        cut = np.partition(near[q], k - 1)[k - 1] if len(mine) > k else np.inf
+                        few = np.flatnonzero(near[q] <= cut + 1e-6 * (1 + abs(cut)))
+                        d, i = np.square(v[few] - matrix[q]).sum(axis=1), mine[few]
+                        old = best.get((width, q))
+                        if old is not None:
+                            d, i = np.concatenate([old[0], d]), np.concatenate([old[1], i])
+                        order = np.lexsort((i, d))[:k]
+                        best[width, q] = d[order], i[order]
+            found = [(held.value[w][0][q], i, d) for (w, q), (ds, ids) in best.items() for d, i in zip(ds.tolist(), ids.tolist(), strict=True)]
+            yield pd.DataFrame(found, columns=["query_id", "id", "distance"])
+
+        part = source.mapInPandas(run, f"query_id {query_type}, id {id_type}, distance double")
+        out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def related_by_names(table: DataFrame, names: list[str], place: str | None, own_id, k: int = 10, embedder: Embedder = hash_embed) -> DataFrame:
+    """The scenes related to one by the names of its people and its place: their words are the query."""
+    query = " ".join([*names, *([place] if place else [])])
+    return related(table, [float(x) for x in np.asarray(embedder([query]))[0]], own_id, k)
+
+
+def with_summaries(hits: DataFrame, summaries: DataFrame, id_col: str = "id", scene_col: str = "scene_id") -> DataFrame:
+    """Hits joined with the summaries of their scenes, nearest first; a hit without a scene goes."""
+    return hits.select(F.col(id_col).alias(scene_col), "distance").join(summaries, scene_col).orderBy("distance", scene_col)
 
 
 def related(table: DataFrame, query: list[float], own_id, k: int = 10, id_col: str = "id", vector: str = "embedding") -> DataFrame:

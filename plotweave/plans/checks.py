@@ -58,8 +58,8 @@ PLANS = {
     "bilocalization_scene": (bilocalization_scene, SQL + PAIRS + "SELECT * FROM pairs WHERE scene_1 = 22 OR scene_2 = 22"),
     "bilocalization_issues": (bilocalization_issues, SQL + PAIRS + """
 SELECT 'biloc-' || character_id || '-' || scene_1 || '-' || scene_2 AS id, 'bilocalization' AS type, 'error' AS severity, scene_2 AS scene_id, character_id AS entity_id,
-  c.name || ' is present in both "' || s1.title || '" (' || l1.name || ') and "' || s2.title || '" (' || l2.name || ') on the same date.' AS description,
-  'Check the dates of both scenes or the character''s role (a "mentioned" character can appear in multiple locations).' AS suggestion
+  c.name || ' takes part in two scenes of one date: "' || s1.title || '" at ' || l1.name || ', "' || s2.title || '" at ' || l2.name || '.' AS description,
+  'One of the dates may be wrong, or the role: whoever is only mentioned need not be there.' AS suggestion
 FROM pairs JOIN characters c ON c.id = character_id JOIN scenes s1 ON s1.scene_id = scene_1 JOIN scenes s2 ON s2.scene_id = scene_2
 JOIN locations l1 ON l1.id = location_1 JOIN locations l2 ON l2.id = location_2"""),
     "timeline_context": (timeline_context, SQL + """

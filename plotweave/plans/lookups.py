@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from plotweave.operators import lookups as L
 from plotweave.operators import render
+from plotweave.operators import search as N
 from plotweave.plans.story import SQL, Story
+from plotweave.sources import files as S
 
 
 def _story(f):
@@ -51,6 +53,38 @@ SELECT w.id, w.name, w.era, coalesce(relations, '') AS relations, coalesce(fragm
 FROM wanted w LEFT JOIN rel USING (id) LEFT JOIN frag USING (id) LEFT JOIN grp USING (id)
 """
 
+def _flat_summaries(s: Story):
+    groups = s.table("lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 5).cast("int").alias("group_id"), F.col("l_orderkey").alias("scene_id"), F.col("l_linestatus").alias("role"))
+    found = L.scene_summaries(s.scenes(), s.locations(), s.presence(), s.characters(), groups, s.groups())
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit(":"), x["role"])), ", ").alias(c)
+    return found.select("scene_id", "title", "date", "status", "location", flat("characters"), flat("groups"))
+
+
+def _open_paths(s: Story):
+    """Characters and places with their scenes, and scenes with issues, as one graph; issues are hidden."""
+    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = s.presence().where("role = 'R'").select(node("c", "character_id").alias("src"), node("s", "scene_id").alias("dst"), F.lit("present").alias("type"))
+    edges = edges.unionByName(s.scenes().select(node("l", "location_id").alias("src"), node("s", "scene_id").alias("dst"), F.lit("place").alias("type")))
+    edges = edges.unionByName(s.issues().where("scene_id IS NOT NULL").select(node("s", "scene_id").alias("src"), node("i", "issue_id").alias("dst"), F.lit("issue").alias("type")))
+    nodes = s.issues().select(node("i", "issue_id").alias("id"), F.lit("Issue").alias("label")).unionByName(s.characters().select(node("c", "id").alias("id"), F.lit("Character").alias("label")))
+    return L.paths_without(edges, nodes, "Issue")
+
+
+def _place_text(s: Story, asked: str):
+    places = s.locations().withColumns({"description": F.lit(""), "address": F.lit(None).cast("string")})
+    return L.found_or_names(places.where(L.name_matches(asked, aliases=None)).select(render.location_block().alias("text")), s.locations(), "location", asked)
+
+
+DETAILS_TEXT = SQL + """
+, wanted AS (SELECT * FROM characters WHERE contains(lower(name), 's-1') OR list_bool_or(list_transform(aliases, lambda a: contains(lower(a), 's-1')))),
+both_ AS (SELECT id_a AS id, id_b AS other, relation_type FROM relations UNION ALL SELECT id_b, id_a, relation_type FROM relations),
+rel AS (SELECT b.id, string_agg('  ' || relation_type || ' - ' || c.name, chr(10) ORDER BY relation_type, c.name) AS t FROM both_ b JOIN characters c ON c.id = other GROUP BY b.id),
+frag AS (SELECT character_id AS id, string_agg('  [' || scene_id || '] ' || title || ' (' || role || ')', chr(10) ORDER BY scene_id, title, role) AS t FROM presence JOIN scenes USING (scene_id) GROUP BY character_id),
+grp AS (SELECT character_id AS id, string_agg(g.name, ', ' ORDER BY g.name) AS t FROM members JOIN groups g ON g.id = group_id GROUP BY character_id)
+SELECT w.id, concat_ws(chr(10), 'Name: ' || w.name, 'Aliases: ' || array_to_string(w.aliases, ', '), 'Era: ' || w.era, 'Groups: ' || grp.t, 'Relations:' || chr(10) || rel.t, 'Scenes:' || chr(10) || frag.t) AS text
+FROM wanted w LEFT JOIN rel USING (id) LEFT JOIN frag USING (id) LEFT JOIN grp USING (id)
+"""
+
 PLANS = {
     # B, H: scans and orders
     "character_list": (_story(lambda s: L.in_order(s.characters().select("id", "name", "era"), "era", "name")), SQL + "SELECT id, name, era FROM characters"),
@@ -85,12 +119,44 @@ PLANS = {
         TIMELINE + "SELECT event_id, '  [' || date || '] ' || title || CASE WHEN location <> '' THEN ' @ ' || location ELSE '' END || CASE WHEN characters <> '' THEN chr(10) || '    Characters: ' || characters ELSE '' END AS line FROM rows_ WHERE era = 'signup'",
     ),
     "character_details": (_story(_flat_details), DETAILS),
-    "character_profile_text": (_story(lambda s: _details(s).select("id", render.character_block().alias("text"))), None),
+    "character_profile_text": (
+        _story(lambda s: (d := _details(s)).select("id", render.character_block(d.columns).alias("text"))),
+        DETAILS_TEXT,
+    ),
     "location_text": (
         _story(lambda s: s.locations().select("id", "name", "era", F.lit("").alias("description"), F.lit(None).cast("string").alias("address")).select("id", render.location_block().alias("text"))),
         SQL + "SELECT id, 'Name: ' || name || chr(10) || 'Era: ' || era AS text FROM locations",
     ),
-    "scene_summaries": (_story(lambda s: s.scenes().where("scene_id < 500").join(s.locations().select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id", "left").select("scene_id", "title", "location")), SQL + "SELECT scene_id, title, name AS location FROM scenes LEFT JOIN locations ON id = location_id WHERE scene_id < 500"),
+    "scene_summaries": (
+        _story(_flat_summaries),
+        SQL + """
+, gp AS (SELECT l_orderkey AS scene_id, l_suppkey % 5 AS group_id, l_linestatus AS role FROM lineitem WHERE l_linenumber = 1),
+c AS (SELECT scene_id, string_agg(name || ':' || role, ', ' ORDER BY name, role) AS characters FROM presence JOIN characters ON id = character_id GROUP BY scene_id),
+g AS (SELECT scene_id, string_agg(name || ':' || role, ', ' ORDER BY name, role) AS groups FROM gp JOIN groups ON id = group_id GROUP BY scene_id)
+SELECT scene_id, title, date, status, l.name AS location, coalesce(characters, '') AS characters, coalesce(groups, '') AS groups
+FROM scenes LEFT JOIN locations l ON l.id = location_id LEFT JOIN c USING (scene_id) LEFT JOIN g USING (scene_id)""",
+    ),
+    "hits_with_summaries": (
+        _story(lambda s: N.with_summaries(N.nearest(s.table("embeddings").select(F.col("vec_id").alias("id"), "embedding"), [0.1] * 64, 5), s.scenes().select("scene_id", "title", "date")).select("scene_id", "title", "date", F.round("distance", 6).alias("distance"))),
+        SQL + ", d AS (SELECT vec_id, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x - CAST(0.1 AS DOUBLE)) * (x - CAST(0.1 AS DOUBLE)))) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 5) SELECT scene_id, title, date, round(distance, 6) AS distance FROM d JOIN scenes ON scene_id = vec_id",
+    ),
+    "paths_without_issues": (
+        _story(_open_paths),
+        SQL + "SELECT 'c' || character_id AS src, 's' || scene_id AS dst, 'present' AS type FROM presence WHERE role = 'R' UNION ALL SELECT 'l' || location_id, 's' || scene_id, 'place' FROM scenes",
+    ),
+    "id_by_name": (_story(lambda s: L.ids_by_name(s.characters(), "supplier#000000007").unionByName(L.ids_by_name(s.characters(), "SUPPLIER#000000008", but=8))), SQL + "SELECT id FROM characters WHERE lower(name) = 'supplier#000000007'"),
+    "location_or_names": (
+        _story(lambda s: _place_text(s, "nation_7").unionByName(_place_text(s, "atlantis"))),
+        SQL + "SELECT 'Name: ' || name || chr(10) || 'Era: ' || era AS text FROM locations WHERE contains(lower(name), 'nation_7') UNION ALL SELECT 'No location matches \"atlantis\". There are: ' || string_agg(name, ', ' ORDER BY name) || '.' FROM (SELECT DISTINCT name FROM locations ORDER BY name LIMIT 50)",
+    ),
+    "timeline_found": (
+        _story(lambda s: render.timeline_text(_timeline(s, era="signup", date_from="2024-01-05", date_to="2024-01-06"), {"era": "signup"}).unionByName(render.timeline_text(_timeline(s, era="none"), {"era": "none", "location": None}))),
+        TIMELINE + ", t AS (SELECT date, event_id, '  [' || date || '] ' || title || CASE WHEN location <> '' THEN ' @ ' || location ELSE '' END || CASE WHEN characters <> '' THEN chr(10) || '    Characters: ' || characters ELSE '' END AS line FROM rows_ WHERE era = 'signup' AND date BETWEEN '2024-01-05' AND '2024-01-06') SELECT CASE WHEN count(*) > 0 THEN count(*) || ' found' || chr(10) || string_agg(line, chr(10) ORDER BY date, event_id, line) ELSE 'No events. Filters: era=signup.' END AS text FROM t UNION ALL SELECT 'No events. Filters: era=none.'",
+    ),
+    "request_outcomes": (
+        _story(lambda s: L.outcome(s.characters(), s.table("customer").select(F.col("c_custkey").alias("id")), "id", True).withColumn("kind", F.lit("get")).unionByName(L.outcome(s.characters(), s.table("customer").select(F.col("c_custkey").alias("id")), "id", False).withColumn("kind", F.lit("post")))),
+        SQL + "SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT id FROM characters) THEN 200 ELSE 404 END AS status, 'get' AS kind FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_custkey IN (SELECT id FROM characters) THEN 409 ELSE 201 END, 'post' FROM customer",
+    ),
     "issues_filtered": (
         _story(lambda s: L.issues_with_scene(s.issues(), s.scenes(), kind="missing_info", resolved=False)),
         SQL + "SELECT i.*, title FROM issues i LEFT JOIN scenes USING (scene_id) WHERE type = 'missing_info' AND NOT coalesce(resolved, false)",
@@ -129,4 +195,12 @@ PLANS = {
         _story(lambda s: s.characters().agg(F.lit("characters").alias("name"), F.count("*").alias("n")).unionByName(s.relations().agg(F.lit("relations").alias("name"), F.count("*").alias("n"))).unionByName(s.issues().agg(F.lit("issues").alias("name"), F.count("*").alias("n")))),
         SQL + "SELECT 'characters' AS name, count(*) AS n FROM characters UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'issues', count(*) FROM issues",
     ),
+    "export_rows": (
+        _story(lambda s: s.groups().select(F.lit("groups").alias("name"), F.to_json(F.struct("id", "name"), {"ignoreNullFields": "false"}).alias("json")).unionByName(s.characters().select(F.lit("characters").alias("name"), F.to_json(F.struct("id", "name", "era"), {"ignoreNullFields": "false"}).alias("json")))),
+        SQL + "SELECT 'groups' AS name, CAST(json_object('id', id, 'name', name) AS VARCHAR) AS json FROM groups UNION ALL SELECT 'characters', CAST(json_object('id', id, 'name', name, 'era', era) AS VARCHAR) FROM characters",
+    ),
+    "sse_rendered": (
+        _story(lambda s: S.to_sse(s.table("events").select("event_id", F.col("event_type").alias("event"), F.when(F.col("user_id") % 4 != 0, F.col("user_id")).alias("user_id"))).select("event_id", F.col("sse").alias("message"))),
+        "SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {\"event_id\":' || event_id || CASE WHEN user_id % 4 <> 0 THEN ',\"user_id\":' || user_id ELSE '' END || '}' || chr(10) || chr(10) AS message FROM events",
+    ),
 }

@@ -87,8 +87,8 @@ PLANS = {
         "WITH e AS (SELECT DISTINCT l_orderkey AS scene_id, l_suppkey AS c, l_returnflag AS role FROM lineitem WHERE l_returnflag <> 'N'), f AS (SELECT l_orderkey AS scene_id, l_suppkey AS c, min(l_returnflag) AS got FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY ALL) SELECT scene_id, count(*) AS total, count(*) FILTER (got = role) AS correct, count(*) FILTER (got IS NULL) AS missing, count(*) FILTER (got <> role) AS wrong, round(count(*) FILTER (got = role) / count(*)::DOUBLE, 6) AS accuracy FROM e LEFT JOIN f USING (scene_id, c) GROUP BY scene_id",
     ),
     "run_history_summary": (
-        _story(lambda s: R.run_summary(_cases(s), ["suite", "ts"], "passed").select("suite", "ts", "passed", "total", "band")),
-        CASES + " SELECT suite, ts, count(*) FILTER (passed) AS passed, count(*) AS total, CASE WHEN count(*) FILTER (passed) / count(*)::DOUBLE >= 0.8 THEN 'green' WHEN count(*) FILTER (passed) / count(*)::DOUBLE >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM cases GROUP BY suite, ts",
+        _story(lambda s: R.run_summary(_cases(s), ["suite", "ts"], "passed").select("suite", "ts", "passed", "total", "percent", "band")),
+        CASES + " SELECT suite, ts, count(*) FILTER (passed) AS passed, count(*) AS total, round_even(count(*) FILTER (passed) / count(*)::DOUBLE * 100, 1) AS percent, CASE WHEN count(*) FILTER (passed) / count(*)::DOUBLE >= 0.8 THEN 'green' WHEN count(*) FILTER (passed) / count(*)::DOUBLE >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM cases GROUP BY suite, ts",
     ),
     "runs_by_case": (
         _story(lambda s: V.runs_by_case(_history(s))),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plotweave.functions import text as T
@@ -21,13 +22,13 @@ def _vectors(s):
 
 
 PLANS = {
-    "normalize_name": (_story(lambda s: s.table("documents").select("doc_id", T.normalize(F.substring("text", 1, 200)).alias("norm"))), "SELECT doc_id, trim(lower(strip_accents(text[1:200])), ' ' || chr(10)) AS norm FROM documents"),
+    "normalize_name": (_story(lambda s: s.table("documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))), "SELECT doc_id, trim(lower(strip_accents(text)), ' ' || chr(9) || chr(10) || chr(13)) AS norm FROM documents"),
     "slugify": (_story(lambda s: s.table("part").select("p_partkey", T.slugify(F.concat(F.lit("Él "), "p_name", F.lit("! "), "p_brand")).alias("slug"))), "SELECT p_partkey, trim(regexp_replace(lower('el ' || p_name || '! ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part"),
     "estimate_tokens": (_story(lambda s: _docs(s).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))), f"SELECT doc_id, CAST(floor(len({WORDS}) * CAST(1.35 AS DOUBLE)) AS INTEGER) AS tokens FROM documents"),
     "null_if_blank": (_story(lambda s: s.table("customer").select("c_custkey", T.null_if_blank(F.when(F.col("c_custkey") % 3 == 0, " \t").otherwise(F.col("c_name"))).alias("v"))), "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS v FROM customer"),
     "era_to_date": (_story(lambda s: s.characters().select("id", T.era_to_date(F.col("era")).alias("date"))), SQL + "SELECT id, CASE WHEN era IS NULL THEN 'unknown' ELSE era[1:4] || '-01-01' END AS date FROM characters"),
     "excerpt": (_story(lambda s: s.chunks().select("id", T.excerpt(F.col("text"), F.lit("the and")).alias("line"))), SQL + ", f AS (SELECT id, list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'the and'))[1] AS l FROM chunks) SELECT id, CASE WHEN length(trim(l)) > 120 THEN trim(l)[1:120] || '…' ELSE trim(l) END AS line FROM f"),
-    "scene_ids": (_story(lambda s: s.chunks().select("stem", "idx", T.scene_id(F.col("stem").cast("string"), F.col("idx"), F.col("idx") + 1).alias("scene_id"))), SQL + "SELECT stem, idx, CASE WHEN idx = 0 THEN 'scene-' || stem ELSE 'scene-' || stem || '-chunk-' || lpad(CAST(idx AS VARCHAR), 2, '0') END AS scene_id FROM chunks"),
+    "scene_ids": (_story(lambda s: s.chunks().select("stem", "idx", T.scene_id(F.col("stem").cast("string"), F.col("idx"), F.count("*").over(Window.partitionBy("stem"))).alias("scene_id"))), SQL + "SELECT stem, idx, CASE WHEN count(*) OVER (PARTITION BY stem) = 1 THEN 'scene-' || stem ELSE 'scene-' || stem || '-chunk-' || lpad(CAST(idx AS VARCHAR), 2, '0') END AS scene_id FROM chunks"),
     "segment_blocks": (_story(_lines), f"SELECT doc_id AS id, CAST(generate_subscripts(b, 1) - 1 AS INTEGER) AS pos, unnest(b) AS block FROM (SELECT doc_id, {BLOCKS} AS b FROM documents)"),
     "adjacent_cosine": (
         _story(lambda s: S.adjacent_similarity(_vectors(s), "label", "vec_id", "embedding").select("vec_id", F.round("similarity", 6).alias("similarity"))),

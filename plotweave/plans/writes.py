@@ -41,6 +41,15 @@ def _upsert(*columns: str, **rules: str):
     return _story(lambda s: M.upsert(_old(s).select("id", *columns), _new(s).select("id", *columns), ["id"], rules))
 
 
+def _cascade(s: Story):
+    """All tables that refer to a scene, without those scenes, as one list of keys."""
+    tables = {"scenes": s.scenes(), "presence": s.presence(), "issues": s.issues(), "beats": s.beats()}
+    left = M.delete_scenes(tables, s.scenes().where("status = 'O'").select(F.col("scene_id").alias("id")), dict.fromkeys(tables, "scene_id"))
+    key = {"scenes": ["scene_id"], "presence": ["character_id", "scene_id", "role"], "issues": ["issue_id"], "beats": ["beat_id"]}
+    lists = [left[t].select(F.lit(t).alias("name"), F.concat_ws("/", *[F.col(c).cast("string") for c in key[t]]).alias("row_key")) for t in tables]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3])
+
+
 PLANS = {
     "upsert_insert_if_absent": (_upsert("name", "era", name="keep", era="keep"), BATCH + "SELECT id, CASE WHEN in_old THEN oname ELSE nname END AS name, CASE WHEN in_old THEN oera ELSE nera END AS era FROM both_"),
     "upsert_fill_nulls": (_upsert("era", "background", era="fill", background="fill"), BATCH + "SELECT id, coalesce(oera, nera) AS era, coalesce(obg, nbg) AS background FROM both_"),
@@ -62,8 +71,8 @@ PLANS = {
         BATCH + "SELECT id, CASE WHEN in_new AND id % 6 = 0 THEN nera ELSE oera END AS era, CASE WHEN in_new AND id % 6 <> 0 THEN nbg ELSE obg END AS background FROM both_ WHERE in_old",
     ),
     "edge_upsert_dedupe": (
-        _story(lambda s: M.last_by_key(s.table("lineitem").select(F.col("l_suppkey").alias("character_id"), F.col("l_orderkey").alias("scene_id"), F.col("l_returnflag").alias("role"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("seq")), ["character_id", "scene_id"], "seq").select("character_id", "scene_id", "seq")),
-        "SELECT l_suppkey AS character_id, l_orderkey AS scene_id, max(l_linenumber * 1000000 + l_partkey) AS seq FROM lineitem GROUP BY ALL",
+        _story(lambda s: M.last_by_key(s.table("lineitem").select(F.col("l_suppkey").alias("character_id"), F.col("l_orderkey").alias("scene_id"), F.col("l_returnflag").alias("role"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("seq")), ["character_id", "scene_id"], "seq").select("character_id", "scene_id", "role", "seq")),
+        "SELECT l_suppkey AS character_id, l_orderkey AS scene_id, l_returnflag AS role, l_linenumber * 1000000 + l_partkey AS seq FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey DESC, l_returnflag DESC) = 1",
     ),
     "relation_upsert": (
         _story(lambda s: M.upsert(s.relations(), M.undirected_key(s.relations().where("id_a % 2 = 0").select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), F.lit("knows").alias("relation_type")).distinct(), "id_a", "id_b"), ["id_a", "id_b", "relation_type"], {})),
@@ -78,8 +87,21 @@ PLANS = {
         SQL + "SELECT issue_id, scene_id, type FROM issues WHERE scene_id IS NULL OR scene_id NOT IN (SELECT scene_id FROM scenes WHERE status = 'F')",
     ),
     "delete_scenes_cascade": (
-        _story(lambda s: M.delete_scenes({"presence": s.presence()}, s.scenes().where("status = 'O'").select(F.col("scene_id").alias("id")), {"presence": "scene_id"})["presence"].groupBy("role").agg(F.count("*").alias("n"))),
-        SQL + "SELECT role, count(*) AS n FROM presence WHERE scene_id NOT IN (SELECT scene_id FROM scenes WHERE status = 'O') GROUP BY role",
+        _story(_cascade),
+        SQL + """
+, gone AS (SELECT scene_id FROM scenes WHERE status = 'O')
+SELECT 'presence' AS name, CAST(character_id AS VARCHAR) || '/' || scene_id || '/' || role AS row_key FROM presence WHERE scene_id NOT IN (SELECT scene_id FROM gone)
+UNION ALL SELECT 'issues', CAST(issue_id AS VARCHAR) FROM issues WHERE scene_id IS NULL OR scene_id NOT IN (SELECT scene_id FROM gone)
+UNION ALL SELECT 'scenes', CAST(scene_id AS VARCHAR) FROM scenes WHERE status <> 'O'
+UNION ALL SELECT 'beats', beat_id FROM beats WHERE scene_id NOT IN (SELECT scene_id FROM gone)""",
+    ),
+    "relations_deleted": (
+        _story(lambda s: M.delete_counted(s.relations(), s.relations().where("id_a % 3 = 0").select("id_a", "id_b", "relation_type").unionByName(s.relations().select(F.lit(-1).cast("long").alias("id_a"), "id_b", "relation_type")), ["id_a", "id_b", "relation_type"])),
+        SQL + "SELECT id_a, id_b, relation_type, id_a % 3 = 0 AS deleted FROM (SELECT id_a, id_b, relation_type FROM relations WHERE id_a % 3 = 0 UNION SELECT -1, id_b, relation_type FROM relations)",
+    ),
+    "member_upsert": (
+        _story(lambda s: M.upsert(s.members(), M.with_endpoints(s.characters().select(F.col("id").alias("character_id"), (F.col("id") % 9).cast("int").alias("group_id")), ("group_id", s.groups(), "id")), ["character_id", "group_id"], {})),
+        SQL + "SELECT character_id, group_id FROM members UNION SELECT id, id % 9 FROM characters WHERE id % 9 IN (SELECT id FROM groups)",
     ),
     "scenes_of_stem_exact": (_story(lambda s: M.scenes_of_stem(s.chunks(), "1").select("id", "idx")), SQL + "SELECT id, idx FROM chunks WHERE id = 'scene-1' OR starts_with(id, 'scene-1-chunk-')"),
     "resolve_issue": (

@@ -17,8 +17,20 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def read_scene_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``filename, stem, text``: one row per text file of the folder, endings compared without case."""
-    return _named(spark.read.text(folder, wholetext=True).withColumn("path", F.url_decode(F.input_file_name())))
+    """``filename, stem, text``: one row per text file of the folder, by name, endings compared without case."""
+    return _named(spark.read.text(folder, wholetext=True).withColumn("path", F.url_decode(F.input_file_name()))).orderBy("filename")
+
+
+class NoScenes(ValueError):
+    """An upload without a text file."""
+
+
+def accept(files: DataFrame) -> DataFrame:
+    """The files of an upload with a known ending; an error if there is none."""
+    kept = files.where(F.lower(F.regexp_extract("filename", r"\.([^.]*)$", 1)).isin(*EXTENSIONS))
+    if kept.isEmpty():
+        raise NoScenes(f"no file with one of the endings {', '.join(EXTENSIONS)}")
+    return kept
 
 
 def stream_scene_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,8 +45,8 @@ def append_history(runs: DataFrame, path: str) -> None:
 
 def read_history(spark: SparkSession, path: str, suite: str | None = None) -> DataFrame:
     """Runs of a suite; malformed lines are skipped, fields that a line lacks are null."""
-    runs = spark.read.schema(schemas.HISTORY + ", _corrupt_record STRING").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).cache()
-    runs = runs.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    runs = lines.select(F.from_json("value", schemas.HISTORY).alias("r")).select("r.*")
     return runs if suite is None else runs.where(F.col("suite") == suite)
 
 
@@ -60,3 +72,45 @@ def export_json(tables: dict[str, DataFrame], path: str) -> None:
     """Write each table as a folder of JSON lines under ``path``, nulls included; nothing is gathered in one place."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+
+
+def export_document(tables: dict[str, DataFrame], path: str) -> None:
+    """Write all tables as one JSON document: a line with the time (UTC), then a line for each row, under its table's name.
+
+    Every part of the document is a JSON text, so it can be written and read in parallel; values that JSON has no form for are
+    written as text, nulls are kept.
+    """
+    out = None
+    for name, df in tables.items():
+        row = F.to_json(F.struct(F.lit(name).alias("table"), F.struct(*[F.col(c) for c in df.columns]).alias("row")), {"ignoreNullFields": "false"})
+        part = df.select(row.alias("value"))
+        out = part if out is None else out.unionByName(part)
+    spark = next(iter(tables.values())).sparkSession
+    stamp = spark.range(1).select(F.to_json(F.struct(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("exported_at"))).alias("value"))
+    stamp.unionByName(out).write.mode("overwrite").text(path)
+
+
+def to_sse(events: DataFrame, event: str = "event") -> DataFrame:
+    """Events as messages of a server-sent event stream: ``sse``, with the other columns (nulls left out) as its data."""
+    rest = [c for c in events.columns if c != event]
+    return events.select("*", F.concat(F.lit("event: "), F.col(event), F.lit("\ndata: "), F.to_json(F.struct(*rest)), F.lit("\n\n")).alias("sse"))
+
+
+def write_sse(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Follow a stream of events and append their messages to text files, a poll a second."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        to_sse(batch).select(F.expr("left(sse, length(sse) - 1)").alias("value")).write.mode("append").text(path)  # the writer ends the line
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+
+
+def markdown_reports(results: DataFrame) -> DataFrame:
+    """``case_name, report``: a Markdown report of each case (suite, case_name, passed, score, duration_s, detail)."""
+    mark = F.when(F.col("passed"), "passed").otherwise("failed")
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("# "), "case_name"), F.lit(""), F.concat(F.lit("- suite: "), "suite"), F.concat(F.lit("- result: "), mark),
+        F.concat(F.lit("- score: "), F.format_string("%.2f", F.coalesce("score", F.lit(0.0)))), F.concat(F.lit("- seconds: "), F.format_string("%.1f", F.coalesce("duration_s", F.lit(0.0)))), F.lit(""), F.coalesce("detail", F.lit("")),
+    )
+    return results.select("case_name", lines.alias("report"))

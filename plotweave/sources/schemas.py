@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Columns and types of each table.
@@ -31,11 +31,31 @@ KEYS = {
     "beat_characters": ["beat_id", "character_id", "kind"], "next_chunks": ["from_id"],
 }
 
+#: Tables in buckets by the file of their scene: the column that holds an id of it.
+BUCKETED = {
+    "scenes": "id", "events": "id", "beats": "id", "presence": "scene_id", "group_presence": "scene_id", "event_locations": "event_id", "event_scenes": "event_id",
+    "participants": "event_id", "beat_characters": "beat_id", "next_chunks": "from_id", "vectors": "id",
+}
+BUCKETS = 16
+
+EVENTS = "import_id STRING, seq BIGINT, event STRING, status STRING, file STRING, scene_id STRING, entity_id STRING, processed INT, total INT, message STRING"
 ENTITY = "STRUCT<name: STRING, role: STRING, description: STRING, context: STRING, character_type: STRING>"
-ANALYSIS = f"title STRING, summary STRING, era STRING, approximate_date STRING, characters ARRAY<{ENTITY}>, location STRUCT<name: STRING, description: STRING>, mood STRING"
+BEAT = "STRUCT<action: STRING, subject: STRING, object: STRING>"
+RELATION = "STRUCT<source: STRING, target: STRING, relation_type: STRING, description: STRING>"
+ANALYSIS = f"title STRING, summary STRING, era STRING, approximate_date STRING, characters ARRAY<{ENTITY}>, location STRUCT<name: STRING, description: STRING>, mood STRING, beats ARRAY<{BEAT}>, relations ARRAY<{RELATION}>"
 HISTORY = "ts STRING, date STRING, commit STRING, branch STRING, suite STRING, model STRING, passed BIGINT, total BIGINT, duration_s DOUBLE, cases MAP<STRING, BOOLEAN>, case_durations MAP<STRING, DOUBLE>"
 
 
+def stem_of(scene_id: Column) -> Column:
+    """The stem of the file that a scene, event or beat id belongs to."""
+    scene = F.regexp_replace(F.regexp_replace(scene_id, "^evt-", ""), "-beat-[0-9]+$", "")
+    return F.regexp_replace(F.regexp_replace(scene, "^scene-", ""), "-chunk-[0-9]+$", "")
+
+
+def bucket(stem: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(stem, F.lit(""))), F.lit(BUCKETS)).cast("int")
+
+
 def key_of(table: str) -> list[str]:
     return KEYS.get(table, ["id"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from plotweave.operators import search
 from plotweave.sources import schemas
 from plotweave.sources.store import Store
 
@@ -23,9 +26,20 @@ ROWS = {
     "presence": [("ada-brandt", "scene-1", "participant", None, None), ("ada-brandt", "scene-10", "participant", None, None), ("ada-brandt", "scene-2", "participant", None, None), ("jonas-weil", "scene-10", "mentioned", None, None), ("jonas-weil", "scene-2", "participant", None, None)],
     "relations": [("ada-brandt", "jonas-weil", "employs", None, "1910s")],
     "members": [("jonas-weil", "harbour-guild")],
+    "events": [(f"evt-{s}", d, "1910s", t, None) for s, d, t in (("scene-1", "1913-04", "Arrival"), ("scene-10", "1913-05-02", "Storm"), ("scene-2", "1913-05-02", "The same day"))],
+    "event_scenes": [(f"evt-{s}", s) for s in ("scene-1", "scene-10", "scene-2")],
+    "event_locations": [("evt-scene-1", "lighthouse"), ("evt-scene-10", "lighthouse"), ("evt-scene-2", "archive")],
+    "participants": [("ada-brandt", "evt-scene-1", "participant"), ("ada-brandt", "evt-scene-10", "participant"), ("jonas-weil", "evt-scene-2", "participant")],
 }
 
 
 def load(store: Store) -> None:
-    for table, rows in ROWS.items():
-        store.write(table, store.spark.createDataFrame(rows, schemas.TABLES[table]))
+    """All tables, and a vector for each scene; loading again gives the same."""
+    with store.transaction():
+        for table, rows in ROWS.items():
+            store.write(table, store.spark.createDataFrame(rows, schemas.TABLES[table]))
+        scenes, present = store.read("scenes"), store.read("presence")
+        cast = present.groupBy(F.col("scene_id").alias("id")).agg(F.sort_array(F.collect_set("character_id")).alias("characters"))
+        text = F.concat_ws(". ", "title", "summary")
+        vectors = scenes.join(cast, "id", "left").select("id", text.alias("document"), search.embed(text).alias("embedding"), "era", "location_id", F.coalesce("characters", F.array().cast("array<string>")).alias("characters"))
+        store.write("vectors", vectors)

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions import text as T
 from plotweave.operators import checks, extract, merge, render, resolve, search, segment
+from plotweave.sources import schemas
 from plotweave.sources.store import Store
 
 # States of an import and the seconds that a clarification waits.
 FINAL = ("done", "error")
 WAIT_SECONDS = 30
 
-EVENTS = "import_id STRING, seq BIGINT, event STRING, status STRING, file STRING, scene_id STRING, entity_id STRING, processed INT, total INT, message STRING"
+EVENTS = schemas.EVENTS
 
 
 def fold_progress(events: DataFrame) -> DataFrame:
@@ -61,72 +62,174 @@ def clarifications(requests_and_answers: DataFrame, wait_seconds: int = WAIT_SEC
     return requests_and_answers.groupBy("clarification_id").applyInPandasWithState(step, "clarification_id STRING, outcome STRING", "asked BOOLEAN, answer STRING, done BOOLEAN", "append", "ProcessingTimeTimeout")
 
 
-def import_batch(store: Store, files: DataFrame, extractor: extract.Extractor = extract.by_rules, max_tokens: int = segment.MAX_TOKENS) -> dict[str, int]:
+def _event(kind: str, rows: DataFrame, import_id: str, phase: int, **fields) -> DataFrame:
+    """Progress events of one kind, one for each row; ``fields`` are columns of the event."""
+    given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
+    names = [f.split(" ") for f in schemas.EVENTS.split(", ")]
+    seq = F.lit(phase).cast("long") * 10**15 + F.monotonically_increasing_id() % 10**15
+    own = {"import_id": F.lit(import_id), "seq": seq, "event": F.lit(kind)}
+    return rows.select(*[(own | given).get(n, F.lit(None)).cast(t).alias(n) for n, t in names])
+
+
+def _issues(of: str, resolved: DataFrame) -> DataFrame:
+    """The issues of ambiguous mentions (scene_id, name, entity_id, ... of ``resolve_in_order``, with ``answer``)."""
+    unclear, apart = F.col("status") == "ambiguous", F.col("told_apart")
+    linked = unclear & F.col("answer").eqNullSafe("link")
+    score = F.format_string("%.2f", F.coalesce("score", F.lit(0.0)))
+    text = F.when(apart, F.concat(F.lit(f'{of} "'), "name", F.lit('" is another one than "'), F.coalesce("like_name", F.lit("")), F.lit('", as answered; it has an entry of its own.')))
+    text = text.otherwise(F.concat(F.lit(f'{of} "'), "name", F.lit('" may be "'), "entity_name", F.lit('" (score '), score, F.when(linked, "); confirmed.").otherwise("); linked for now.")))
+    return resolved.where(unclear | apart).select(
+        F.concat(F.lit("dup-"), "scene_id", F.lit("-"), T.slugify(F.col("name"))).alias("id"), F.lit("duplicate_suspect").alias("type"), F.when(apart, "info").otherwise("warning").alias("severity"), "scene_id", "entity_id",
+        text.alias("description"), F.when(unclear & ~linked, F.concat(F.lit('Is "'), "name", F.lit('" really "'), "entity_name", F.lit('"?'))).alias("suggestion"), linked.alias("resolved"),
+    )
+
+
+def import_batch(
+    store: Store, files: DataFrame, extractor: extract.Extractor = extract.by_rules, max_tokens: int = segment.MAX_TOKENS, answers: DataFrame | None = None, import_id: str = "import", profiler: extract.Extractor | None = None
+) -> dict[str, int]:
     """Load scene files (filename, stem, text) into the store; loading a file again replaces its scenes.
 
-    Set-based: segmentation, extraction, resolution against the registry as it was, key upserts, and the check over the
-    dates that the batch touches. Units whose extraction fails are left out and counted; of files with one stem one counts.
+    Set-based: segmentation, extraction, resolution in the order of the scenes (a new name is known to later scenes), key
+    upserts, and the check over the dates that the batch touches. Of tables by scene only the touched buckets are
+    rewritten; all tables become visible together, and a second import meanwhile is refused (``store.Busy``).
+
+    ``answers``: name, answer (link, new) to ambiguous names; without an answer a name is linked and an open warning left.
+    ``profiler`` makes profile fields from a person's new scenes, which fill and extend the stored profile. Units whose
+    extraction fails are left out and counted; of files with one stem the one whose name comes first counts, the others
+    are counted as ``skipped``. Progress goes to ``store.events()``.
     """
-    spark = store.spark
-    files = files.dropDuplicates(["stem"])
+    with store.lock():
+        try:
+            with store.transaction():
+                return _load(store, files, extractor, max_tokens, answers, import_id, profiler)
+        except Exception as e:
+            one = store.spark.range(1)
+            store.append_events(_event("error", one, import_id, 99, status="error", message=f"{type(e).__name__}: {str(e)[:200]}"))
+            raise
+
+
+def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_tokens: int, answers: DataFrame | None, import_id: str, profiler: extract.Extractor | None) -> dict[str, int]:
+    spark, cached = store.spark, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        cached.append(df.cache())
+        return cached[-1]
+
+    def tell(kind: str, rows: DataFrame, phase: int, **fields) -> None:
+        store.append_events(_event(kind, rows, import_id, phase, **fields))
+
+    one = spark.range(1)
+    answers = spark.createDataFrame([], "name STRING, answer STRING") if answers is None else answers.select("name", "answer").dropDuplicates(["name"])
+    tell("status_change", one, 1, status="segmenting")
+    every = files.count()
+    files = keep(files.groupBy("stem").agg(F.min_by(F.struct("filename", "text"), "filename").alias("f")).select("f.filename", "stem", "f.text"))
+    buckets = sorted(r.b for r in files.select(schemas.bucket(F.col("stem")).alias("b")).distinct().collect())
     units = segment.segment_texts(files, "stem", "text", max_tokens)
-    units = units.select(T.scene_id(F.col("id"), F.col("idx"), F.col("total")).alias("unit"), "id", "idx", "chunk").join(files.select(F.col("stem").alias("id"), "filename"), "id")
-    analyzed = extract.analyze(units, "unit", "chunk", extractor).cache()
-    good = analyzed.where("error IS NULL").join(units.select(F.col("unit").alias("id"), F.col("id").alias("stem"), "idx", "chunk", "filename"), "id")
-
-    mentions = good.select("id", F.explode("characters").alias("c")).select(F.col("id").alias("scene_id"), "c.*").where("name IS NOT NULL")
+    units = units.select(T.scene_id(F.col("id"), F.col("idx"), F.col("total")).alias("unit"), "id", "idx", "total", "chunk").join(files.select(F.col("stem").alias("id"), "filename"), "id")
+    units = keep(units)
+    tell("file_segmented", units.where("idx = 0"), 2, file=F.col("filename"), total=F.col("total"))
+    tell("status_change", one, 3, status="analyzing", total=units.count())
+    analyzed = keep(extract.analyze(units, "unit", "chunk", extractor))
+    good = keep(analyzed.where("error IS NULL").join(units.select(F.col("unit").alias("id"), F.col("id").alias("stem"), "idx", "chunk", "filename"), "id"))
+    tell("scene_error", analyzed.where("error IS NOT NULL"), 4, scene_id=F.col("id"), message=F.col("error"))
+    tell("scene_analyzed", good, 4, scene_id=F.col("id"), file=F.col("filename"))
+
+    # who and where, in the order of the scenes
+    tell("status_change", one, 5, status="resolving")
+    place_in_order = F.struct("stem", "idx", F.lit(0).alias("pos")).alias("at")
+    mentions = good.select("id", "stem", "idx", "chunk", F.posexplode("characters").alias("pos", "c")).select(F.col("id").alias("scene_id"), F.struct("stem", "idx", "pos").alias("at"), "chunk", "c.*").where("name IS NOT NULL")
     is_group = F.col("character_type").eqNullSafe("group")
-    people = resolve.resolve(mentions.where(~is_group), store.read("characters")).cache()
-    groups = resolve.resolve_groups(mentions.where(is_group), store.read("groups")).cache()
-    places = resolve.resolve(good.where("location IS NOT NULL").select("id", "location.name", "location.description"), store.read("locations")).cache()
+    said = answers.withColumnRenamed("name", "__said")
+    with_answer = lambda df: df.join(said, F.col("name") == F.col("__said"), "left").drop("__said")
+    people = keep(with_answer(resolve.resolve_in_order(mentions.where(~is_group), store.read("characters"), "at", answers)))
+    groups = keep(resolve.resolve_groups(mentions.where(is_group), store.read("groups")))
+    located = good.where("location IS NOT NULL").select(F.col("id").alias("scene_id"), place_in_order, "location.name", "location.description")
+    places = keep(with_answer(resolve.resolve_in_order(located, store.read("locations"), "at", answers)))
+    unclear = people.where("status = 'ambiguous'")
+    tell("clarification_needed", unclear.where("answer IS NULL"), 6, scene_id=F.col("scene_id"), entity_id=F.col("entity_id"), message=F.concat_ws(" | ", "name", "entity_name", F.coalesce("context", T.excerpt(F.col("chunk"), F.col("name")))))
+    for found in (people, places):
+        tell("entity_resolved", found, 7, scene_id=F.col("scene_id"), entity_id=F.col("entity_id"), status=F.col("status"), message=F.col("name"))
     era = good.select(F.col("id").alias("scene_id"), "era")
 
-    def put(table: str, rows: DataFrame, rules: dict[str, str], key: list[str]) -> None:
-        present = store.read(table)
+    def put(table: str, rows: DataFrame, rules: dict[str, str], key: list[str] | None = None) -> None:
+        """Upsert, in a table by scene within the touched buckets; of rows with one key the last counts."""
+        key = key or schemas.key_of(table)
+        present = store.read(table, buckets if table in schemas.BUCKETED else None)
         missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in present.schema if f.name not in rows.columns]
-        whole = rows.select("*", *missing).dropDuplicates(key)
-        store.write(table, merge.upsert(present, whole.select(*present.columns), key, rules))
-
-    found = people.join(era, "scene_id").select(F.col("entity_id").alias("id"), F.col("entity_name").alias("name"), "era")
-    put("characters", found.groupBy("id").agg(F.min("name").alias("name"), F.min("era").alias("era")), {}, ["id"])
-    put("groups", groups.join(era, "scene_id").groupBy(F.col("group_id").alias("id")).agg(F.min("name").alias("name"), F.min("era").alias("era")), {}, ["id"])
-    put("locations", places.groupBy(F.col("entity_id").alias("id")).agg(F.min("entity_name").alias("name"), F.min("description").alias("description")), {}, ["id"])
-    stems = files.select("stem").distinct()
-    old = store.read("scenes")
-    gone = old.withColumn("stem", F.regexp_replace(F.regexp_extract("id", "^scene-(.*)$", 1), r"-chunk-\d+$", "")).join(stems, "stem", "left_semi").select("id").cache()
-    scenes = good.join(places.select("id", F.col("entity_id").alias("location_id")), "id", "left").select(
+        whole = rows.select("*", *missing)
+        last = merge.last_by_key(whole, key, "at" if "at" in whole.columns else key[0])
+        store.write(table, merge.upsert(present, last.select(*present.columns), key, rules), buckets if table in schemas.BUCKETED else None)
+
+    tell("status_change", one, 8, status="loading")
+    aliases = F.array_sort(F.collect_set(F.when((F.col("status") == "ambiguous") & F.col("answer").eqNullSafe("link"), F.col("name")))).alias("aliases")
+    named = people.join(era, "scene_id").groupBy(F.col("entity_id").alias("id")).agg(F.min("entity_name").alias("name"), F.min("era").alias("era"), aliases)
+    put("characters", named, {"aliases": "union"})
+    put("groups", groups.join(era, "scene_id").groupBy(F.col("group_id").alias("id")).agg(F.min("name").alias("name"), F.min("era").alias("era")), {})
+    put("locations", places.groupBy(F.col("entity_id").alias("id")).agg(F.min("entity_name").alias("name"), F.min("description").alias("description"), aliases), {"aliases": "union", "description": "fill"})
+
+    # the files' earlier scenes go, with all that refers to them
+    scenes = keep(good.join(places.select(F.col("scene_id").alias("id"), F.col("entity_id").alias("location_id")), "id", "left").select(
         "id", "filename", "title", "summary", "era", F.coalesce("approximate_date", T.era_to_date(F.col("era"))).alias("date"), F.col("chunk").alias("raw_text"), "location_id"
-    )
-    kept = merge.delete_scenes({"scenes": old, "presence": store.read("presence"), "group_presence": store.read("group_presence"), "issues": store.read("issues")}, gone, {"scenes": "id", "presence": "scene_id", "group_presence": "scene_id", "issues": "scene_id"})
-    store.write("scenes", kept["scenes"].unionByName(scenes))
-    store.write("presence", kept["presence"])
-    store.write("group_presence", kept["group_presence"])
-    store.write("issues", kept["issues"])
-    rank = ("character_id", "scene_id")
-    put("presence", people.select(F.col("entity_id").alias("character_id"), "scene_id", "role", "description", "context"), dict.fromkeys(("role", "description", "context"), "overwrite"), list(rank))
-    put("group_presence", groups.select("group_id", "scene_id", "role", "description", "context"), dict.fromkeys(("role", "description", "context"), "overwrite"), ["group_id", "scene_id"])
-    links = segment.next_chunks(good, "stem", "idx", "id")
-    put("next_chunks", links, {"to_id": "overwrite"}, ["from_id"])
-
+    ))
+    stems = files.select("stem")
+    for table, column in schemas.BUCKETED.items():
+        present = store.read(table, buckets)
+        store.write(table, present.withColumn("stem", schemas.stem_of(F.col(column))).join(stems, "stem", "left_anti"), buckets)
+    kept_issues = store.read("issues").withColumn("stem", schemas.stem_of(F.col("scene_id"))).join(stems, "stem", "left_anti")
+    store.write("issues", kept_issues)
+
+    overwrite = lambda *c: dict.fromkeys(c, "overwrite")
+    put("scenes", scenes, {})
+    put("presence", people.select(F.col("entity_id").alias("character_id"), "scene_id", "role", "description", "context", "at"), overwrite("role", "description", "context"))
+    put("group_presence", groups.select("group_id", "scene_id", "role", "description", "context", "at"), overwrite("role", "description", "context"))
+    put("next_chunks", segment.next_chunks(good, "stem", "idx", "id"), overwrite("to_id"))
     event = F.concat(F.lit("evt-"), F.col("id"))
-    put("events", scenes.select(event.alias("id"), "date", "era", "title", F.col("summary").alias("description")), dict.fromkeys(("date", "era", "title", "description"), "overwrite"), ["id"])
-    put("event_scenes", scenes.select(event.alias("event_id"), F.col("id").alias("scene_id")), {}, ["event_id", "scene_id"])
-    put("event_locations", scenes.where("location_id IS NOT NULL").select(event.alias("event_id"), "location_id"), {}, ["event_id", "location_id"])
-    put("participants", people.select(F.col("entity_id").alias("character_id"), F.concat(F.lit("evt-"), F.col("scene_id")).alias("event_id"), "role"), {"role": "overwrite"}, ["character_id", "event_id"])
+    put("events", scenes.select(event.alias("id"), "date", "era", "title", F.col("summary").alias("description")), overwrite("date", "era", "title", "description"))
+    put("event_scenes", scenes.select(event.alias("event_id"), F.col("id").alias("scene_id")), {})
+    put("event_locations", scenes.where("location_id IS NOT NULL").select(event.alias("event_id"), "location_id"), {})
+    put("participants", people.select(F.col("entity_id").alias("character_id"), F.concat(F.lit("evt-"), F.col("scene_id")).alias("event_id"), "role", "at"), overwrite("role"))
     cast = people.groupBy(F.col("scene_id").alias("id")).agg(F.sort_array(F.collect_set("entity_id")).alias("characters"))
     documents = scenes.join(cast, "id", "left").select("id", F.col("raw_text").alias("document"), search.embed(F.col("raw_text")).alias("embedding"), "era", "location_id", F.coalesce("characters", F.array().cast("array<string>")).alias("characters"))
-    put("vectors", documents, dict.fromkeys(("document", "embedding", "era", "location_id", "characters"), "overwrite"), ["id"])
-
+    put("vectors", documents, overwrite("document", "embedding", "era", "location_id", "characters"))
+
+    # beats with their people, relations and memberships
+    who = people.select("scene_id", T.normalize(F.col("name")).alias("norm"), "entity_id").groupBy("scene_id", "norm").agg(F.min("entity_id").alias("entity_id"))
+    beats = keep(good.where("beats IS NOT NULL").select(F.col("id").alias("scene_id"), F.posexplode("beats").alias("pos", "b")).select("scene_id", F.format_string("%s-beat-%d", "scene_id", F.col("pos")).alias("id"), "b.*").where("action IS NOT NULL"))
+    put("beats", beats.select("id", "scene_id", "action"), overwrite("action"))
+    ends = beats.select("id", "scene_id", F.explode(F.create_map(F.lit("subject"), "subject", F.lit("object"), "object")).alias("kind", "name")).where("name IS NOT NULL").withColumn("norm", T.normalize(F.col("name")))
+    put("beat_characters", ends.join(who, ["scene_id", "norm"]).select(F.col("id").alias("beat_id"), F.col("entity_id").alias("character_id"), "kind"), {})
+    told = good.where("relations IS NOT NULL").select(F.col("id").alias("scene_id"), F.explode("relations").alias("r")).select("scene_id", "r.*").withColumn("norm", T.normalize(F.col("source"))).join(who, ["scene_id", "norm"])
+    targets = keep(resolve.relation_targets(told.join(era, "scene_id"), store.read("characters"), store.read("groups")))
+    pairs = targets.where("kind = 'character' AND entity_id <> target_id AND relation_type IS NOT NULL").select(F.col("entity_id").alias("id_a"), F.col("target_id").alias("id_b"), "relation_type", "description", "era")
+    fresh = merge.undirected_key(pairs, "id_a", "id_b").dropDuplicates(["id_a", "id_b", "relation_type"])
+    judged = resolve.relation_duplicates(fresh.withColumn("relation", F.col("relation_type")), store.read("relations").withColumn("relation", F.col("relation_type")), ["id_a", "id_b"])
+    put("relations", judged.where("band <> 'duplicate' OR best = relation_type"), {"description": "fill", "era": "fill"})
+    put("members", targets.where("kind = 'group'").select(F.col("entity_id").alias("character_id"), F.col("target_id").alias("group_id")), {})
+    tell("scene_loaded", scenes, 9, scene_id=F.col("id"), file=F.col("filename"))
+
+    # issues: of ambiguous names, and people in two places on a date that this batch touches
+    tell("check_started", one, 10, status="checking")
     all_scenes = store.read("scenes").select(F.col("id").alias("scene_id"), "date", "location_id", "title")
-    touched = scenes.select("date").where("date IS NOT NULL").distinct()
-    pairs = checks.bilocalization(store.read("presence"), all_scenes.join(touched, "date", "left_semi"))
-    named = checks.with_names(pairs, store.read("characters"), all_scenes, store.read("locations"))
-    issues = named.select(*render.bilocation_issue(F.col("scene_2"))).withColumns({"resolved": F.lit(False), "created_at": F.current_timestamp().cast("timestamp_ntz")})
-    put("issues", issues, {"resolved": "overwrite", "description": "overwrite"}, ["id"])
-    counts = {"scenes": scenes.count(), "failed": analyzed.where("error IS NOT NULL").count(), "issues": store.read("issues").count()}
-    for df in (analyzed, people, groups, places, gone):
+    dates = scenes.select("date").where("date IS NOT NULL").distinct()
+    clash = checks.bilocalization(store.read("presence"), all_scenes.join(dates, "date", "left_semi"))
+    twice = checks.with_names(clash, store.read("characters"), all_scenes, store.read("locations")).select(*render.bilocation_issue(F.col("scene_2"))).withColumn("resolved", F.lit(False))
+    found = keep(_issues("Character", people).unionByName(_issues("Location", places)).unionByName(twice).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
+    put("issues", found, overwrite("resolved", "description"))
+    tell("issue_found", found, 11, scene_id=F.col("scene_id"), entity_id=F.col("entity_id"), message=F.col("description"))
+    tell("check_complete", one, 12, status="checking")
+
+    if profiler is not None:
+        tell("status_change", one, 13, status="profiling")
+        touched = people.select("entity_id").distinct()
+        profiles = keep(extract.profiles(people, scenes, beats, store.read("characters").join(touched, F.col("id") == F.col("entity_id"), "left_semi"), profiler))
+        put("characters", profiles.where("error IS NULL").drop("error"), dict.fromkeys(extract.PROFILE, "append"))
+        tell("character_profiled", profiles.where("error IS NULL"), 14, entity_id=F.col("id"))
+        tell("profiling_error", profiles.where("error IS NOT NULL"), 14, entity_id=F.col("id"), message=F.col("error"))
+
+    counts = {"scenes": scenes.count(), "failed": analyzed.where("error IS NOT NULL").count(), "issues": store.read("issues").count(), "skipped": every - files.count()}
+    tell("done", one, 20, status="done", processed=counts["scenes"], total=counts["scenes"] + counts["failed"])
+    for df in cached:
         df.unpersist()
-    spark.catalog.clearCache()
     return counts
 
 
@@ -135,5 +238,5 @@ def import_stream(store: Store, files: DataFrame, checkpoint: str, extractor: ex
 
     The checkpoint belongs to one running import: Spark refuses a second query on it.
     """
-    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: import_batch(store, batch, extractor))
+    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: import_batch(store, batch, extractor, import_id=f"batch-{n}"))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
