@@ -47,6 +47,7 @@ class Vocabulary:
     size: int
     specials: dict[str, int]
     name: str
+    widths: np.ndarray  # bytes of text that each id stands for
 
     def slot(self, key: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -89,6 +90,11 @@ def load(path: str) -> Vocabulary:
     keys = np.array([vocab[a] * size + vocab[b] for a, b in merges], np.int64)
     if len(keys) > 1 << (SLOT_BITS - 1):
         raise ValueError(f"{path}: more merges than the table of pairs holds")
+    widths = np.zeros(size, np.int64)
+    for token, number in vocab.items():
+        widths[number] = len(token)
+    for t in spec["added_tokens"]:
+        widths[t["id"]] = len(t["content"].encode())
     out = Vocabulary(
         byte_ids=np.array([vocab[c] for c in byte_alphabet()], np.int32),
         keys=np.full(1 << SLOT_BITS, -1, np.int64),
@@ -97,6 +103,7 @@ def load(path: str) -> Vocabulary:
         size=size,
         specials={t["content"]: t["id"] for t in spec["added_tokens"]},
         name=hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest(),
+        widths=widths,
     )
     for rank, (key, at) in enumerate(zip(keys.tolist(), out.slot(keys).tolist(), strict=True)):
         while out.keys[at] >= 0:

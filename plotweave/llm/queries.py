@@ -104,7 +104,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-binary").path("shards")
     token_binary.materialise(read_table(spark, sf_dir, "documents"), tokenizer_path(), path, length=512, shard_rows=4096, key=1)
-    return token_binary.sequences(token_binary.read_blocks(spark, path), length=512).withColumnRenamed("id", "doc_id")
+    return token_binary.sequences(token_binary.read_blocks(spark, path)).withColumnRenamed("id", "doc_id")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 Texts are encoded, ended with an end token and cut into sequences of ``length`` ids. A keyed Feistel network over the
 next power of four, walked until it falls into range, permutes 0..N-1 and gives sequence i its global slot. The slots
 are cut into shards of ``shard_rows``; a shard's sequences lie behind each other in slot order with a fixed stride, so
-slot s is at byte (s mod shard_rows) * stride of shard s div shard_rows, and a reader can stop and resume at any slot.
+slot s is at byte (s mod shard_rows) * stride of shard s div shard_rows, and a reader can stop and resume at any slot. A
+shard is stored as rows of ``BLOCK_ROWS`` sequences, which executors write without a POSIX folder; each row says stride, width and
+shard_rows, so a reader needs nothing but the folder.
 
-The ids are counted in a first pass and written in a second, so that only the finished sequences are shuffled once and
+Partitions are ranges of slots that are known before the shuffle (the slots are dense), so nothing is sampled and the
+files lie in the order of the slots. The ids are counted in a first pass and written in a second, so that only the finished sequences are shuffled once and
 nothing but the shards is stored.
 """
 
@@ -26,7 +29,10 @@ from plotweave.llm import bpe, ragged
 BLOCK_ROWS = 256
 ROUNDS = 6
 
-BLOCKS = "shard int, first_slot long, n int, payload binary, ids array<{id}>, parts array<int>, lengths array<int>"
+#: Partitions of the shuffle, at most; beyond, a partition holds several shards.
+PARTITIONS = 100_000
+
+BLOCKS = "shard int, first_slot long, n int, stride int, width int, shard_rows int, payload binary, ids array<{id}>, parts array<int>, lengths array<int>"
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -72,6 +78,7 @@ def materialise(
     vocabulary = bpe.load(tokenizer)
     end = vocabulary.specials.get("<|endoftext|>", vocabulary.size - 1)
     kind = np.dtype("<u2") if vocabulary.size <= 1 << 16 else np.dtype("<u4")
+    stride = length * kind.itemsize
     held = spark.sparkContext.broadcast(vocabulary)
     source = docs.select(id_col, text_col)
     id_type = source.schema[id_col].dataType.simpleString()
@@ -135,12 +142,15 @@ def materialise(
                     pa.array([rows.column("shard")[0].as_py()], pa.int32()),
                     pa.array([int(slots[0])], pa.int64()),
                     pa.array([len(slots)], pa.int32()),
+                    pa.array([stride], pa.int32()),
+                    pa.array([kind.itemsize], pa.int32()),
+                    pa.array([shard_rows], pa.int32()),
                     pa.array([b"".join(rows.column("payload").to_pylist())], pa.binary()),
                     pa.array([rows.column("id").to_pylist()], pa.list_(rows.schema.field("id").type)),
                     pa.array([rows.column("part").to_pylist()], pa.list_(pa.int32())),
                     pa.array([rows.column("length").to_pylist()], pa.list_(pa.int32())),
                 ],
-                names=["shard", "first_slot", "n", "payload", "ids", "parts", "lengths"],
+                names=["shard", "first_slot", "n", "stride", "width", "shard_rows", "payload", "ids", "parts", "lengths"],
             )
 
         for batch in batches:
@@ -163,34 +173,37 @@ def materialise(
                 yield block(table.slice(x, y - x))
 
     rows = source.mapInArrow(encode, f"shard int, slot long, id {id_type}, part int, length int, payload binary")
-    tasks = max(1, min(-(-total // shard_rows), 100_000))
-    packed = rows.repartition(tasks, "shard").sortWithinPartitions("slot").mapInArrow(pack, BLOCKS.format(id=id_type))
+    shards = max(1, -(-total // shard_rows))
+    each = -(-shards // PARTITIONS)
+    ranges = F.floor(F.col("shard") / each).cast("int")
+    packed = rows.repartitionById(-(-shards // each), ranges).sortWithinPartitions("slot").mapInArrow(pack, BLOCKS.format(id=id_type))
     packed.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return total
 
 
-def read_blocks(spark: SparkSession, path: str, from_slot: int = 0, shard_rows: int = 4096) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
     """Blocks from the one with ``from_slot`` on; the filter on shard and slot reaches the files."""
-    return spark.read.parquet(path).where((F.col("shard") >= from_slot // shard_rows) & (F.col("first_slot") > from_slot - BLOCK_ROWS))
+    blocks = spark.read.parquet(path)
+    one = blocks.select("shard_rows").first() if from_slot else None
+    return blocks.where((F.col("shard") >= from_slot // one.shard_rows) & (F.col("first_slot") > from_slot - BLOCK_ROWS)) if one else blocks
 
 
-def sequences(blocks: DataFrame, length: int = 512, shard_rows: int = 4096) -> DataFrame:
+def sequences(blocks: DataFrame) -> DataFrame:
     """One row for each sequence in ``blocks``, read back: ``slot, shard, byte_offset, id, part, length, tokens_crc32``."""
     id_type = blocks.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(batch.num_rows):
-                shard, first, n, payload, ids, parts, lengths = (batch.column(c)[b] for c in ("shard", "first_slot", "n", "payload", "ids", "parts", "lengths"))
-                raw, n = memoryview(payload.as_buffer()), n.as_py()
-                stride = len(raw) // n
-                slot = first.as_py() + np.arange(n)
+                shard, first, n, stride, shard_rows = (batch.column(c)[b].as_py() for c in ("shard", "first_slot", "n", "stride", "shard_rows"))
+                payload, ids, parts, lengths, width = (batch.column(c)[b] for c in ("payload", "ids", "parts", "lengths", "width"))
+                raw, width = memoryview(payload.as_buffer()), width.as_py()
+                slot = first + np.arange(n)
                 size = lengths.values.to_numpy()
-                width = stride // length
                 crc = [zlib.crc32(raw[i * stride : i * stride + int(size[i]) * width]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array([shard.as_py()] * n, pa.int32()), pa.array((slot % shard_rows) * stride), ids.values, parts.values, lengths.values, pa.array(crc, pa.int64())],
+                    [pa.array(slot), pa.array([shard] * n, pa.int32()), pa.array((slot % shard_rows) * stride), ids.values, parts.values, lengths.values, pa.array(crc, pa.int64())],
                     names=["slot", "shard", "byte_offset", "id", "part", "length", "tokens_crc32"],
                 )
 
-    return blocks.select("shard", "first_slot", "n", "payload", "ids", "parts", "lengths").mapInArrow(run, f"slot long, shard int, byte_offset long, id {id_type}, part int, length int, tokens_crc32 long")
+    return blocks.select("shard", "first_slot", "n", "stride", "shard_rows", "width", "payload", "ids", "parts", "lengths").mapInArrow(run, f"slot long, shard int, byte_offset long, id {id_type}, part int, length int, tokens_crc32 long")

@@ -30,12 +30,12 @@ def test_round_trip_and_resume(spark):
         for part in range(-(-len(ids) // 16)):
             want[i, part] = ids[16 * part : 16 * part + 16]
     assert n == len(want)
-    rows = token_binary.sequences(token_binary.read_blocks(spark, path, shard_rows=256), length=16, shard_rows=256).collect()
+    rows = token_binary.sequences(token_binary.read_blocks(spark, path)).collect()
     assert sorted(r.slot for r in rows) == list(range(n))
     assert {(r.id, r.part): (r.length, r.tokens_crc32) for r in rows} == {k: (len(v), zlib.crc32(np.array(v, "<u2").tobytes())) for k, v in want.items()}
     by_slot = {r.slot: (r.id, r.part) for r in rows}
     # every record stands at its fixed place, and a read from a slot gives the rest
-    later = token_binary.read_blocks(spark, path, from_slot=300, shard_rows=256).orderBy("first_slot").collect()
+    later = token_binary.read_blocks(spark, path, from_slot=300).orderBy("first_slot").collect()
     at = later[0].first_slot
     assert at <= 300 < at + token_binary.BLOCK_ROWS
     for block in later:
@@ -47,6 +47,27 @@ def test_round_trip_and_resume(spark):
     assert at == n
 
 
+def test_registered_query_and_files_in_order(spark, tmp_path, monkeypatch):
+    """The query against the library, with words that weak hashes confuse; the stored files in the order of their slots."""
+    from tests.llm.test_token_counts import colliding
+
+    texts = colliding() + awkward()
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    rows = queries.op1_token_binary(spark, str(tmp_path)).collect()
+    want = {(i, part): np.array(ids[512 * part : 512 * part + 512], "<u2") for i, t in enumerate(texts) for ids in [[*library.encode(t or "", add_special_tokens=False).ids, 50256]] for part in range(-(-len(ids) // 512))}
+    assert {(r.doc_id, r.part): r.tokens_crc32 for r in rows} == {k: zlib.crc32(v.tobytes()) for k, v in want.items()}
+    monkeypatch.setattr(token_binary, "PARTITIONS", 2)
+    path = f"{tmp_path}/shards"
+    n = token_binary.materialise(spark.read.parquet(f"{tmp_path}/documents.parquet"), queries.tokenizer_path(), path, length=8, shard_rows=256, key=2)
+    import glob
+
+    import pyarrow.parquet as pq
+
+    firsts = [x for f in sorted(glob.glob(f"{path}/*.parquet")) for x in pq.read_table(f, columns=["first_slot"]).column(0).to_pylist()]
+    assert firsts == list(range(0, n, token_binary.BLOCK_ROWS)) and len(glob.glob(f"{path}/*.parquet")) == 2
+
+
 def test_repeated_ids_and_no_rows(spark):
     path = Scratch(spark, "test").path("shards")
     assert token_binary.materialise(documents(spark, ["a", "a", None], ids=[1, 1, None]), queries.tokenizer_path(), path) == 3
