@@ -12,7 +12,9 @@ that a group of unrelated ones stays small. From each tree come links of a spann
 ``similar_documents`` links texts whose sets of word shingles have a Jaccard similarity of at least ``least``. At 0.8 two
 fingerprints differ in 10 of 64 bits, which no bit blocks can key, so here the keys are ``BANDS`` bands of ``VALUES``
 minima of shingle hashes. A pair at exactly 0.8 shares no band in 2 of 10,000 cases and differs in more than
-``WIDE_RADIUS`` bits in about as many; a closer one less often. Every pair found is then decided by its shingles.
+``WIDE_RADIUS`` bits in about as many; a closer one less often. Every pair found is decided by its shingles. Most links are
+those of a group's first text; what these leave apart is searched by families (texts that share keys, over others) in
+tasks that hold a shard tree with the shingles of its texts and give spanning links only, never pairs.
 """
 
 from __future__ import annotations
@@ -183,21 +185,95 @@ def tree_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
     return _searched(batches, make)
 
 
-def tree_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within the radius, once each, whose roots differ, in groups of sorted rows (key, shard, probe, fp, sim, root)."""
+class Family:
+    """A shard tree over texts with their shingles, and which of them are connected so far."""
 
-    def make(nodes: np.ndarray):
-        tree = BKTree(nodes[1])
+    def __init__(self, fps: np.ndarray, sims: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]):
+        self.tree, self.fps, self.roots = BKTree(sims), fps, roots.tolist()
+        self.size = np.array([len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.shingles, self.first = np.unique(every[order], return_index=True)
+        self.first = np.append(self.first, len(every))
+        self.parent: dict[int, int] = {}
 
-        def find(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            q, n = tree.search(rows[1], radius)
-            x, y = rows[0, q].view(np.int64), nodes[0, n].view(np.int64)
-            keep = (rows[2, q] != nodes[2, n]) & (x < y)
-            return x[keep].view(np.uint64), y[keep].view(np.uint64)
+    def top(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
 
-        return find
+    def shared(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of these shingles each text of the tree has."""
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        at = at[self.shingles[at] == shingles]
+        n = self.first[at + 1] - self.first[at]
+        places = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.owner[places], minlength=len(self.size))
+
+    def links(self, fps: np.ndarray, sims: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
+        """For texts that come by, links to similar ones in the tree that are not connected with them yet."""
+        out = []
+        q, n = self.tree.search(sims, radius)
+        order = np.argsort(q, kind="stable")
+        q, n = q[order], n[order]
+        edges = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else q
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(q)], strict=True):
+            i, near = int(q[a]), n[a:b]
+            if all(self.top(self.roots[x]) == self.top(int(roots[i])) for x in near.tolist()):
+                continue
+            both = self.shared(sets[i])[near]
+            for x in near[both >= least * (len(sets[i]) + self.size[near] - both)].tolist():
+                one, two = self.top(int(roots[i])), self.top(self.roots[x])
+                if one != two:
+                    self.parent[max(one, two)] = min(one, two)
+                    out.append((int(fps[i]), int(self.fps[x])))
+        return out
+
+
+def family_links(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Links of each family's shard, in sorted rows (key, shard, probe, fp, sim, root, shingles): first the tree's texts, then
+    those that are compared with them as they come."""
+    at, held, family = None, [], None
+    for batch in batches:
+        columns = [batch.column(i).to_numpy() for i in range(6)]
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(6).to_pylist()]
+        key, shard, probe = columns[:3]
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (shard[1:] != shard[:-1]) | (probe[1:] != probe[:-1])) + 1
+        links = []
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+            if a == b:
+                continue
+            if (this := (key[a], shard[a])) != at:
+                at, held, family = this, [], None
+            rows = (columns[3][a:b], columns[4][a:b].view(np.uint64), columns[5][a:b], sets[a:b])
+            if not probe[a]:
+                held.append(rows)
+                continue
+            if family is None:
+                if not held:
+                    continue
+                family = Family(*(np.concatenate([h[i] for h in held]) for i in range(3)), [x for h in held for x in h[3]])
+            links += family.links(*rows, radius, least)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return _searched(batches, make)
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``fp, shingles`` (sorted hashes, as bytes) of ``texts`` (fp, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _sets(batch.column(1), width)], pa.binary())], names=["fp", "shingles"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, shingles binary")
+
+
+def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    data, offsets = ragged.utf8(column)
+    for a, b in ragged.blocks(offsets):
+        h, n = word_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+        yield from (np.unique(x) for x in np.split(h, np.cumsum(n)[:-1]))
 
 
 def _dealt(keyed: DataFrame, shard_size: int, *columns: str) -> DataFrame:
@@ -353,16 +429,10 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     both = dealt.join(left, ["a", "salt"]).select("a", "b", "ta").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        data, offsets = ragged.utf8(column)
-        for a, b in ragged.blocks(offsets):
-            h, n = word_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-            yield from (np.unique(x) for x in np.split(h, np.cumsum(n)[:-1]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+            for x, y in zip(_sets(batch.column(2), width), _sets(batch.column(3), width), strict=True):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= least * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -373,8 +443,8 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
 def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, shard_size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, component_id`` for each row: the smallest id reachable over pairs of at least that similarity.
 
-    In each group the first text is compared with all others, and then only texts that are not yet connected are searched
-    for, so a large group of near copies is not compared pair by pair. Null and wordless texts are alike. Rows that repeat
+    In each group the first text is compared with all others. What that leaves apart is compared with the rest of its family
+    unless it is connected with most of it; the work of a family is its size times the number of such texts. Null and wordless texts are alike. Rows that repeat
     an id fall into the components of their texts; a null id is never a component's id unless all of its ids are null.
     Only the id and text are read.
     """
@@ -400,10 +470,19 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, shard
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low <> high AND many > 2").select("key")
     left = scratch.save(rooted.join(open_keys, "key"), "open")
     if not left.isEmpty():
-        found = _dealt(left, shard_size, "fp", "sim", "root").mapInArrow(lambda batches: tree_pairs(batches, WIDE_RADIUS), "a long, b long")
-        compared = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = scratch.save(found.distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
-        more = scratch.save(similar(pairs, texts_of(pairs, "pair-texts"), width, least), "more-links")
+        firsts = left.groupBy("key").agg(F.min("fp").alias("a"))
+        families = components(left.select("key", F.col("fp").alias("b")).join(firsts, "key").select("a", "b"), Scratch(spark, "simhash-families")).select(F.col("node").alias("fp"), F.col("root").alias("key"))
+        members = scratch.save(left.select("fp", "sim", "root").distinct().join(families, "fp"), "members")
+        # what is connected with most of its family need not come by: the others do
+        most = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+        sized = members.join(most, "key").withColumn("shards", F.ceil(F.col("n") / F.lit(shard_size)).cast("int"))
+        nodes = sized.select("key", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("shards")).cast("int").alias("shard"), F.lit(0).alias("probe"), "fp", "sim", "root")
+        probes = sized.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("probe"), "fp", "sim", "root")
+        wanted = members.select("fp", F.col("fp").alias("a"), F.col("fp").alias("b"))
+        sets = scratch.save(_shingle_sets(texts_of(wanted, "open-texts"), width), "shingles")
+        dealt = nodes.unionByName(probes).join(sets, "fp").select("key", "shard", "probe", "fp", "sim", "root", "shingles")
+        dealt = dealt.repartition("key", "shard").sortWithinPartitions("key", "shard", "probe", "fp")
+        more = scratch.save(dealt.mapInArrow(lambda batches: family_links(batches, WIDE_RADIUS, least), "a long, b long"), "more-links")
         roots = components(links.unionByName(more), Scratch(spark, "simhash-components"))
     return _with_components(marked.select(id_col, "fp"), distinct, roots, total).select(id_col, "component_id")
 
