@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plotweave.llm import bpe, ragged
 
-#: Labelled rows per language that the model is fitted on (about; chosen by a hash of the id).
+#: Labelled rows per language that the model is fitted on (about; chosen by a hash of id and text).
 SAMPLE_ROWS = 1500
 #: Share of a language's letters from which on a script counts as its own.
 SCRIPT_SHARE = 0.005
@@ -130,13 +130,13 @@ class Model:
 
 
 def sample_labelled(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """About ``rows`` rows per language, chosen by a hash of the id; nulls have no label."""
+    """About ``rows`` rows per language, chosen by a hash of id and text; nulls have no label."""
     labelled = docs.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     if not counts:
         return labelled.limit(0)
     part = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(9)), 11) / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9)), 11) / F.lit(float(1 << 53))
     return labelled.where(draw < part[F.col(lang_col)])
 
 

@@ -22,12 +22,23 @@ from plotweave.llm.common import Scratch
 LEAST_BUCKET = 256
 
 
+def _free(names: tuple[str, ...], taken: set[str]) -> list[str]:
+    """The names, each with ``_in`` behind it as often as it takes to be like no other."""
+    out: list[str] = []
+    for name in names:
+        new = name
+        while new in taken or new in out or (new != name and new in names):
+            new += "_in"
+        out.append(new)
+    return out
+
+
 def interleave(
     docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """``id, size, text_crc32, shard, slot`` and the columns of ``carry``, one row for each row of ``docs``.
 
-    A column of ``carry`` may not be named like one of these.
+    A column of ``carry`` that is named like one of these comes back as ``<name>_in``.
 
     ``size``: UTF-8 bytes of the text plus 16; ``text_crc32``: its unsigned CRC-32; a null text counts as empty. Shards
     0 to ``shards`` - 1 differ by at most one row; ``slot`` counts from 0 in each. Null sources are a source of their own.
@@ -38,7 +49,7 @@ def interleave(
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(text).cast("string"), source).cast("binary"))
     n = docs.count()
     buckets = max(1, n // max(LEAST_BUCKET, math.isqrt(n)))
     kept = [F.col(c).alias(f"__carry_{c}") for c in carry]
@@ -71,5 +82,5 @@ def interleave(
         F.col("__crc").alias("text_crc32"),
         F.col("__shard").cast("int").alias("shard"),
         (F.col("__at") - F.col("__first")).alias("slot"),
-        *[F.col(f"__carry_{c}").alias(c) for c in carry],
+        *[F.col(f"__carry_{c}").alias(name) for c, name in zip(carry, _free(carry, {id_col, "size", "text_crc32", "shard", "slot"}), strict=True)],
     )

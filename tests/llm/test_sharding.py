@@ -14,8 +14,9 @@ def brute(rows, shards, seed):
     by = {}
     for i, text, source in rows:
         raw = (text or "").encode()
-        draw = hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
-        by.setdefault("" if source is None else "=" + source, []).append((draw, i, zlib.crc32(raw), len(raw) + 16))
+        of = "" if source is None else "=" + source
+        draw = hashlib.md5(f"{seed}:{'' if i is None else i}:{zlib.crc32(raw)}:{of}".encode()).hexdigest()
+        by.setdefault(of, []).append((draw, i, zlib.crc32(raw), len(raw) + 16))
     order = []
     for source, members in by.items():
         for r, (_, i, crc, size) in enumerate(sorted(members)):
@@ -57,3 +58,10 @@ def test_repeated_null_and_no_rows(spark):
     assert sorted((r.shard, r.slot) for r in sharding.interleave(docs, 3).collect()) == [(0, 0), (0, 1), (1, 0), (2, 0)]
     assert sharding.interleave(documents(spark, []), 3).count() == 0
     assert len(sharding.interleave(documents(spark, ["x"]), 40).collect()) == 1
+
+
+def test_carried_columns_whose_names_clash(spark):
+    docs = documents(spark, ["x", "y"], extra=("shard", "slot", "size", "shard_in"))
+    out = sharding.interleave(docs, 2, carry=("text", "shard", "slot", "size", "shard_in"))
+    assert out.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "shard_in_in", "slot_in", "size_in", "shard_in"]
+    assert {r.shard_in_in for r in out.collect()} == {"x"} and sorted(r.text for r in out.collect()) == ["x", "y"]
