@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared folder and
 reads it back as the next stage's input. All but the last return the columns of ``documents``.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, an empty table and further columns of any
+name; its docstring says what becomes of a null or empty text. Rows that repeat an id are told apart by their texts, rows
+without an id stay where an id would decide.
 """
 
 from __future__ import annotations
@@ -24,28 +28,34 @@ SHARDS = 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose main language has less than half of the letters, go."""
+    """Documents without a letter (null and empty ones too), or whose main language has less than half of the letters, go."""
     return language_id.keep_identified(docs, language_id.train(docs), LEAST_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
+
+    Null and wordless texts are copies of each other. Rows that repeat the kept id stay, rows without an id too.
+    """
     return simhash_dedup.drop_near_duplicates(docs, find=simhash_dedup.similar_documents, width=5, least=0.8)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go; null and empty texts have none and stay."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as the rate says that the mix gives them."""
+    """Documents stay as often as the mix says; null and empty texts have the posterior of an empty text."""
     labels = read_table(spark, sf_dir, "labels")
     return source_mixing.repeat_rows(docs, labels, F.expr(queries.DOMAIN), MIX, relative=True, snap=SNAP, ridge=RIDGE)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, with the size, the shard and the slot in it."""
+    """All columns, with the size, the shard and the slot in it; a column that is named like one of these gets ``_in`` behind it.
+
+    Every row gets a place; a null text has the size 16.
+    """
     return sharding.interleave(docs, SHARDS, seed=1, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 
