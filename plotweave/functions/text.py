@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 #: Words per token in the size estimate.
 TOKENS_PER_WORD = 1.35
 
+# The Hangul syllables, and the first letter of each kind that they are made of.
+HANGUL, _LEAD, _VOWEL, _TAIL = range(0xAC00, 0xD7A4), 0x1100, 0x1161, 0x11A7
+_SYLLABLES = "[\\x{AC00}-\\x{D7A3}]"
+
+
 def _plain(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
@@ -30,13 +35,13 @@ def _ranges(characters: str) -> str:
 def _tables() -> tuple[str, str, str, list[tuple[str, str, str]]]:
     """By the rule of NFKD over all of Unicode: characters to one other (or, behind those, to none); the class of characters
     to several; and for the first, second and further of these the class, the characters and what stands there."""
-    every = (chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    every = (chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and c not in HANGUL)
     spelled = {c: _plain(c) for c in every if unicodedata.combining(c) or not unicodedata.is_normalized("NFKD", c)}
     one, none = [c for c, p in spelled.items() if len(p) == 1], [c for c, p in spelled.items() if not p]
     several, parts = [c for c, p in spelled.items() if len(p) > 1], []
     while have := [c for c in several if len(spelled[c]) > len(parts)]:
         parts.append((_ranges("".join(have)), "".join(have), "".join(spelled[c][len(parts)] for c in have)))
-    return "".join([*one, *none]), "".join(spelled[c] for c in one), _ranges("".join(several)), parts
+    return "".join([*one, *none]), "".join(spelled[c] for c in one), _ranges("".join([*several, *map(chr, HANGUL)])), parts
 
 
 _FROM, _TO, _SEVERAL, _PARTS = _tables()
@@ -47,9 +52,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
+def _letters(c: Column) -> Column:
+    """The letters of a Hangul syllable, by its place among them."""
+    n = F.ascii(c) - HANGUL.start
+    letter = lambda point: F.decode(F.unhex(F.hex(point.cast("long"))), "UTF-16BE")
+    tail = F.when(n % 28 > 0, letter(_TAIL + n % 28)).otherwise("")
+    return F.concat(letter(_LEAD + F.floor(n / 588)), letter(_VOWEL + F.floor(n % 588 / 28)), tail)
+
+
 def normalize(text: Column) -> Column:
     """NFKD without combining marks, lower-cased, stripped."""
-    spell = lambda c: F.when(c.rlike(_SEVERAL), F.concat(*[F.when(c.rlike(kind), F.translate(c, a, b)).otherwise("") for kind, a, b in _PARTS])).otherwise(c)
+    spell = lambda c: F.when(c.rlike(_SYLLABLES), _letters(c)).when(c.rlike(_SEVERAL), F.concat(*[F.when(c.rlike(kind), F.translate(c, a, b)).otherwise("") for kind, a, b in _PARTS])).otherwise(c)
     spelled = F.array_join(F.transform(F.split(text, ""), spell), "")
     return strip(F.lower(F.translate(F.when(text.rlike(_SEVERAL), spelled).otherwise(text), _FROM, _TO)))
 
@@ -61,7 +74,10 @@ def _quoted(text: str) -> str:
 def normalize_sql(t: str) -> str:
     """``normalize`` as SQL text over the expression ``t``."""
     spell = "concat(" + ", ".join(f"CASE WHEN c RLIKE {_quoted(kind)} THEN translate(c, {_quoted(a)}, {_quoted(b)}) ELSE '' END" for kind, a, b in _PARTS) + ")"
-    spelled = f"array_join(transform(split({t}, ''), c -> CASE WHEN c RLIKE {_quoted(_SEVERAL)} THEN {spell} ELSE c END), '')"
+    letter = lambda point: f"decode(unhex(hex(CAST({point} AS BIGINT))), 'UTF-16BE')"
+    n = f"(ascii(c) - {HANGUL.start})"
+    hangul = f"concat({letter(f'{_LEAD} + floor({n} / 588)')}, {letter(f'{_VOWEL} + floor({n} % 588 / 28)')}, CASE WHEN {n} % 28 > 0 THEN {letter(f'{_TAIL} + {n} % 28')} ELSE '' END)"
+    spelled = f"array_join(transform(split({t}, ''), c -> CASE WHEN c RLIKE {_quoted(_SYLLABLES)} THEN {hangul} WHEN c RLIKE {_quoted(_SEVERAL)} THEN {spell} ELSE c END), '')"
     edges = _quoted(r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$")
     return f"regexp_replace(lower(translate(CASE WHEN {t} RLIKE {_quoted(_SEVERAL)} THEN {spelled} ELSE {t} END, {_quoted(_FROM)}, {_quoted(_TO)})), {edges}, '')"
 

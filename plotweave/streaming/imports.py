@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions import text as T
+from plotweave.functions.lineage import cut
 from plotweave.operators import checks, extract, merge, render, resolve, search, segment
 from plotweave.sources import schemas
 from plotweave.sources.store import Store
@@ -109,11 +110,7 @@ def import_batch(
 
 
 def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_tokens: int, answers: DataFrame | None, import_id: str, profiler: extract.Extractor | None) -> dict[str, int]:
-    spark, cached = store.spark, []
-
-    def keep(df: DataFrame) -> DataFrame:
-        cached.append(df.cache())
-        return cached[-1]
+    spark = store.spark
 
     def tell(kind: str, rows: DataFrame, phase: int, **fields) -> None:
         store.append_events(_event(kind, rows, import_id, phase, **fields))
@@ -122,15 +119,15 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     answers = spark.createDataFrame([], "name STRING, answer STRING") if answers is None else answers.select("name", "answer").dropDuplicates(["name"])
     tell("status_change", one, 1, status="segmenting")
     every = files.count()
-    files = keep(files.groupBy("stem").agg(F.min_by(F.struct("filename", "text"), "filename").alias("f")).select("f.filename", "stem", "f.text"))
+    files = cut(files.groupBy("stem").agg(F.min_by(F.struct("filename", "text"), "filename").alias("f")).select("f.filename", "stem", "f.text"))
     buckets = sorted(r.b for r in files.select(schemas.bucket(F.col("stem")).alias("b")).distinct().collect())
     units = segment.segment_texts(files, "stem", "text", max_tokens)
     units = units.select(T.scene_id(F.col("id"), F.col("idx"), F.col("total")).alias("unit"), "id", "idx", "total", "chunk").join(files.select(F.col("stem").alias("id"), "filename"), "id")
-    units = keep(units)
+    units = cut(units)
     tell("file_segmented", units.where("idx = 0"), 2, file=F.col("filename"), total=F.col("total"))
     tell("status_change", one, 3, status="analyzing", total=units.count())
-    analyzed = keep(extract.analyze(units, "unit", "chunk", extractor))
-    good = keep(analyzed.where("error IS NULL").join(units.select(F.col("unit").alias("id"), F.col("id").alias("stem"), "idx", "chunk", "filename"), "id"))
+    analyzed = cut(extract.analyze(units, "unit", "chunk", extractor))
+    good = cut(analyzed.where("error IS NULL").join(units.select(F.col("unit").alias("id"), F.col("id").alias("stem"), "idx", "chunk", "filename"), "id"))
     tell("scene_error", analyzed.where("error IS NOT NULL"), 4, scene_id=F.col("id"), message=F.col("error"))
     tell("scene_analyzed", good, 4, scene_id=F.col("id"), file=F.col("filename"))
 
@@ -141,10 +138,10 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     is_group = F.col("character_type").eqNullSafe("group")
     said = answers.withColumnRenamed("name", "__said")
     with_answer = lambda df: df.join(said, F.col("name") == F.col("__said"), "left").drop("__said")
-    people = keep(with_answer(resolve.resolve_in_order(mentions.where(~is_group), store.read("characters"), "at", answers)))
-    groups = keep(resolve.resolve_groups(mentions.where(is_group), store.read("groups")))
+    people = cut(with_answer(resolve.resolve_in_order(mentions.where(~is_group), store.read("characters"), "at", answers)))
+    groups = cut(resolve.resolve_groups(mentions.where(is_group), store.read("groups")))
     located = good.where("location IS NOT NULL").select(F.col("id").alias("scene_id"), place_in_order, "location.name", "location.description")
-    places = keep(with_answer(resolve.resolve_in_order(located, store.read("locations"), "at", answers)))
+    places = cut(with_answer(resolve.resolve_in_order(located, store.read("locations"), "at", answers)))
     unclear = people.where("status = 'ambiguous'")
     tell("clarification_needed", unclear.where("answer IS NULL"), 6, scene_id=F.col("scene_id"), entity_id=F.col("entity_id"), message=F.concat_ws(" | ", "name", "entity_name", F.coalesce("context", T.excerpt(F.col("chunk"), F.col("name")))))
     for found in (people, places):
@@ -168,7 +165,7 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     put("locations", places.groupBy(F.col("entity_id").alias("id")).agg(F.min("entity_name").alias("name"), F.min("description").alias("description"), aliases), {"aliases": "union", "description": "fill"})
 
     # the files' earlier scenes go, with all that refers to them
-    scenes = keep(good.join(places.select(F.col("scene_id").alias("id"), F.col("entity_id").alias("location_id")), "id", "left").select(
+    scenes = cut(good.join(places.select(F.col("scene_id").alias("id"), F.col("entity_id").alias("location_id")), "id", "left").select(
         "id", "filename", "title", "summary", "era", F.coalesce("approximate_date", T.era_to_date(F.col("era"))).alias("date"), F.col("chunk").alias("raw_text"), "location_id"
     ))
     stems = files.select("stem")
@@ -193,13 +190,13 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     put("vectors", documents, overwrite("document", "embedding", "era", "location_id", "characters"))
 
     # beats with their people, relations and memberships
-    who = people.select("scene_id", T.normalize(F.col("name")).alias("norm"), "entity_id").groupBy("scene_id", "norm").agg(F.min("entity_id").alias("entity_id"))
-    beats = keep(good.where("beats IS NOT NULL").select(F.col("id").alias("scene_id"), F.posexplode("beats").alias("pos", "b")).select("scene_id", F.format_string("%s-beat-%d", "scene_id", F.col("pos")).alias("id"), "b.*").where("action IS NOT NULL"))
+    who = cut(people.select("scene_id", T.normalize(F.col("name")).alias("norm"), "entity_id").groupBy("scene_id", "norm").agg(F.min("entity_id").alias("entity_id")))
+    beats = cut(good.where("beats IS NOT NULL").select(F.col("id").alias("scene_id"), F.posexplode("beats").alias("pos", "b")).select("scene_id", F.format_string("%s-beat-%d", "scene_id", F.col("pos")).alias("id"), "b.*").where("action IS NOT NULL"))
     put("beats", beats.select("id", "scene_id", "action"), overwrite("action"))
     ends = beats.select("id", "scene_id", F.explode(F.create_map(F.lit("subject"), "subject", F.lit("object"), "object")).alias("kind", "name")).where("name IS NOT NULL").withColumn("norm", T.normalize(F.col("name")))
     put("beat_characters", ends.join(who, ["scene_id", "norm"]).select(F.col("id").alias("beat_id"), F.col("entity_id").alias("character_id"), "kind"), {})
     told = good.where("relations IS NOT NULL").select(F.col("id").alias("scene_id"), F.explode("relations").alias("r")).select("scene_id", "r.*").withColumn("norm", T.normalize(F.col("source"))).join(who, ["scene_id", "norm"])
-    targets = keep(resolve.relation_targets(told.join(era, "scene_id"), store.read("characters"), store.read("groups")))
+    targets = cut(resolve.relation_targets(told.join(era, "scene_id"), store.read("characters"), store.read("groups")))
     pairs = targets.where("kind = 'character' AND entity_id <> target_id AND relation_type IS NOT NULL").select(F.col("entity_id").alias("id_a"), F.col("target_id").alias("id_b"), "relation_type", "description", "era")
     fresh = merge.undirected_key(pairs, "id_a", "id_b").dropDuplicates(["id_a", "id_b", "relation_type"])
     judged = resolve.relation_duplicates(fresh.withColumn("relation", F.col("relation_type")), store.read("relations").withColumn("relation", F.col("relation_type")), ["id_a", "id_b"])
@@ -213,7 +210,7 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     dates = scenes.select("date").where("date IS NOT NULL").distinct()
     clash = checks.bilocalization(store.read("presence"), all_scenes.join(dates, "date", "left_semi"))
     twice = checks.with_names(clash, store.read("characters"), all_scenes, store.read("locations")).select(*render.bilocation_issue(F.col("scene_2"))).withColumn("resolved", F.lit(False))
-    found = keep(_issues("Character", people).unionByName(_issues("Location", places)).unionByName(twice).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
+    found = cut(_issues("Character", people).unionByName(_issues("Location", places)).unionByName(twice).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
     put("issues", found, overwrite("resolved", "description"))
     tell("issue_found", found, 11, scene_id=F.col("scene_id"), entity_id=F.col("entity_id"), message=F.col("description"))
     tell("check_complete", one, 12, status="checking")
@@ -221,15 +218,13 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     if profiler is not None:
         tell("status_change", one, 13, status="profiling")
         touched = people.select("entity_id").distinct()
-        profiles = keep(extract.profiles(people, scenes, beats, store.read("characters").join(touched, F.col("id") == F.col("entity_id"), "left_semi"), profiler))
+        profiles = cut(extract.profiles(people, scenes, beats, store.read("characters").join(touched, F.col("id") == F.col("entity_id"), "left_semi"), profiler))
         put("characters", profiles.where("error IS NULL").drop("error"), dict.fromkeys(extract.PROFILE, "append"))
         tell("character_profiled", profiles.where("error IS NULL"), 14, entity_id=F.col("id"))
         tell("profiling_error", profiles.where("error IS NOT NULL"), 14, entity_id=F.col("id"), message=F.col("error"))
 
     counts = {"scenes": scenes.count(), "failed": analyzed.where("error IS NOT NULL").count(), "issues": store.read("issues").count(), "skipped": every - files.count()}
     tell("done", one, 20, status="done", processed=counts["scenes"], total=counts["scenes"] + counts["failed"])
-    for df in cached:
-        df.unpersist()
     return counts
 
 
