@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import chat_format, decontaminate, exact_dedup, language_id, lm_scoring, sharding, simhash_dedup, source_mixing, token_binary, token_counts
+from plotweave.llm import centroids, chat_format, decontaminate, exact_dedup, language_id, lm_scoring, sharding, simhash_dedup, source_mixing, token_binary, token_counts
 from plotweave.llm.common import Scratch, crc_mod, read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -126,9 +126,40 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256.0, seed=2)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Rounds as a chain of common table expressions; integer division rounds down."""
+    out = [
+        f"""vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS c, q AS m FROM vectors QUALIFY c < {k})""",
+    ]
+    gap = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (q[i] - m[i]) * (q[i] - m[i])))"
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS (SELECT vec_id, q, min({{'d': d, 'c': c}}) AS best FROM (SELECT row, vec_id, q, c, {gap} AS d FROM (SELECT row_number() OVER () AS row, * FROM vectors), c{n}) GROUP BY row, vec_id, q)")
+        if n < rounds:
+            out.append(f"s{n} AS (SELECT best.c AS c, i, sum(q[i]) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, {dim + 1})) AS i) GROUP BY best.c, i)")
+            out.append(f"m{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{n} GROUP BY c)")
+            out.append(f"c{n + 1} AS (SELECT c, coalesce(m{n}.m, c{n}.m) AS m FROM c{n} LEFT JOIN m{n} USING (c))")
+    return (
+        "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, CAST(best.c AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = best.c"""
+    )
+
+
+OP13_SQL = _op13_sql()
+
 OPERATORS = (
     op1_token_binary, op2_decontaminate, op3_sharding, op4_exact_dedup, op5_chat_format,
     op6_source_mixing, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_dedup,
+    op13_centroids,
 )
 
 
@@ -137,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op13_centroids": OP13_SQL}
