@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import centroids, chat_format, decontaminate, exact_dedup, language_id, lm_scoring, sharding, simhash_dedup, source_mixing, token_binary, token_counts
+from plotweave.llm import centroids, chat_format, decontaminate, exact_dedup, language_id, lm_scoring, sharding, simhash_dedup, source_mixing, substring_dedup, token_binary, token_counts
 from plotweave.llm.common import Scratch, crc_mod, read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -126,6 +126,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), width=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH cut AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS doc, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc, i, array_to_string(words[i : i + 19], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - 18)) AS i FROM cut)),
+again AS (SELECT doc, i FROM windows QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc, i) > 1),
+gone AS (SELECT DISTINCT doc, unnest(range(i, i + 20)) AS w FROM again),
+stay AS (
+  SELECT doc, count(*) AS n, string_agg(word, ' ' ORDER BY w) AS kept
+  FROM (SELECT doc, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS w FROM cut) ANTI JOIN gone USING (doc, w) GROUP BY doc)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut LEFT JOIN stay USING (doc)
+"""
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256.0, seed=2)
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -159,7 +177,7 @@ OP13_SQL = _op13_sql()
 OPERATORS = (
     op1_token_binary, op2_decontaminate, op3_sharding, op4_exact_dedup, op5_chat_format,
     op6_source_mixing, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_dedup,
-    op13_centroids,
+    op12_substring_dedup, op13_centroids,
 )
 
 
@@ -168,4 +186,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op13_centroids": OP13_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op12_substring_dedup": OP12_SQL, "op13_centroids": OP13_SQL}
