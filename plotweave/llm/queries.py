@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import centroids, chat_format, decontaminate, exact_dedup, language_id, lm_scoring, sharding, simhash_dedup, source_mixing, substring_dedup, token_binary, token_counts
+from plotweave.llm import centroids, chat_format, conversation_repair, decontaminate, exact_dedup, language_id, lm_scoring, sharding, simhash_dedup, source_mixing, substring_dedup, token_binary, token_counts
 from plotweave.llm.common import Scratch, crc_mod, read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -126,6 +126,53 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 by its table, damage, faults, then the cheapest way to each state row by row; min compares (cost, letters).
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+named AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS key, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+marked AS (SELECT * EXCLUDE (bytes), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS kind FROM named, crc),
+damaged AS (
+  SELECT key, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM marked, (SELECT unnest([0, 1]) AS copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS n, count(*) OVER (PARTITION BY key) AS size FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY key ORDER BY n) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+-- states: 0 none, 1 system, 2 user, 3 assistant; inserts before an edit: from, to, letters, cost, rows
+inserts(a, b, li, ci, ri) AS (VALUES
+  (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 3, ['user:']), (1, 2, 'I', 3, ['user:']), (2, 3, 'I', 3, ['assistant:']), (3, 2, 'I', 3, ['user:']),
+  (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 3, 'II', 6, ['user:', 'assistant:']), (2, 2, 'II', 6, ['assistant:', 'user:']), (3, 3, 'II', 6, ['user:', 'assistant:'])),
+kept(b, initial, c) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits AS (
+  SELECT key, n, a, b AS c, li || 'D' AS letters, ci + 4 AS cost, ri AS said FROM judged, inserts
+  UNION ALL
+  SELECT key, n, a, c, li || 'K', ci + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, list_append(ri, role || ':' || text) FROM judged, inserts JOIN kept USING (b) WHERE fault IN ('', 'truncated') AND kept.initial = judged.initial
+  UNION ALL
+  SELECT key, n, a, CASE b WHEN 2 THEN 3 ELSE 2 END, li || 'R', ci + 3 + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, list_append(ri, CASE b WHEN 2 THEN 'assistant:' ELSE 'user:' END || text) FROM judged, inserts WHERE fault IN ('', 'truncated')),
+walk AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, 0 AS state, {'cost': 0, 'letters': '', 'said': CAST([] AS VARCHAR[])} AS best FROM judged
+  UNION ALL
+  SELECT key, edits.n, c, min({'cost': best.cost + edits.cost, 'letters': best.letters || edits.letters, 'said': list_concat(best.said, edits.said)}) FROM walk JOIN edits USING (key) WHERE edits.n = walk.n + 1 AND a = state GROUP BY key, edits.n, c),
+ended AS (
+  SELECT key, min({'cost': best.cost + ci, 'letters': best.letters || li, 'said': list_concat(best.said, ri)}) AS best
+  FROM walk JOIN (SELECT key, max(n) AS n FROM judged GROUP BY key) USING (key, n) JOIN inserts ON a = state WHERE b IN (0, 3) GROUP BY key),
+counted AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY key)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.letters, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT key, conv_id FROM named) LEFT JOIN counted USING (key) LEFT JOIN ended USING (key)
+"""
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), width=20)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -177,7 +224,7 @@ OP13_SQL = _op13_sql()
 OPERATORS = (
     op1_token_binary, op2_decontaminate, op3_sharding, op4_exact_dedup, op5_chat_format,
     op6_source_mixing, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_dedup,
-    op12_substring_dedup, op13_centroids,
+    op11_conversation_repair, op12_substring_dedup, op13_centroids,
 )
 
 
@@ -186,4 +233,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op12_substring_dedup": OP12_SQL, "op13_centroids": OP13_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op11_conversation_repair": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_centroids": OP13_SQL}
