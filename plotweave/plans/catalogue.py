@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.plans import checks, lookups, matching, streams, texts, writes
+from plotweave.plans import checks, lookups, matching, streams, temporal, texts, writes
 
-MODULES = (checks, lookups, writes, texts, matching, streams)
+MODULES = (checks, lookups, writes, texts, matching, streams, temporal)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
