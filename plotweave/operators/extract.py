@@ -61,6 +61,8 @@ def analyze(units: DataFrame, id_col: str, text_col: str, extractor: Extractor =
 
 # The fields of a profile that a profiler fills.
 PROFILE = ("age", "physical", "background", "arc", "traits")
+#: How a new profile changes the stored one: some fields are replaced where it has them, others told further.
+PROFILE_RULES = {"age": "patch", "physical": "patch", "background": "extend", "arc": "extend", "traits": "patch"}
 
 
 def apply_model(df: DataFrame, id_col: str, text_col: str, function: Callable[[str], dict], fields: str) -> DataFrame:

@@ -115,10 +115,10 @@ def paths_without(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     return out.select("src", "dst", "type")
 
 
-def found_or_names(found: DataFrame, known: DataFrame, what: str, asked: str, text: str = "text", at_most: int = 50) -> DataFrame:
-    """One row ``text``: the blocks of what was found, or that nothing was, with the first names that there are."""
+def found_or_names(found: DataFrame, known: DataFrame, what: str, asked: str, text: str = "text") -> DataFrame:
+    """One row ``text``: the blocks of what was found, or that nothing was, with all names that there are."""
     blocks = found.agg(F.array_join(F.sort_array(F.collect_list(text)), "\n\n").alias("text"), F.count("*").alias("n"))
-    names = known.select("name").distinct().orderBy("name").limit(at_most).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
+    names = known.select("name").distinct().agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
     missing = F.concat(F.lit(f'No {what} matches "{asked}". There are: '), F.when(F.col("names") == "", "none").otherwise(F.col("names")), F.lit("."))
     return blocks.join(names).select(F.when(F.col("n") > 0, F.col("text")).otherwise(missing).alias("text"))
 

@@ -1,7 +1,7 @@
 """Key-based upserts and deletes as DataFrame functions.
 
 ``upsert`` joins the present table with a batch of updates on its key; a rule for each column says what wins. Applying
-the same batch twice gives what applying it once does, except for ``append``.
+the same batch twice gives what applying it once does, except for ``append``; ``extend`` appends what is not there yet.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ RULES = {
     "overwrite": lambda old, new: new,
     "patch": lambda old, new: F.coalesce(T.null_if_blank(new), old),
     "append": lambda old, new: F.coalesce(F.concat(old, F.lit(". "), T.null_if_blank(new)), T.null_if_blank(new), old),
+    "extend": lambda old, new: F.when(F.contains(F.concat(F.lit(". "), old, F.lit(". ")), F.concat(F.lit(". "), new, F.lit(". "))), old).otherwise(RULES["append"](old, new)),
     "union": lambda old, new: F.when(new.isNull(), old).otherwise(F.array_union(F.coalesce(old, F.array().cast("array<string>")), new)),
 }
 

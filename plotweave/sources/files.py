@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +77,26 @@ def export_json(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def export_document(tables: dict[str, DataFrame], path: str) -> None:
-    """Write all tables as one JSON document: a line with the time (UTC), then a line for each row, under its table's name.
+    """Write one JSON document: ``exported_at`` (UTC), and an array of rows for each table.
 
-    Every part of the document is a JSON text, so it can be written and read in parallel; values that JSON has no form for are
-    written as text, nulls are kept.
+    It is the text of the part files in the order of their names (as ``getmerge`` or ``cat`` joins them), so all tasks write it. A row
+    that JSON has no form for in a column is written with the column's text; nulls are kept. Rows stand in the order of their JSON.
     """
-    out = None
-    for name, df in tables.items():
-        row = F.to_json(F.struct(F.lit(name).alias("table"), F.struct(*[F.col(c) for c in df.columns]).alias("row")), {"ignoreNullFields": "false"})
-        part = df.select(row.alias("value"))
-        out = part if out is None else out.unionByName(part)
     spark = next(iter(tables.values())).sparkSession
-    stamp = spark.range(1).select(F.to_json(F.struct(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("exported_at"))).alias("value"))
-    stamp.unionByName(out).write.mode("overwrite").text(path)
+    now = spark.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t")).first().t
+    out = spark.createDataFrame([(-1, 0, "", f'{{"exported_at": "{now}"'), (len(tables), 0, "", "}")], "at INT, part INT, row STRING, value STRING")
+    for n, (name, df) in enumerate(tables.items()):
+        row = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("row")
+        counted = df.select(row).groupBy("row").agg(F.count("*").alias("n"))
+        first = F.broadcast(counted.agg(F.min("row").alias("first")))  # one row
+        # the first row goes with the head, all others have a comma before them
+        left = counted.join(first).withColumn("n", F.col("n") - F.when(F.col("row") == F.col("first"), 1).otherwise(0)).where("n > 0")
+        rows = left.select(F.lit(n).alias("at"), F.lit(1).alias("part"), "row", F.concat(F.lit(", "), "row").alias("value"), F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+        head = first.select(F.lit(n).alias("at"), F.lit(0).alias("part"), F.lit("").alias("row"), F.concat(F.lit(f", {json.dumps(name)}: ["), F.coalesce("first", F.lit(""))).alias("value"))
+        foot = spark.createDataFrame([(n, 2, "", "]")], "at INT, part INT, row STRING, value STRING")
+        out = out.unionByName(head).unionByName(rows).unionByName(foot)
+    order = ("at", "part", "row")
+    out.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def to_sse(events: DataFrame, event: str = "event") -> DataFrame:

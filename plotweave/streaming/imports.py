@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,7 +96,7 @@ def import_batch(
     rewritten; all tables become visible together, and a second import meanwhile is refused (``store.Busy``).
 
     ``answers``: name, answer (link, new) to ambiguous names; without an answer a name is linked and an open warning left.
-    ``profiler`` makes profile fields from a person's new scenes, which fill and extend the stored profile. Units whose
+    ``profiler`` makes profile fields from a person's new scenes, which replace or extend the stored fields (``extract.PROFILE_RULES``). Units whose
     extraction fails are left out and counted; of files with one stem the one whose name comes first counts, the others
     are counted as ``skipped``. Progress goes to ``store.events()``.
     """
@@ -219,7 +220,7 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
         tell("status_change", one, 13, status="profiling")
         touched = people.select("entity_id").distinct()
         profiles = cut(extract.profiles(people, scenes, beats, store.read("characters").join(touched, F.col("id") == F.col("entity_id"), "left_semi"), profiler))
-        put("characters", profiles.where("error IS NULL").drop("error"), dict.fromkeys(extract.PROFILE, "append"))
+        put("characters", profiles.where("error IS NULL").drop("error"), extract.PROFILE_RULES)
         tell("character_profiled", profiles.where("error IS NULL"), 14, entity_id=F.col("id"))
         tell("profiling_error", profiles.where("error IS NOT NULL"), 14, entity_id=F.col("id"), message=F.col("error"))
 
@@ -228,10 +229,17 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     return counts
 
 
-def import_stream(store: Store, files: DataFrame, checkpoint: str, extractor: extract.Extractor = extract.by_rules, available_now: bool = True):
+def import_stream(store: Store, files: DataFrame, checkpoint: str, extractor: extract.Extractor = extract.by_rules, available_now: bool = True, answers=None, profiler: extract.Extractor | None = None):
     """Load files as they arrive, one micro-batch at a time; a batch that is repeated after a failure changes nothing more.
 
-    The checkpoint belongs to one running import: Spark refuses a second query on it.
+    The checkpoint belongs to one running import: Spark refuses a second query on it. Imports are named by checkpoint and
+    batch, so those of another checkpoint are told apart. ``answers`` is a function without arguments that gives the answers
+    (name, answer) there are when a batch begins; ``profiler`` is that of ``import_batch``.
     """
-    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: import_batch(store, batch, extractor, import_id=f"batch-{n}"))
+    own = f"{zlib.crc32(checkpoint.encode()):08x}"
+
+    def load(batch: DataFrame, n: int) -> None:
+        import_batch(store, batch, extractor, answers=answers() if answers else None, import_id=f"{own}-batch-{n}", profiler=profiler)
+
+    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()

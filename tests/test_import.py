@@ -212,7 +212,10 @@ def test_import_resolves_asks_and_writes_all_tables(spark, tmp_path):
     assert (state.status, state.processed, state.total, state.ended) == ("done", 2, 3, True)
     # the second file again, with an answer to the name; the first file's tables stay as they were
     answers = spark.createDataFrame([("Voss", "link")], "name STRING, answer STRING")
-    imports.import_batch(store, batch(("2.txt", "2", "two")), told, answers=answers)
+    older = lambda prompt: profiler(prompt) | {"age": "31", "traits": "calm"}
+    imports.import_batch(store, batch(("2.txt", "2", "two")), told, answers=answers, profiler=older)
+    # the same background is not told twice
+    assert {(r.age, r.background, r.traits) for r in store.read("characters").where("id = 'karl-anders'").collect()} == {("31", "Person: Karl Anders", "calm")}
     assert {r.id: r.aliases for r in store.read("characters").collect()}["lena-voss"] == ["Voss"]
     assert {r.id for r in store.read("locations").collect()} == {"old-lighthouse"}
     assert store.read("scenes").count() == 2 and store.read("presence").count() == 3
@@ -249,9 +252,11 @@ def test_files_reports_and_messages(spark, tmp_path):
     assert [r.filename for r in files.accept(upload).collect()] == ["b.TXT"]
     with pytest.raises(files.NoScenes):
         files.accept(upload.limit(0))
-    files.export_document({"a": spark.createDataFrame([(1, None)], "x INT, y STRING"), "b": spark.createDataFrame([("z",)], "y STRING")}, "file://" + str(tmp_path / "out"))
-    lines = [json.loads(r.value) for r in spark.read.text("file://" + str(tmp_path / "out")).collect()]
-    assert {"table": "a", "row": {"x": 1, "y": None}} in lines and sum("exported_at" in x for x in lines) == 1 and len(lines) == 3
+    tables = {"a": spark.createDataFrame([(1, None), (2, 'q"\n'), (1, None), (1, None)], "x INT, y STRING"), "b": spark.createDataFrame([("z",)], "y STRING"), "none": spark.createDataFrame([], "y STRING")}
+    files.export_document(tables, "file://" + str(tmp_path / "out"))
+    document = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))
+    assert document.pop("exported_at").endswith("Z")
+    assert document == {"a": [{"x": 1, "y": None}] * 3 + [{"x": 2, "y": 'q"\n'}], "b": [{"y": "z"}], "none": []}
     report = files.markdown_reports(spark.createDataFrame([("s", "c", True, 0.5, 1.25, None)], "suite STRING, case_name STRING, passed BOOLEAN, score DOUBLE, duration_s DOUBLE, detail STRING")).first().report
     assert report.startswith("# c\n") and "- result: passed" in report and "- score: 0.50" in report
     events = spark.createDataFrame([("i", 1, "done", "done", None, None, None, 2, 2, None)], imports.EVENTS)

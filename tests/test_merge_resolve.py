@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotweave.functions import similarity as S
+from plotweave.operators import extract
 from plotweave.operators import merge as M
 from plotweave.operators import resolve as E
 
@@ -47,6 +48,17 @@ def test_append_joins_and_partial_batches(spark):
     assert by_id(M.upsert(old, new.select("id", "note"), ["id"], {"note": "overwrite"}))[1] == ("a", None, "more", ["x"])
 
 
+def test_extend_and_profile_rules(spark):
+    old = spark.createDataFrame([(1, "30", "born. raised", None)], "id INT, age STRING, background STRING, arc STRING")
+    new = lambda *r: spark.createDataFrame([(1, *r)], "id INT, age STRING, background STRING, arc STRING")
+    rules = {k: v for k, v in extract.PROFILE_RULES.items() if k in old.columns}
+    one = M.upsert(old, new("31", "taught", "falls"), ["id"], rules)
+    assert tuple(one.first()) == (1, "31", "born. raised. taught", "falls")
+    assert tuple(M.upsert(one, new("31", "taught", "falls"), ["id"], rules).first()) == tuple(one.first())
+    assert tuple(M.upsert(one, new(" ", "raised", ""), ["id"], rules).first()) == tuple(one.first())
+    assert tuple(M.upsert(one, new(None, "taug", None), ["id"], rules).first())[2] == "born. raised. taught. taug"
+
+
 def test_overwrite_present_and_deletes(spark):
     changes = spark.createDataFrame([(1, {"era": None, "name": "z"}), (9, {"name": "q"})], "id INT, changes MAP<STRING, STRING>")
     out = by_id(M.overwrite_present(table(spark, OLD), changes, "id", ["name", "era"]))
