@@ -29,6 +29,15 @@ def _mentions(s):
     return s.table("customer").select(key.alias("mention"), F.when(key % 3 == 0, F.concat(F.lit("SUPPLIER#"), F.lpad((key % 150).cast("string"), 9, "0"))).when(key % 3 == 1, F.concat(F.lit("s-"), (key % 150).cast("string"))).otherwise(wrong).alias("name"))
 
 
+def _in_order(s):
+    """Part names as mentions, in 25 stories by brand, in the order of their keys; suppliers are the story's known people."""
+    story = lambda c: F.concat(F.lit("Brand#"), F.floor(c / 5 % 5 + 1).cast("string"), (c % 5 + 1).cast("string"))
+    mentions = s.table("part").select(F.col("p_brand").alias("story"), F.col("p_partkey").alias("at"), F.col("p_name").alias("name"))
+    registry = _registry(s).select(story(F.col("id")).alias("story"), F.col("id").cast("string").alias("id"), "name", "aliases")
+    answers = s.table("part").select(F.col("p_name").alias("name"), F.when(F.crc32(F.col("p_name").cast("binary")) % 3 == 0, "new").when(F.crc32(F.col("p_name").cast("binary")) % 3 == 1, "link").alias("answer")).where("answer IS NOT NULL").distinct()
+    return mentions, registry, answers
+
+
 def _relations(s):
     """Part names as relations; 40 parts with successive keys are a pair's, so pairs grow with the table."""
     return s.table("part").select(F.floor(F.col("p_partkey") / 40).alias("pair"), F.col("p_name").alias("relation"), "p_partkey", "p_brand")
@@ -62,6 +71,10 @@ PLANS = {
         SQL + ", m AS (SELECT c_custkey AS mention, CASE WHEN c_custkey % 3 = 0 THEN 'supplier#' || lpad(CAST(c_custkey % 150 AS VARCHAR), 9, '0') ELSE 's-' || c_custkey % 150 END AS norm FROM customer WHERE c_custkey % 3 <> 2), n AS (SELECT lower(name) AS norm, false AS al, id FROM characters UNION ALL SELECT lower(unnest(aliases)), true, id FROM characters) SELECT mention, 'exact' AS status, CAST(arg_min(id, (al, id)) AS VARCHAR) AS entity_id FROM m JOIN n USING (norm) GROUP BY mention",
     ),
     "fuzzy_resolution": (_story(lambda s: E.resolve(_mentions(s), _registry(s)).select("mention", "status", "entity_id", "entity_name", F.round("score", 4).alias("score"))), None),
+    "resolution_in_order": (
+        _story(lambda s: E.resolve_in_order(*_in_order(s)[:2], "at", _in_order(s)[2], scope="story").select("story", F.col("at").alias("mention"), "status", "entity_id", "entity_name", F.round("score", 4).alias("score"), "told_apart")),
+        None,
+    ),
     "group_resolution": (
         _story(lambda s: E.resolve_groups(s.table("nation").select(F.col("n_nationkey").alias("mention"), F.when(F.col("n_nationkey") < 5, F.element_at(F.array(*[F.lit(x) for x in ("africa", "Ásia", "EUROPE", "Nowhere Land", "AMERICA ")]), F.col("n_nationkey") + 1)).otherwise(F.col("n_name")).alias("name")), s.groups())),
         SQL + ", m AS (SELECT n_nationkey AS mention, CASE WHEN n_nationkey < 5 THEN (['africa', 'Ásia', 'EUROPE', 'Nowhere Land', 'AMERICA '])[n_nationkey + 1] ELSE n_name END AS name FROM nation) SELECT mention, m.name, coalesce(CAST(g.id AS VARCHAR), trim(regexp_replace(lower(strip_accents(m.name)), '[^a-z0-9]+', '-', 'g'), '-')) AS group_id, g.id IS NULL AS is_new FROM m LEFT JOIN groups g ON lower(g.name) = trim(lower(strip_accents(m.name)))",
