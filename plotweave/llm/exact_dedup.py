@@ -4,8 +4,9 @@ Rows are dealt to memtables of bounded size. A memtable is flushed as a run: its
 smallest and largest id and its row count, in Parquet files with a Bloom filter on the digest. Compaction merges
 ``FAN_IN`` runs into one, level by level, until one run is left. A filter over its repeated digests is probed by every
 row: one that it does not hold is its own group, without a join. A filter over the ids of the hits picks the rows whose
-texts are worth moving; those are stored once and compared byte for byte with the text of the row that stays. Texts
-whose digests agree but whose bytes do not are regrouped by their bytes. Filters have ``FILTER_LOAD`` bits a value; where
+texts are worth moving; those are compared byte for byte, as the set of texts of a digest, which has one member unless
+digests collide; equal texts of a task move as one, so a hot group is no hot task. Texts whose digests agree but whose
+bytes do not are regrouped by their bytes. Filters have ``FILTER_LOAD`` bits a value; where
 that is more than ``FILTER_BYTES``, joins take their place.
 """
 
@@ -24,8 +25,6 @@ MEMTABLE_ROWS = 1 << 15
 FAN_IN = 16
 #: Bits of a filter for each value in it, and the size up to which it is broadcast.
 FILTER_LOAD, FILTER_BYTES = 16, 1 << 25
-#: Copies of a text that one task compares with it.
-SALT_ROWS = 512
 
 _BUCKET_BITS = 1 << 15  # of Spark's bitmap functions
 
@@ -119,33 +118,27 @@ def find_copies(
     digests, hit_rows = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     # every row's group; what the filter of the repeated digests does not hold needs no join
+    alone, rest = None, entries
     if Filter.fits(digests):
         probed = Filter(repeated, "digest", digests, scratch, "digest-filter").probe(entries, "digest")
-        alone, rest = probed.where("NOT __maybe").drop("__maybe"), probed.where("__maybe").drop("__maybe")
-        groups = alone.select("id", "digest", F.col("id").alias("keep_id"), F.lit(None).cast("long").alias("n")).unionByName(join_hot(rest, repeated, "digest", total, "left").select("id", "digest", "keep_id", "n"))
-    else:
-        groups = join_hot(entries, repeated, "digest", total, "left")
+        alone, rest = probed.where("NOT __maybe").select("id", "digest", F.col("id").alias("keep_id"), F.lit(None).cast("long").alias("n")), probed.where("__maybe").drop("__maybe")
+    found = scratch.save(join_hot(rest, repeated, "digest", total, "left").select("id", "digest", "keep_id", "n"), "found")
+    groups = found if alone is None else alone.unionByName(found)
     groups = groups.select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), "digest")
 
-    # byte verification of the hits; only their texts are normalised again and moved
-    ids = entries.join(repeated, "digest", "left_semi").select("id")
+    # byte verification of the hits: their texts move once, and equal ones of a task together
+    ids = found.where("n IS NOT NULL").select("id")
     raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"))
     if Filter.fits(hit_rows):
         raw = Filter(ids, "id", hit_rows, scratch, "id-filter").probe(raw, "id").where("__maybe")
     else:
         raw = raw.join(ids.distinct().withColumnRenamed("id", "hit"), F.col("id").eqNullSafe(F.col("hit")), "left_semi")
-    hits = raw.select("id", normal(F.col("raw")).alias("text"))
-    hits = scratch.save(hits.withColumn("digest", digest(F.col("text"))), "hits")
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    kept_text = hits.join(repeated, ["digest"]).where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("kept_text"), F.max("n").alias("n"))
-    stays = scratch.save(kept_text, "stays")
-    salted = stays.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    dealt = join_hot(hits, repeated, "digest", total).select("digest", "text", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    differ = scratch.save(dealt.join(salted, ["digest", "salt"]).where("text <> kept_text").select("digest").distinct(), "differ")
+    hits = raw.select(normal(F.col("raw")).alias("text")).select(digest(F.col("text")).alias("digest"), "text")
+    kinds = hits.groupBy("digest").agg(F.size(F.collect_set("text")).alias("kinds"))
+    differ = scratch.save(kinds.where("kinds > 1").select("digest"), "differ")
 
     if not differ.isEmpty():  # digests that stand for several texts: group their rows by the texts
         several = texts.withColumn("digest", digest(F.col("text"))).join(differ, "digest", "left_semi")
         exact = several.groupBy("digest", "text").agg((F.min if keep == "smallest" else F.max)("id").alias("keep_id"), F.count("*").alias("group_size"))
         groups = groups.join(differ, "digest", "left_anti").unionByName(several.join(exact, ["digest", "text"]).select("id", "keep_id", "group_size", "digest"))
-    scratch.drop("hits", "stays")
     return groups.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")

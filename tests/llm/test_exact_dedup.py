@@ -31,7 +31,6 @@ IDS = [*range(len(TEXTS) - 2), None, 3]
 @pytest.mark.parametrize("weak", [False, True])
 def test_same_as_brute_force(spark, monkeypatch, keep, weak):
     """With a weak digest different texts share digests, and only the comparison of bytes keeps them apart."""
-    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 4)
     monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
     digest = (lambda c: F.unhex(F.lpad(F.hex(F.length(c) % 2), 2, "0"))) if weak else exact_dedup.sha256
     docs = documents(spark, TEXTS, ids=IDS, extra=("digest", "kept"))
