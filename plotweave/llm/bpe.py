@@ -286,7 +286,7 @@ class Encoder:
     @staticmethod
     def _distinct(text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One place of each distinct pre-token, and which of them each pre-token is; hashes find them, code points decide."""
-        _, first, back = np.unique(ragged.hashes(points, starts, ends), return_index=True, return_inverse=True)
+        _, first, back = np.unique(ragged.marks(points, starts, ends), return_index=True, return_inverse=True)
         wrong = np.flatnonzero(~ragged.same(points, starts, ends, first[back])) if len(first) else first
         others: dict[str, int] = {}
         extra: list[int] = []
@@ -298,8 +298,8 @@ class Encoder:
             back[i] = others[x]
         return np.concatenate([first, np.array(extra, np.int64)]), back
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray):
-        """Tokens of each row; with ``keep_ids`` also all ids, row after row."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, ids_too: bool = True):
+        """Tokens of each row; with ``keep_ids`` and ``ids_too`` also all ids, row after row."""
         n = len(offsets) - 1
         text, seg_start, seg_end, seg_row, seg_after = self.split(data, offsets)
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -320,7 +320,7 @@ class Encoder:
         sums = np.concatenate([[0], np.cumsum(counts)])
         seg_tokens = sums[where[1:]] - sums[where[:-1]] + (seg_after >= 0)
         row_tokens = np.bincount(seg_row, weights=seg_tokens, minlength=n).astype(np.int64) if len(seg_row) else np.zeros(n, np.int64)
-        if not self.keep_ids:
+        if not (self.keep_ids and ids_too):
             return row_tokens, None
         total = int(sums[-1])
         ids = pool[np.repeat(begins[back] - sums[:-1], counts) + np.arange(total)] if total else np.zeros(0, np.int32)

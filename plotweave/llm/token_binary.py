@@ -92,7 +92,7 @@ def materialise(
         for batch in batches:
             data, offsets = ragged.utf8(batch.column(1))
             for a, b in ragged.blocks(offsets):
-                n += int(_cut(encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0], length).sum())
+                n += int(_cut(encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids_too=False)[0], length).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = {r.part: r.n for r in source.mapInArrow(count, "part int, n long").collect()}

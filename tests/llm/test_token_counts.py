@@ -76,7 +76,7 @@ def test_words_with_colliding_hashes(monkeypatch, remember):
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     for weak in (False, True):
         if weak:  # hashes that say nothing: the code points must decide
-            monkeypatch.setattr(ragged, "hashes", lambda values, starts, ends: (ends - starts).astype(np.uint64))
+            monkeypatch.setattr(ragged, "marks", lambda values, starts, ends: (ends - starts).astype(np.uint64))
         encoder = bpe.Encoder(bpe.load(queries.tokenizer_path()), keep_ids=True)
         for batch in ([" ".join(texts)], texts[::2], texts[1::2], texts):  # in one text, in one batch and across batches
             n, ids = encoder.encode(*ragged.utf8(pa.array(batch)))
@@ -105,3 +105,18 @@ def test_colliding_words_in_the_registered_query(spark, tmp_path):
     documents(spark, texts + awkward()).write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.op8_token_counts(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r.n_tokens for r in rows] == expected(texts + awkward())
+
+
+def test_marks_tell_slices_apart_and_long_ones_too(monkeypatch):
+    import numpy as np
+
+    from plotweave.llm import ragged
+
+    monkeypatch.setattr(ragged, "PIECE", 50)
+    monkeypatch.setattr(ragged, "_wrapping", [])
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 49, 50, 51, 200]))) for _ in range(400)] * 2
+    values = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) for w in words])
+    marks = ragged.marks(values, np.concatenate([[0], ends[:-1]]), ends).tolist()
+    assert len(set(zip(words, marks, strict=True))) == len(set(words)) == len(set(marks))
