@@ -25,9 +25,21 @@ def _log(s):
     )
 
 
+def _bodies(s):
+    return s.table("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(F.lit("event: "), x["role"], F.lit("\r\ndata: {\r\ndata: "), x["turn"].cast("string"), F.lit("}"))), "\r\n\r\n").alias("body"))
+
+
 def _sse(s):
-    text = s.table("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(F.lit("event: "), x["role"], F.lit("\r\ndata: {\r\ndata: "), x["turn"].cast("string"), F.lit("}"))), "\r\n\r\n").alias("body"))
-    return files.parse_sse(text, "conv_id", "body")
+    return files.parse_sse(_bodies(s), "conv_id", "body")
+
+
+def _sse_chunks(s):
+    """The same bodies, cut after every seventh character."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / 7).cast("int")), lambda i: F.substring("body", i * 7 + 1, F.lit(7)))
+    return files.parse_sse_chunks(_bodies(s).select("conv_id", F.posexplode(cut).alias("n", "chunk")), "conv_id", "n", "chunk")
+
+
+SSE_SQL = "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INTEGER) AS pos, role AS event, '{' || chr(10) || turn || '}' AS data FROM conversations"
 
 
 PLANS = {
@@ -37,5 +49,6 @@ PLANS = {
   arg_max(processed, seq) FILTER (processed IS NOT NULL) AS processed, arg_max(total, seq) AS total, arg_max(message, seq) FILTER (message IS NOT NULL) AS message,
   count(*) FILTER (event = 'scene_loaded') AS scenes_loaded, count(*) FILTER (event = 'issue_found') AS issues_found, count(*) FILTER (event = 'scene_error') AS scenes_failed, bool_or(event = 'done') AS ended FROM log GROUP BY import_id""",
     ),
-    "sse_messages": (_story(_sse), "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INTEGER) AS pos, role AS event, '{' || chr(10) || turn || '}' AS data FROM conversations"),
+    "sse_messages": (_story(_sse), SSE_SQL),
+    "sse_chunks": (_story(_sse_chunks), SSE_SQL),
 }

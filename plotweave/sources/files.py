@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from plotweave.sources import schemas
 
@@ -70,6 +74,53 @@ def parse_sse(text: DataFrame, key: str, value: str) -> DataFrame:
     return found.where(F.size("d") > 0).select(key, F.row_number().over(Window.partitionBy(key).orderBy("pos")).alias("pos"), "event", F.array_join("d", "\n").alias("data"))
 
 
+def parse_sse_chunks(chunks: DataFrame, key: str, order: str, chunk: str, last: str | None = None) -> DataFrame:
+    """The messages of event streams that arrive in chunks, cut anywhere: what ``parse_sse`` gives for the whole text.
+
+    ``order`` counts the chunks of a stream from 0. On a table, chunks are joined. On a stream of chunks, half-received lines and
+    messages wait in the state of their ``key``, as do chunks that are ahead of their turn; a chunk that comes again is left
+    out. ``last`` names a boolean column that marks the final chunk, which ends the last message; without it a
+    message is given when its blank line is there. A null chunk is empty. An ended stream leaves a number in the state, so repeats of it stay out.
+    """
+    if not chunks.isStreaming:
+        first = chunks.groupBy(key, order).agg(F.min(F.coalesce(chunk, F.lit(""))).alias("chunk"))
+        parts = F.array_sort(F.collect_list(F.struct(order, "chunk")))
+        return parse_sse(first.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["chunk"]), "").alias("body")), key, "body")
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turn, pos, rest, ahead = state.get if state.exists else (0, 0, "", "{}")
+        waiting = {int(n): x for n, x in json.loads(ahead).items()}
+        for frame in frames:
+            for n, text, end in zip(frame["n"], frame["chunk"], frame["last"], strict=True):
+                if n >= turn:
+                    waiting.setdefault(int(n), (text or "", bool(end)))
+        ended = False
+        while turn in waiting and not ended:
+            text, ended = waiting.pop(turn)
+            rest, turn = rest + text, turn + 1
+        # a carriage return at the end may be half of a line end
+        held = "\r" if rest.endswith("\r") and not ended else ""
+        text = re.sub("\r\n?", "\n", rest[: len(rest) - len(held)])
+        whole, gap, tail = (text, "", "") if ended else text.rpartition("\n\n")
+        found = []
+        for message in re.split("\n\n+", whole):
+            lines = [line.partition(":") for line in message.split("\n")]
+            data = [value.removeprefix(" ") for name, colon, value in lines if colon and name == "data"]
+            if data:
+                pos += 1
+                found.append((of[0], pos, next((v.removeprefix(" ") for name, colon, v in lines if colon and name == "event"), "message"), "\n".join(data)))
+        if found:
+            yield pd.DataFrame(found, columns=[key, "pos", "event", "data"])
+        if ended:  # what comes again later is not taken for a new stream
+            turn, tail, held, waiting = 1 << 62, "", "", {}
+        state.update((turn, pos, tail + held, json.dumps(waiting)))
+
+    end = F.coalesce(F.col(last), F.lit(False)) if last else F.lit(False)
+    source = chunks.select(key, F.col(order).cast("long").alias("n"), F.col(chunk).alias("chunk"), end.alias("last"))
+    return source.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, pos INT, event STRING, data STRING", "turn LONG, pos INT, rest STRING, ahead STRING", "append", "NoTimeout")
+
+
 def export_json(tables: dict[str, DataFrame], path: str) -> None:
     """Write each table as a folder of JSON lines under ``path``, nulls included; nothing is gathered in one place."""
     for name, df in tables.items():
