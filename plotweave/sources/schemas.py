@@ -23,21 +23,30 @@ TABLES = {
     "participants": "character_id STRING, event_id STRING, role STRING",
     "beat_characters": "beat_id STRING, character_id STRING, kind STRING",
     "next_chunks": "from_id STRING, to_id STRING",
+    "relation_scenes": "id_a STRING, id_b STRING, relation_type STRING, scene_id STRING",
+    "member_scenes": "character_id STRING, group_id STRING, scene_id STRING",
+    "analyses": "id STRING, stem STRING, idx INT, analysis STRING",
     "vectors": "id STRING, document STRING, embedding ARRAY<FLOAT>, era STRING, location_id STRING, characters ARRAY<STRING>",
 }
 KEYS = {
     "presence": ["character_id", "scene_id"], "group_presence": ["group_id", "scene_id"], "relations": ["id_a", "id_b", "relation_type"], "members": ["character_id", "group_id"],
     "event_locations": ["event_id", "location_id"], "event_scenes": ["event_id", "scene_id"], "participants": ["character_id", "event_id"],
     "beat_characters": ["beat_id", "character_id", "kind"], "next_chunks": ["from_id"],
+    "relation_scenes": ["id_a", "id_b", "relation_type", "scene_id"],
+    "member_scenes": ["character_id", "group_id", "scene_id"],
 }
 
 #: Tables in buckets by the file of their scene: the column that holds an id of it.
 BUCKETED = {
     "scenes": "id", "events": "id", "beats": "id", "presence": "scene_id", "group_presence": "scene_id", "event_locations": "event_id", "event_scenes": "event_id",
     "participants": "event_id", "beat_characters": "beat_id", "next_chunks": "from_id", "vectors": "id",
+    "relation_scenes": "scene_id", "member_scenes": "scene_id", "analyses": "id",
 }
 BUCKETS = 16
 
+#: Edges that no scene's key holds, and the tables that say which scenes tell them.
+TOLD_BY = {"relations": "relation_scenes", "members": "member_scenes"}
+
 EVENTS = "import_id STRING, seq BIGINT, event STRING, status STRING, file STRING, scene_id STRING, entity_id STRING, processed INT, total INT, message STRING"
 ENTITY = "STRUCT<name: STRING, role: STRING, description: STRING, context: STRING, character_type: STRING>"
 BEAT = "STRUCT<action: STRING, subject: STRING, object: STRING>"

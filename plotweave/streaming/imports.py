@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from plotweave.functions import text as T
 from plotweave.functions.lineage import cut
 from plotweave.operators import checks, extract, merge, render, resolve, search, segment
 from plotweave.sources import schemas
-from plotweave.sources.store import Store
+from plotweave.sources.store import Busy, Store
 
 # States of an import and the seconds that a clarification waits.
 FINAL = ("done", "error")
@@ -21,6 +22,9 @@ WAIT_SECONDS = 30
 
 EVENTS = schemas.EVENTS
 
+# What the analysis of a scene gives.
+ANALYSED = ("title", "summary", "era", "approximate_date", "characters", "location", "mood", "beats", "relations")
+
 
 def fold_progress(events: DataFrame) -> DataFrame:
     """Per import the last value of each field that is not null, counts by kind, and whether it ended.
@@ -86,6 +90,13 @@ def _issues(of: str, resolved: DataFrame) -> DataFrame:
     )
 
 
+def _clashes(store: Store, dates: DataFrame) -> DataFrame:
+    """Issues of people in two places on one of the dates."""
+    scenes = store.read("scenes").select(F.col("id").alias("scene_id"), "date", "location_id", "title")
+    clash = checks.bilocalization(store.read("presence"), scenes.join(dates, "date", "left_semi"))
+    return checks.with_names(clash, store.read("characters"), scenes, store.read("locations")).select(*render.bilocation_issue(F.col("scene_2"))).withColumn("resolved", F.lit(False))
+
+
 def import_batch(
     store: Store, files: DataFrame, extractor: extract.Extractor = extract.by_rules, max_tokens: int = segment.MAX_TOKENS, answers: DataFrame | None = None, import_id: str = "import", profiler: extract.Extractor | None = None
 ) -> dict[str, int]:
@@ -131,6 +142,18 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     good = cut(analyzed.where("error IS NULL").join(units.select(F.col("unit").alias("id"), F.col("id").alias("stem"), "idx", "chunk", "filename"), "id"))
     tell("scene_error", analyzed.where("error IS NOT NULL"), 4, scene_id=F.col("id"), message=F.col("error"))
     tell("scene_analyzed", good, 4, scene_id=F.col("id"), file=F.col("filename"))
+    counts = _settle(store, good, files.select("stem"), buckets, answers, import_id, profiler)
+    counts |= {"failed": analyzed.where("error IS NOT NULL").count(), "skipped": every - files.count()}
+    tell("done", one, 20, status="done", processed=counts["scenes"], total=counts["scenes"] + counts["failed"])
+    return counts
+
+
+def _settle(store: Store, good: DataFrame, stems: DataFrame, buckets: list[int], answers: DataFrame, import_id: str, profiler: extract.Extractor | None) -> dict[str, int]:
+    """Resolve analysed scenes (id, stem, idx, chunk, filename, analysis) of whole files and put them in the place of the files' scenes."""
+    one = store.spark.range(1)
+
+    def tell(kind: str, rows: DataFrame, phase: int, **fields) -> None:
+        store.append_events(_event(kind, rows, import_id, phase, **fields))
 
     # who and where, in the order of the scenes
     tell("status_change", one, 5, status="resolving")
@@ -169,7 +192,6 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     scenes = cut(good.join(places.select(F.col("scene_id").alias("id"), F.col("entity_id").alias("location_id")), "id", "left").select(
         "id", "filename", "title", "summary", "era", F.coalesce("approximate_date", T.era_to_date(F.col("era"))).alias("date"), F.col("chunk").alias("raw_text"), "location_id"
     ))
-    stems = files.select("stem")
     for table, column in schemas.BUCKETED.items():
         present = store.read(table, buckets)
         store.write(table, present.withColumn("stem", schemas.stem_of(F.col(column))).join(stems, "stem", "left_anti"), buckets)
@@ -188,6 +210,8 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     put("participants", people.select(F.col("entity_id").alias("character_id"), F.concat(F.lit("evt-"), F.col("scene_id")).alias("event_id"), "role", "at"), overwrite("role"))
     cast = people.groupBy(F.col("scene_id").alias("id")).agg(F.sort_array(F.collect_set("entity_id")).alias("characters"))
     documents = scenes.join(cast, "id", "left").select("id", F.col("raw_text").alias("document"), search.embed(F.col("raw_text")).alias("embedding"), "era", "location_id", F.coalesce("characters", F.array().cast("array<string>")).alias("characters"))
+    analysis = F.to_json(F.struct(*ANALYSED)).alias("analysis")
+    put("analyses", good.select("id", "stem", "idx", analysis), overwrite("analysis"))
     put("vectors", documents, overwrite("document", "embedding", "era", "location_id", "characters"))
 
     # beats with their people, relations and memberships
@@ -198,19 +222,23 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
     put("beat_characters", ends.join(who, ["scene_id", "norm"]).select(F.col("id").alias("beat_id"), F.col("entity_id").alias("character_id"), "kind"), {})
     told = good.where("relations IS NOT NULL").select(F.col("id").alias("scene_id"), F.explode("relations").alias("r")).select("scene_id", "r.*").withColumn("norm", T.normalize(F.col("source"))).join(who, ["scene_id", "norm"])
     targets = cut(resolve.relation_targets(told.join(era, "scene_id"), store.read("characters"), store.read("groups")))
-    pairs = targets.where("kind = 'character' AND entity_id <> target_id AND relation_type IS NOT NULL").select(F.col("entity_id").alias("id_a"), F.col("target_id").alias("id_b"), "relation_type", "description", "era")
-    fresh = merge.undirected_key(pairs, "id_a", "id_b").dropDuplicates(["id_a", "id_b", "relation_type"])
-    judged = resolve.relation_duplicates(fresh.withColumn("relation", F.col("relation_type")), store.read("relations").withColumn("relation", F.col("relation_type")), ["id_a", "id_b"])
+    pairs = targets.where("kind = 'character' AND entity_id <> target_id AND relation_type IS NOT NULL").select(F.col("entity_id").alias("id_a"), F.col("target_id").alias("id_b"), "relation_type", "description", "era", "scene_id")
+    pairs = cut(merge.undirected_key(pairs, "id_a", "id_b"))
+    fresh = pairs.drop("scene_id").dropDuplicates(["id_a", "id_b", "relation_type"])
+    judged = cut(resolve.relation_duplicates(fresh.withColumn("relation", F.col("relation_type")), store.read("relations").withColumn("relation", F.col("relation_type")), ["id_a", "id_b"]))
     put("relations", judged.where("band <> 'duplicate' OR best = relation_type"), {"description": "fill", "era": "fill"})
-    put("members", targets.where("kind = 'group'").select(F.col("entity_id").alias("character_id"), F.col("target_id").alias("group_id")), {})
+    stands_for = judged.select("id_a", "id_b", "relation_type", F.when(F.col("band") == "duplicate", F.col("best")).otherwise(F.col("relation_type")).alias("stored"))
+    told_by = pairs.join(stands_for, ["id_a", "id_b", "relation_type"]).select("id_a", "id_b", F.col("stored").alias("relation_type"), "scene_id").distinct()
+    put("relation_scenes", told_by, {})
+    joined = targets.where("kind = 'group'").select(F.col("entity_id").alias("character_id"), F.col("target_id").alias("group_id"), "scene_id").distinct()
+    put("members", joined.drop("scene_id"), {})
+    put("member_scenes", joined, {})
     tell("scene_loaded", scenes, 9, scene_id=F.col("id"), file=F.col("filename"))
 
     # issues: of ambiguous names, and people in two places on a date that this batch touches
     tell("check_started", one, 10, status="checking")
-    all_scenes = store.read("scenes").select(F.col("id").alias("scene_id"), "date", "location_id", "title")
     dates = scenes.select("date").where("date IS NOT NULL").distinct()
-    clash = checks.bilocalization(store.read("presence"), all_scenes.join(dates, "date", "left_semi"))
-    twice = checks.with_names(clash, store.read("characters"), all_scenes, store.read("locations")).select(*render.bilocation_issue(F.col("scene_2"))).withColumn("resolved", F.lit(False))
+    twice = _clashes(store, dates)
     found = cut(_issues("Character", people).unionByName(_issues("Location", places)).unionByName(twice).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
     put("issues", found, overwrite("resolved", "description"))
     tell("issue_found", found, 11, scene_id=F.col("scene_id"), entity_id=F.col("entity_id"), message=F.col("description"))
@@ -224,9 +252,77 @@ def _load(store: Store, files: DataFrame, extractor: extract.Extractor, max_toke
         tell("character_profiled", profiles.where("error IS NULL"), 14, entity_id=F.col("id"))
         tell("profiling_error", profiles.where("error IS NOT NULL"), 14, entity_id=F.col("id"), message=F.col("error"))
 
-    counts = {"scenes": scenes.count(), "failed": analyzed.where("error IS NOT NULL").count(), "issues": store.read("issues").count(), "skipped": every - files.count()}
-    tell("done", one, 20, status="done", processed=counts["scenes"], total=counts["scenes"] + counts["failed"])
-    return counts
+    return {"scenes": scenes.count(), "issues": store.read("issues").count()}
+
+
+def late_answers(store: Store, answers: DataFrame, import_id: str = "answers", profiler: extract.Extractor | None = None) -> dict[str, int]:
+    """Apply answers (name, answer: link or new) to names that were linked with an open warning; gives the counts of what changed.
+
+    The files with such a warning are resolved again from their stored analyses, with the answers; no model is asked. ``new``
+    gives the name an entity of its own, whose scenes, events and beats are taken from the entity it was linked to; relations,
+    memberships and clashes that follow from those files only go with them. ``link`` makes the name an alias. Both close the
+    warnings. The store is then what it would be with the answers given before the load, but for names that other
+    scenes have brought since: those known by now are known to the files, and what other files have decided stays.
+    Answers to names without an open warning, timeouts and other texts change nothing, so applying answers twice is applying them once;
+    of several answers to one name the first in the order of the letters counts. A null name or answer is none.
+    """
+    given = answers.where("answer IN ('link', 'new') AND name IS NOT NULL").groupBy("name").agg(F.min("answer").alias("answer"))
+    with store.lock(), store.transaction():
+        given = cut(given)
+        waiting = store.read("issues").where("type = 'duplicate_suspect' AND severity = 'warning' AND NOT resolved")
+        said = given.withColumn("slug", T.slugify(F.col("name")))
+        asked = waiting.join(said, F.col("id") == F.concat(F.lit("dup-"), "scene_id", F.lit("-"), "slug"))
+        stems = cut(asked.select(schemas.stem_of(F.col("scene_id")).alias("stem")).distinct())
+        buckets = sorted(r.b for r in stems.select(schemas.bucket(F.col("stem")).alias("b")).distinct().collect())
+        if not buckets:
+            return {"scenes": 0, "edges_gone": 0, "issues_gone": 0}
+        texts = store.read("scenes", buckets).select("id", "filename", F.col("raw_text").alias("chunk"))
+        held = store.read("analyses", buckets).join(stems, "stem", "left_semi").join(texts, "id")
+        good = cut(held.select("id", "stem", "idx", "chunk", "filename", F.from_json("analysis", schemas.ANALYSIS).alias("a")).select("id", "stem", "idx", "chunk", "filename", "a.*"))
+        ours = lambda table: store.read(table, buckets).join(stems, schemas.stem_of(F.col("scene_id")) == F.col("stem"), "left_semi")
+        dates = cut(store.read("scenes", buckets).join(good.select("id"), "id", "left_semi").select("date").where("date IS NOT NULL").distinct())
+        told = {edges: cut(ours(by).select(*schemas.key_of(edges)).distinct()) for edges, by in schemas.TOLD_BY.items()}
+        clashes = cut(_clashes(store, dates).select("id"))
+        counts = _settle(store, good, stems, buckets, given, import_id, profiler)
+        gone = 0
+        for edges, by in schemas.TOLD_BY.items():
+            key = schemas.key_of(edges)
+            untold = cut(told[edges].join(store.read(by), key, "left_anti"))
+            gone += untold.count()
+            store.write(edges, merge.delete_where(store.read(edges), untold, key))
+        solved = cut(clashes.join(_clashes(store, dates).select("id"), "id", "left_anti"))
+        store.write("issues", merge.delete_where(store.read("issues"), solved, ["id"]))
+        store.append_events(_event("done", store.spark.range(1), import_id, 20, status="done", processed=counts["scenes"], total=counts["scenes"]))
+        return {"scenes": counts["scenes"], "edges_gone": gone, "issues_gone": solved.count()}
+
+
+def requests(events: DataFrame) -> DataFrame:
+    """``clarification_id, kind, answer``: the questions of an event log or stream as rows for ``clarifications``, by name."""
+    asked = events.where("event = 'clarification_needed' AND message IS NOT NULL")
+    return asked.select(F.element_at(F.split("message", r" \| "), 1).alias("clarification_id"), F.lit("request").alias("kind"), F.lit(None).cast("string").alias("answer"))
+
+
+def apply_outcomes(store: Store, outcomes: DataFrame, checkpoint: str, available_now: bool = True, patience: float = WAIT_SECONDS):
+    """Follow a stream of outcomes (``clarification_id``, a name; ``outcome``) and apply them with ``late_answers``.
+
+    Timeouts leave names linked with an open warning. A batch waits ``patience`` seconds for a running import to end; a
+    batch that is repeated after a failure finds nothing open and changes nothing.
+    """
+
+    def apply(batch: DataFrame, _: int) -> None:
+        answers = batch.select(F.col("clarification_id").alias("name"), F.col("outcome").alias("answer"))
+        until = time.monotonic() + patience
+        while True:
+            try:
+                late_answers(store, answers)
+                return
+            except Busy:
+                if time.monotonic() > until:
+                    raise
+                time.sleep(0.5)
+
+    writer = outcomes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
 def import_stream(store: Store, files: DataFrame, checkpoint: str, extractor: extract.Extractor = extract.by_rules, available_now: bool = True, answers=None, profiler: extract.Extractor | None = None):
