@@ -60,6 +60,33 @@ def test_sql_functions(spark):
     assert [r.chunk for r in spark.sql("SELECT * FROM segment_text('a b', 10, 0.2D)").collect()] == ["a b"]
 
 
+def test_sql_scores_equal_those_of_single_pairs(spark):
+    from plotweave.functions import similarity
+
+    registry.register(spark)
+    names = ["", " ", "voss", "lena voss", "Lena  Voss of the Harbour", "karl", "karl anders", None]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a STRING, b STRING")
+    for r in pairs.selectExpr("a", "b", "fuzz_ratio(a, b) f", "wratio(a, b) w", "coverage(a, b) c").collect():
+        if r.a is None or r.b is None:
+            assert (r.f, r.w, r.c) == (None, None, None)
+        else:
+            assert (r.f, r.w, r.c) == pytest.approx((similarity.ratio(r.a, r.b), similarity.weighted(r.a, r.b), similarity.coverage(r.a, r.b)))
+
+
+def test_segment_table_and_embed(spark):
+    from plotweave.operators import search, segment
+
+    registry.register(spark)
+    texts = [(i, t) for i, t in enumerate(["a b", "", None, "\n\n".join(f"block {i} " + "word " * 30 for i in range(40)), "one\ntwo"] * 3)]
+    spark.createDataFrame(texts, "id INT, text STRING").repartition(4).createOrReplaceTempView("texts_in")
+    want = sorted(tuple(r) for r in segment.segment_texts(spark.table("texts_in").withColumn("id", F.col("id").cast("string")), "id", "text", 100, 0.2).collect())
+    for source in ("TABLE(SELECT id, text FROM texts_in)", "TABLE(SELECT id, text FROM texts_in) PARTITION BY (id)"):
+        assert sorted(tuple(r) for r in spark.sql(f"SELECT * FROM segment_table({source}, 100, 0.2D)").collect()) == want
+    assert spark.sql("SELECT * FROM segment_table(TABLE(SELECT id, text FROM texts_in WHERE id < 0), 100, 0.2D)").count() == 0
+    rows = spark.table("texts_in").select(F.expr("embed(text)").alias("a"), search.embed(F.col("text")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
 def test_normalize_over_all_of_unicode(spark):
     """Characters whose lower case is newer than Python's tables aside."""
     known = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
