@@ -263,7 +263,8 @@ def late_answers(store: Store, answers: DataFrame, import_id: str = "answers", p
     memberships and clashes that follow from those files only go with them. ``link`` makes the name an alias. Both close the
     warnings. The store is then what it would be with the answers given before the load, but for names that other
     scenes have brought since: those known by now are known to the files, and what other files have decided stays.
-    Answers to names without an open warning, timeouts and other texts change nothing, so applying answers twice is applying them once;
+    Answers to names without an open warning, timeouts and other texts change nothing, so applying answers twice is applying them once; files
+    that were loaded before analyses were stored keep their warnings;
     of several answers to one name the first in the order of the letters counts. A null name or answer is none.
     """
     given = answers.where("answer IN ('link', 'new') AND name IS NOT NULL").groupBy("name").agg(F.min("answer").alias("answer"))
@@ -273,8 +274,10 @@ def late_answers(store: Store, answers: DataFrame, import_id: str = "answers", p
         said = given.withColumn("slug", T.slugify(F.col("name")))
         asked = waiting.join(said, F.col("id") == F.concat(F.lit("dup-"), "scene_id", F.lit("-"), "slug"))
         stems = cut(asked.select(schemas.stem_of(F.col("scene_id")).alias("stem")).distinct())
+        # files without stored analyses stay as they are
         buckets = sorted(r.b for r in stems.select(schemas.bucket(F.col("stem")).alias("b")).distinct().collect())
-        if not buckets:
+        stems = cut(stems.join(store.read("analyses", buckets), "stem", "left_semi"))
+        if stems.isEmpty():
             return {"scenes": 0, "edges_gone": 0, "issues_gone": 0}
         texts = store.read("scenes", buckets).select("id", "filename", F.col("raw_text").alias("chunk"))
         held = store.read("analyses", buckets).join(stems, "stem", "left_semi").join(texts, "id")

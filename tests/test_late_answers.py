@@ -80,6 +80,14 @@ def test_a_late_answer_ends_where_an_early_one_does(spark, tmp_path, unanswered,
     assert contents(store) == after
 
 
+def test_files_without_analyses_stay(spark, tmp_path, unanswered):
+    store = copy(spark, unanswered, tmp_path / "old")
+    store.write("analyses", store.read("analyses").where("stem NOT IN ('1', '2')"))
+    before = contents(store)
+    assert imports.late_answers(store, said(spark, ("Voss", "new"))) == {"scenes": 0, "edges_gone": 0, "issues_gone": 0}
+    assert contents(store) == before
+
+
 def test_outcomes_of_clarifications_reach_the_store(spark, tmp_path, unanswered):
     store = copy(spark, unanswered, tmp_path / "store")
     asked = imports.requests(store.events()).distinct()
