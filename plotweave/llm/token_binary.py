@@ -8,8 +8,8 @@ shard is stored as rows of ``BLOCK_ROWS`` sequences, which executors write witho
 shard_rows, so a reader needs nothing but the folder.
 
 Partitions are ranges of slots that are known before the shuffle (the slots are dense), so nothing is sampled and the
-files lie in the order of the slots. The ids are counted in a first pass and written in a second, so that only the finished sequences are shuffled once and
-nothing but the shards is stored.
+files lie in the order of the slots. A dense slot needs the number of all sequences, so the sequences are stored between
+the two steps: every text is encoded once, the stored sequences are counted, and only they are shuffled, once.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm import bpe, ragged
+from plotweave.llm.common import Scratch
 
 #: Sequences in one stored block; a shard is a whole number of blocks, but for the last.
 BLOCK_ROWS = 256
@@ -31,6 +32,8 @@ ROUNDS = 6
 
 #: Partitions of the shuffle, at most; beyond, a partition holds several shards.
 PARTITIONS = 100_000
+#: Bytes of sequences that leave the encoder at a time.
+CHUNK = 1 << 24
 
 BLOCKS = "shard int, first_slot long, n int, stride int, width int, shard_rows int, payload binary, ids array<{id}>, parts array<int>, lengths array<int>"
 
@@ -70,9 +73,9 @@ def materialise(
 
     A null or empty text is one sequence of one end token; the last sequence of a text is filled up with end tokens and
     its length kept. Ids are unsigned 16-bit little-endian if the vocabulary allows, else 32-bit. Every row is written,
-    repeated ones too; only id and text are read. Both passes must see the same partitions, as a table's scan gives
-    them: the second compares its counts with the first's and fails if they differ. A shard is sorted in one task, whose
-    size is shard_rows * stride; a lost task or executor repeats its own part.
+    repeated ones too; only id and text are read, once. The sequences, not yet filled up, lie in a scratch table until the
+    shards are written. A shard is sorted in one task, whose size is shard_rows * stride; a lost task or executor repeats
+    its own part.
     """
     spark = docs.sparkSession
     vocabulary = bpe.load(tokenizer)
@@ -85,70 +88,87 @@ def materialise(
     if shard_rows % BLOCK_ROWS:
         raise ValueError(f"shard_rows must be a multiple of {BLOCK_ROWS}")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encoder, n = bpe.encoder(held.value, keep_ids=True), 0
-        for batch in batches:
-            data, offsets = ragged.utf8(batch.column(1))
-            for a, b in ragged.blocks(offsets):
-                n += int(_cut(encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids_too=False)[0], length).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
-
-    counts = {r.part: r.n for r in source.mapInArrow(count, "part int, n long").collect()}
-    total, first = 0, {}
-    for part in sorted(counts):
-        first[part] = (total, counts[part])
-        total += counts[part]
-    places = spark.sparkContext.broadcast(first)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = bpe.encoder(held.value, keep_ids=True)
-        begin, expected = places.value.get(TaskContext.get().partitionId(), (0, 0))
-        at = begin
+        encoder, origin, at = bpe.encoder(held.value, keep_ids=True), TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = ragged.utf8(batch.column(1))
             for a, b in ragged.blocks(offsets):
                 n, ids = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                flat = np.full(len(ids) + b - a, end, kind)
+                flat[np.repeat(np.arange(b - a), n) + np.arange(len(ids))] = ids
                 cut = _cut(n, length)
-                heads = np.cumsum(cut) - cut
-                flat = np.full(int(cut.sum()) * length, end, kind)
-                flat[np.repeat(heads * length - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
                 row = np.repeat(np.arange(b - a), cut)
-                part = np.arange(len(row)) - heads[row]
+                part = np.arange(len(row)) - (np.cumsum(cut) - cut)[row]
                 size = np.minimum(length, n[row] + 1 - part * length)
-                slot = feistel(at + np.arange(len(row)), total, key) if len(row) else row
+                bounds = np.concatenate([[0], np.cumsum(size)])
+                step = max(1, CHUNK // stride)
+                for x in range(0, len(row), step):
+                    y = min(x + step, len(row))
+                    places = ((bounds[x : y + 1] - bounds[x]) * kind.itemsize).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(a + row[x:y])),
+                            pa.array((part[x:y]).astype(np.int32)),
+                            pa.array(size[x:y].astype(np.int32)),
+                            pa.array(np.full(y - x, origin, np.int32)),
+                            pa.array(at + np.arange(x, y)),
+                            pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(places), pa.py_buffer(flat[bounds[x] : bounds[y]])]),
+                        ],
+                        names=["id", "part", "length", "origin", "place", "payload"],
+                    )
                 at += len(row)
-                payload = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.arange(0, (len(row) + 1) * length * kind.itemsize, length * kind.itemsize, dtype=np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(part.astype(np.int32)), pa.array(size.astype(np.int32)), payload],
-                    names=["shard", "slot", "id", "part", "length", "payload"],
-                )
-        if at - begin != expected:
-            raise RuntimeError("the passes saw different partitions; write the input to a table first")
+
+    scratch = Scratch(spark, "token-sequences")
+    try:
+        stored = scratch.save(source.mapInArrow(encode, f"id {id_type}, part int, length int, origin int, place long, payload binary"), "rows")
+        total, first = 0, {}
+        for r in sorted(stored.groupBy("origin").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()):
+            if r.n != r.last + 1:
+                raise RuntimeError(f"partition {r.origin}: {r.n} sequences are stored, its last has number {r.last}")
+            first[r.origin] = total
+            total += r.n
+        _write(stored, path, first, total, length, kind, end, shard_rows, key)
+    finally:
+        scratch.drop("rows")
+    return total
+
+
+def _write(stored: DataFrame, path: str, first: dict[int, int], total: int, length: int, kind: np.dtype, end: int, shard_rows: int, key: int) -> None:
+    """Shards of the stored sequences. ``first``: the number of the first sequence of each partition they were made in."""
+    spark, stride = stored.sparkSession, length * kind.itemsize
+    begins = np.zeros(max(first, default=0) + 1, np.int64)
+    begins[list(first)] = list(first.values())
+    places = spark.sparkContext.broadcast(begins)
+
+    @F.arrow_udf("long")
+    def slot(origin: pa.Array, place: pa.Array) -> pa.Array:
+        return pa.array(feistel(places.value[origin.to_numpy()] + place.to_numpy(), total, key))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_rows: list[pa.RecordBatch] = []
         have = 0
 
-        def block(rows: pa.Table) -> pa.RecordBatch:
+        def block(rows: pa.RecordBatch) -> pa.RecordBatch:
             slots = rows.column("slot").to_numpy()
             if int(slots[-1]) - int(slots[0]) != len(slots) - 1:
                 raise RuntimeError("slots of a block do not follow each other")
+            n, payload, sizes = len(slots), rows.column("payload"), rows.column("length").to_numpy()
+            at = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + n + 1]
+            ids = np.frombuffer(payload.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+            flat = np.full(n * length, end, kind)
+            flat[np.repeat(np.arange(n) * length - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([rows.column("shard")[0].as_py()], pa.int32()),
+                    pa.array([int(slots[0]) // shard_rows], pa.int32()),
                     pa.array([int(slots[0])], pa.int64()),
-                    pa.array([len(slots)], pa.int32()),
+                    pa.array([n], pa.int32()),
                     pa.array([stride], pa.int32()),
                     pa.array([kind.itemsize], pa.int32()),
                     pa.array([shard_rows], pa.int32()),
-                    pa.array([b"".join(rows.column("payload").to_pylist())], pa.binary()),
-                    pa.array([rows.column("id").to_pylist()], pa.list_(rows.schema.field("id").type)),
-                    pa.array([rows.column("part").to_pylist()], pa.list_(pa.int32())),
-                    pa.array([rows.column("length").to_pylist()], pa.list_(pa.int32())),
+                    pa.array([flat.tobytes()], pa.binary()),
+                    *(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows.column(c)) for c in ("id", "part", "length")),
                 ],
                 names=["shard", "first_slot", "n", "stride", "width", "shard_rows", "payload", "ids", "parts", "lengths"],
             )
@@ -158,27 +178,30 @@ def materialise(
             have += batch.num_rows
             if have < BLOCK_ROWS + 1:
                 continue
-            table = pa.Table.from_batches(held_rows).combine_chunks()
-            number = table.column("slot").to_numpy() // BLOCK_ROWS
-            edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist()]
+            rows = pa.concat_batches(held_rows)
+            edges = _edges(rows)
             for x, y in zip(edges[:-1], edges[1:], strict=True):
-                yield block(table.slice(x, y - x))
-            held_rows = table.slice(edges[-1]).to_batches()
-            have = table.num_rows - edges[-1]
+                yield block(rows.slice(x, y - x))
+            held_rows = [rows.slice(edges[-1])]
+            have = rows.num_rows - edges[-1]
         if have:
-            table = pa.Table.from_batches(held_rows).combine_chunks()
-            number = table.column("slot").to_numpy() // BLOCK_ROWS
-            edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), table.num_rows]
+            rows = pa.concat_batches(held_rows)
+            edges = [*_edges(rows), rows.num_rows]
             for x, y in zip(edges[:-1], edges[1:], strict=True):
-                yield block(table.slice(x, y - x))
+                yield block(rows.slice(x, y - x))
 
-    rows = source.mapInArrow(encode, f"shard int, slot long, id {id_type}, part int, length int, payload binary")
+    rows = stored.select(slot("origin", "place").alias("slot"), "id", "part", "length", "payload")
     shards = max(1, -(-total // shard_rows))
     each = -(-shards // PARTITIONS)
-    ranges = F.floor(F.col("shard") / each).cast("int")
-    packed = rows.repartitionById(-(-shards // each), ranges).sortWithinPartitions("slot").mapInArrow(pack, BLOCKS.format(id=id_type))
+    ranges = F.floor(F.col("slot") / (shard_rows * each)).cast("int")
+    packed = rows.repartitionById(-(-shards // each), ranges).sortWithinPartitions("slot").mapInArrow(pack, BLOCKS.format(id=stored.schema["id"].dataType.simpleString()))
     packed.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return total
+
+
+def _edges(rows: pa.RecordBatch) -> list[int]:
+    """Where the blocks of rows in the order of their slots begin."""
+    number = rows.column("slot").to_numpy() // BLOCK_ROWS
+    return [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist()]
 
 
 def read_blocks(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:

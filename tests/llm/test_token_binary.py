@@ -75,3 +75,49 @@ def test_repeated_ids_and_no_rows(spark):
     path = Scratch(spark, "test").path("shards")
     assert token_binary.materialise(documents(spark, []), queries.tokenizer_path(), path) == 0
     assert token_binary.read_blocks(spark, path).count() == 0
+
+
+def test_every_text_is_read_and_encoded_once(spark, tmp_path):
+    """A source that says what it gives, and gives other partitions when it is read again."""
+    import os
+
+    log, ids = str(tmp_path / "log"), list(range(40))
+    os.mkdir(log)
+
+    def noted(batches):
+        import random
+        import uuid
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                open(f"{log}/{i}-{uuid.uuid4().hex}", "w").close()
+            texts = [(t or "") + " again" * random.SystemRandom().randint(0, 60) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts)], names=["doc_id", "text"])
+
+    docs = documents(spark, ["one two"] * len(ids), ids=ids).select("doc_id", "text").repartition(3).mapInArrow(noted, "doc_id long, text string")
+    path = Scratch(spark, "test").path("shards")
+    n = token_binary.materialise(docs, queries.tokenizer_path(), path, length=8, shard_rows=256, key=3)
+    assert sorted(int(f.split("-")[0]) for f in os.listdir(log)) == ids
+    rows = token_binary.sequences(token_binary.read_blocks(spark, path)).collect()
+    assert sorted(r.slot for r in rows) == list(range(n)) and {r.id for r in rows} == set(ids)
+
+
+def test_nothing_is_left_between_the_steps_and_long_texts_leave_in_pieces(spark, monkeypatch):
+    """Sequences come out of the encoder a few at a time, with their ids and places; the table between is dropped."""
+    from plotweave.llm.common import shared_dir
+
+    text = " ".join(f"w{i}" for i in range(3000))
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    ids = [*library.encode(text, add_special_tokens=False).ids, 50256]
+    path = Scratch(spark, "test").path("shards")
+    monkeypatch.setattr(token_binary, "CHUNK", 64)
+    n = token_binary.materialise(documents(spark, ["", text, None], ids=[7, 8, 9]), queries.tokenizer_path(), path, length=16, shard_rows=256, key=3)
+    got = {(r.id, r.part): r.tokens_crc32 for r in token_binary.sequences(token_binary.read_blocks(spark, path)).collect()}
+    want = {(8, p): zlib.crc32(np.array(ids[16 * p : 16 * p + 16], "<u2").tobytes()) for p in range(-(-len(ids) // 16))}
+    end = zlib.crc32(np.array([50256], "<u2").tobytes())
+    assert got == {**want, (7, 0): end, (9, 0): end} and n == len(got)
+    import glob
+
+    assert not glob.glob(f"{shared_dir(spark).removeprefix('file://')}/plotweave/token-sequences-*/rows")
