@@ -22,6 +22,8 @@ from plotweave.llm import ragged
 REMEMBER = 600_000
 #: Longer ones (in code points) are not remembered.
 LONG = 64
+#: Pre-tokens of so many bytes or fewer fit, with their length, into two words of 64 bits.
+SHORT = 15
 
 #: Size of the table of pairs, as a power of two.
 SLOT_BITS = 19
@@ -171,6 +173,71 @@ def pre_tokens(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def packed(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each slice and its length as two words: equal words, equal slices. Only for slices up to ``SHORT``."""
+    held = np.concatenate([data, np.zeros(16, np.uint8)])
+    at = np.ndarray((len(data) + 9,), "<u8", held, strides=(1,))
+    low = at[starts] & _KEPT[np.minimum(size, 8)]
+    high = at[starts + 8] & _KEPT[np.clip(size - 8, 0, 7)]
+    return low, high | size.astype(np.uint64) << np.uint64(56)
+
+
+class Places:
+    """Open-addressed table from packed pre-tokens to their places, for whole arrays at once; at most half full."""
+
+    def __init__(self):
+        self.n = 0
+        self._clear(12)
+
+    def _clear(self, bits: int) -> None:
+        self.bits = bits
+        self.low, self.high, self.place = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (low ^ (high * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Place of each, or -1."""
+        at = self._slot(low, high)
+        place = self.place[at]
+        out = np.where((self.low[at] == low) & (self.high[at] == high), place, -1).astype(np.int64)
+        left = np.flatnonzero((out < 0) & (place >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            place = self.place[at]
+            hit = (self.low[at] == low[left]) & (self.high[at] == high[left]) & (place >= 0)
+            out[left[hit]] = place[hit]
+            going = ~hit & (place >= 0)
+            left, at = left[going], at[going]
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, places: np.ndarray) -> None:
+        """Pre-tokens that differ from each other and from those in the table, with places that no other has."""
+        self.n += len(low)
+        if 2 * self.n > 1 << self.bits:
+            full = np.flatnonzero(self.place >= 0)
+            held = self.low[full], self.high[full], self.place[full]
+            self._clear((2 * self.n - 1).bit_length())
+            self._put(*held)
+        self._put(low, high, places)
+
+    def _put(self, low: np.ndarray, high: np.ndarray, places: np.ndarray) -> None:
+        left, at = np.arange(len(low)), self._slot(low, high)
+        while len(left):
+            free = self.place[at] < 0
+            self.place[at[free]] = places[left[free]]
+            won = self.place[at] == places[left]  # of several for one slot, the last
+            self.low[at[won]], self.high[at[won]] = low[left[won]], high[left[won]]
+            left, at = left[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -188,7 +255,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, keep_ids: bool):
         self.v, self.keep_ids = vocabulary, keep_ids
-        self.known: dict[str, int] = {}  # place of each remembered pre-token
+        self.short = Places()  # places of the remembered pre-tokens: of those up to SHORT,
+        self.known: dict[str, int] = {}  # and of the others
         self.edges = np.zeros(1, np.int64)  # where the ids of each place begin, and the last end
         self.ids = np.zeros(0, np.int32)
 
@@ -198,12 +266,11 @@ class Encoder:
         lengths = np.array([len(t) for t in tokens], np.int64)
         symbols = v.byte_ids[np.frombuffer(b"".join(tokens), np.uint8)].astype(np.int64)
         rows = np.repeat(np.arange(len(tokens)), lengths)
+        pair = np.full(len(symbols), _NONE)  # rank of each symbol with the next one
+        near = np.flatnonzero(rows[:-1] == rows[1:])
+        pair[near] = v.rank(symbols[near] * v.size + symbols[near + 1])
         done_rows, done_symbols = [], []
         while len(symbols):
-            pair = np.full(len(symbols), _NONE)
-            if len(symbols) > 1:
-                near = np.flatnonzero(rows[:-1] == rows[1:])
-                pair[near] = v.rank(symbols[near] * v.size + symbols[near + 1])
             heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
             lowest = np.minimum.reduceat(pair, heads)
             spread = np.repeat(lowest, np.diff(np.append(heads, len(rows))))
@@ -211,29 +278,37 @@ class Encoder:
             if ready.any():
                 done_rows.append(rows[ready])
                 done_symbols.append(symbols[ready])
-                symbols, rows, pair, spread = symbols[~ready], rows[~ready], pair[~ready], spread[~ready]
+                going = np.flatnonzero(~ready)
+                symbols, rows, pair, spread = symbols[going], rows[going], pair[going], spread[going]
                 if not len(symbols):
                     break
-            use = pair == spread
-            follows = np.concatenate([[False], use[:-1]]) & use
+            at = np.flatnonzero(pair == spread)
+            follows = np.concatenate([[False], at[1:] == at[:-1] + 1])
             if follows.any():  # places of one pair that overlap: every other one, from the left
-                place = np.arange(len(use))
-                first = np.maximum.accumulate(np.where(use & ~follows, place, 0))
-                use &= (place - first) % 2 == 0
-            at = np.flatnonzero(use)
+                place = np.arange(len(at))
+                first = np.maximum.accumulate(np.where(follows, 0, place))
+                at = at[(place - first) % 2 == 0]
             symbols[at] = v.merged[pair[at]]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            symbols, rows = symbols[keep], rows[keep]
+            kept = np.flatnonzero(keep)
+            symbols, rows, pair = symbols[kept], rows[kept], pair[kept]
+            at -= np.arange(len(at))  # where the new symbols are now; only pairs with one of them are others
+            pair[at] = _NONE
+            near = np.concatenate([at[at > 0] - 1, at[at + 1 < len(rows)]])
+            near = near[rows[near] == rows[near + 1]]
+            pair[near] = v.rank(symbols[near] * v.size + symbols[near + 1])
         if not done_rows:
             return np.zeros(0, np.int32), np.zeros(len(tokens), np.int64)
         rows, symbols = np.concatenate(done_rows), np.concatenate(done_symbols)
         order = np.argsort(rows, kind="stable")
         return symbols[order].astype(np.int32), np.bincount(rows, minlength=len(tokens)).astype(np.int64)
 
-    def _look_up(self, distinct: list[str]):
-        """Token count of each distinct pre-token, and where its ids begin in which array."""
-        at = np.array([self.known.get(x, -1) for x in distinct], np.int64)
+    def _look_up(self, distinct: list[str], short: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """Place of each distinct pre-token (of the short ones: those not remembered), and where ids begin in which array."""
+        at = np.full(len(distinct), -1, np.int64)
+        for i in np.flatnonzero(~short).tolist():
+            at[i] = self.known.get(distinct[i], -1)
         new = np.flatnonzero(at < 0)
         long = np.array([len(distinct[i]) > LONG for i in new.tolist()], bool)
         new = np.concatenate([new[~long], new[long]])
@@ -244,12 +319,41 @@ class Encoder:
             edges = np.concatenate([edges, edges[-1] + np.cumsum(n)])
             if self.keep_ids:
                 ids = np.concatenate([ids, made])
-            keep = min(int((~long).sum()), REMEMBER - len(self.known))
+            keep = min(int((~long).sum()), REMEMBER - (len(self.edges) - 1))
             if keep > 0:
-                self.known.update((distinct[i], int(at[i])) for i in new[:keep].tolist())
+                kept = new[:keep]
+                some = kept[short[kept]]
+                self.short.add(low[some], high[some], at[some])
+                self.known.update((distinct[i], int(at[i])) for i in kept[~short[kept]].tolist())
                 self.edges = edges[: len(self.edges) + keep]
                 self.ids = ids[: int(self.edges[-1])] if self.keep_ids else ids
-        return edges[at + 1] - edges[at], edges[at], ids
+        return at, edges, ids
+
+    def _find(self, text: str, points: np.ndarray, raw: np.ndarray, starts: np.ndarray):
+        """Place of each pre-token, and where ids begin in which array. ``raw``: the UTF-8 bytes of ``points``."""
+        if len(raw) == len(points):
+            at = np.append(starts, len(raw))
+        else:
+            at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[np.append(starts, len(points))]
+        size = np.diff(at)
+        short = size <= SHORT
+        low, high = packed(raw, at[:-1], size)
+        places = np.where(short, self.short.find(low, high), -1)
+        left = np.flatnonzero(places < 0)
+        if not len(left):
+            return places, self.edges, self.ids
+        ends = np.append(starts[1:], len(points))[left]
+        starts = starts[left]
+        if len(left) < len(places):
+            n = ends - starts
+            own_ends = np.cumsum(n)
+            points = points[np.repeat(starts - (own_ends - n), n) + np.arange(own_ends[-1])]
+            text, starts, ends = points.tobytes().decode("utf-32-le"), own_ends - n, own_ends
+        first, back = self._distinct(text, points, starts, ends)
+        of = left[first]
+        found, edges, ids = self._look_up([text[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], short[of], low[of], high[of])
+        places[left] = found[back]
+        return places, edges, ids
 
     def split(self, data: np.ndarray, offsets: np.ndarray):
         """Code points of rows of UTF-8 bytes, cut into segments at special strings.
@@ -310,12 +414,12 @@ class Encoder:
             inside = np.cumsum(kept)[:-1] > 0
             points = points[inside]
             text = points.tobytes().decode("utf-32-le")
+            data = np.frombuffer(text.encode(), np.uint8)
         bounds = np.concatenate([[0], np.cumsum(seg_end - seg_start)])
         starts = pre_tokens(points, bounds)
-        ends = np.append(starts[1:], len(points))
-        first, back = self._distinct(text, points, starts, ends)
-        token_counts, begins, pool = self._look_up([text[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        counts = token_counts[back]
+        places, edges, pool = self._find(text, points, data, starts)
+        begins = edges[places]
+        counts = edges[places + 1] - begins
         where = np.searchsorted(starts, bounds)
         sums = np.concatenate([[0], np.cumsum(counts)])
         seg_tokens = sums[where[1:]] - sums[where[:-1]] + (seg_after >= 0)
@@ -323,7 +427,7 @@ class Encoder:
         if not (self.keep_ids and ids_too):
             return row_tokens, None
         total = int(sums[-1])
-        ids = pool[np.repeat(begins[back] - sums[:-1], counts) + np.arange(total)] if total else np.zeros(0, np.int32)
+        ids = pool[np.repeat(begins - sums[:-1], counts) + np.arange(total)] if total else np.zeros(0, np.int32)
         if (seg_after >= 0).any():
             use = np.flatnonzero(seg_after >= 0)
             ids = np.insert(ids, sums[where[1:]][use], seg_after[use].astype(np.int32))

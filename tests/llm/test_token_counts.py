@@ -120,3 +120,34 @@ def test_marks_tell_slices_apart_and_long_ones_too(monkeypatch):
     ends = np.cumsum([len(w) for w in words])
     marks = ragged.marks(values, np.concatenate([[0], ends[:-1]]), ends).tolist()
     assert len(set(zip(words, marks, strict=True))) == len(set(words)) == len(set(marks))
+
+
+@pytest.mark.parametrize("remember", [600_000, 7])
+def test_remembered_short_tokens_and_those_at_the_edge_of_two_words(monkeypatch, remember):
+    """Pre-tokens of 1 to 17 bytes, zero bytes at their ends, in blocks that repeat and change, at any fill of the table."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plotweave.llm import ragged
+
+    monkeypatch.setattr(bpe, "REMEMBER", remember)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abé日\u0000") for _ in range(rng.randint(1, 9))) for _ in range(3000)] + ["a" * n + z for n in range(1, 18) for z in ("", "\u0000", "\u0000\u0000")] + ["é" * 8, "aé" * 5, "日" * 5, "<|endoftext|>x"]
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    encoder = bpe.Encoder(bpe.load(queries.tokenizer_path()), keep_ids=True)
+    for _ in range(6):
+        texts = [" ".join(rng.sample(words, 400)) for _ in range(3)] + [None, ""]
+        n, ids = encoder.encode(*ragged.utf8(pa.array(texts)))
+        assert [x.ids for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)] == [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])]
+        assert len(encoder.edges) - 1 == encoder.short.n + len(encoder.known) <= remember
+
+
+def test_places_with_one_slot_for_all(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(bpe.Places, "_slot", lambda self, low, high: np.full(len(low), (1 << self.bits) - 2))
+    table, low = bpe.Places(), np.arange(3000, dtype=np.uint64)
+    for at in range(0, 3000, 500):
+        assert (table.find(low[at:], low[at:] // 2) == -1).all()
+        table.add(low[at : at + 500], low[at : at + 500] // 2, np.arange(at, at + 500))
+    assert (table.find(low, low // 2) == np.arange(3000)).all() and (table.find(low, low // 2 + np.uint64(1)) == -1).all() and table.bits > 12
