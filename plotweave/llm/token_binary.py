@@ -110,7 +110,7 @@ def materialise(
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(a + row[x:y])),
-                            pa.array((part[x:y]).astype(np.int32)),
+                            pa.array(part[x:y].astype(np.int32)),
                             pa.array(size[x:y].astype(np.int32)),
                             pa.array(np.full(y - x, origin, np.int32)),
                             pa.array(at + np.arange(x, y)),
@@ -154,9 +154,7 @@ def _write(stored: DataFrame, path: str, first: dict[int, int], total: int, leng
             slots = rows.column("slot").to_numpy()
             if int(slots[-1]) - int(slots[0]) != len(slots) - 1:
                 raise RuntimeError("slots of a block do not follow each other")
-            n, payload, sizes = len(slots), rows.column("payload"), rows.column("length").to_numpy()
-            at = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + n + 1]
-            ids = np.frombuffer(payload.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+            n, sizes, ids = len(slots), rows.column("length").to_numpy(), ragged.utf8(rows.column("payload"))[0].view(kind)
             flat = np.full(n * length, end, kind)
             flat[np.repeat(np.arange(n) * length - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
             return pa.RecordBatch.from_arrays(
